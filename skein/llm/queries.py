@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, language_id, quality
+from skein.llm import bpe, fingerprints, language_id, quality
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -26,10 +26,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_against_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
+    "op6_fingerprints": op6_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
