@@ -2,7 +2,8 @@
 
 A rolling hash over the last seven bytes closes a chunk wherever its low bits are all set, so boundaries depend on
 nearby content alone and come back after an insertion. Each chunk gives one of 64 characters. The block size (the mean chunk
-length) is the power of two that gives a text of its length about 48 chunks; it moves while the signature is too long or too short. A
+length) is the power of two that gives a text of its length about 48 chunks; it doubles while the signature is too long. Runs of one
+character count as three. A
 fingerprint is `block:signature:signature at twice the block`. Two fingerprints are compared at equal block sizes, or where one
 is twice the other, by the edit distance of insertions and deletions, 1 - d / (length + length); signatures without a
 common run of characters are unlike (0), so that chance matches of single characters don't count.
@@ -15,6 +16,7 @@ comes first; a lone document's next document is itself. Texts are used whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import mixed, shuffle_width
 
 WINDOW = 7
-LONGEST, SHORTEST = 96, 16
+LONGEST = 96
 COMMON_RUN = 4
-_SLAB = 1 << 22
+_RUN = re.compile(r"(.)\1{3,}")
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _ODD, np.uint64))
@@ -64,21 +66,16 @@ def fingerprint(raw: bytes) -> str:
     buf = np.frombuffer(raw, np.uint8)
     rolled = _rolling(buf)
     bits = max(0, (len(raw) // 48).bit_length())
-    count = lambda b: int(np.count_nonzero(rolled & np.uint32((1 << b) - 1) == np.uint32((1 << b) - 1)))
-    n = count(bits)
-    while n > LONGEST and bits < 30:
-        bits += 1
-        n = count(bits)
-    while n < SHORTEST and bits > 0:
-        more = count(bits - 1)
-        if more > LONGEST:
-            break
-        bits, n = bits - 1, more
-    found = []
-    for b in (bits, bits + 1):
+
+    def signature(b: int) -> str:
         full = np.uint32((1 << b) - 1)
-        found.append(_signature(buf, np.flatnonzero(rolled & full == full) + 1).decode())
-    return f"{1 << bits}:{found[0]}:{found[1]}"
+        return _RUN.sub(r"\1\1\1", _signature(buf, np.flatnonzero(rolled & full == full) + 1).decode())
+
+    fine = signature(bits)
+    while len(fine) > LONGEST and bits < 30:
+        bits += 1
+        fine = signature(bits)
+    return f"{1 << bits}:{fine}:{signature(bits + 1)}"
 
 
 def _common_run(a: str, b: str, size: int) -> bool:
