@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprints, language_id, quality
+from skein.llm import bpe, fingerprints, language_id, packing, quality, sharding
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -30,11 +30,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_against_next(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_query(documents(spark, sf_dir))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
