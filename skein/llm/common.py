@@ -121,3 +121,37 @@ def words(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         hashes = mixed(np.add.reduceat(value, firsts) + length.astype(np.uint64))
         owner = np.asarray(owners)[np.searchsorted(np.asarray(starts), begin, side="right") - 1]
         yield owner, hashes, length
+
+
+def word_hashes(docs: list[bytes]) -> list[np.ndarray]:
+    """The word hashes of each document, in order."""
+    parts: list[list[np.ndarray]] = [[] for _ in docs]
+    for owner, h, _ in words(docs):
+        edges = np.flatnonzero(np.diff(owner)) + 1
+        for who, part in zip(owner[np.concatenate(([0], edges))], np.split(h, edges)):
+            parts[who].append(part)
+    none = np.empty(0, np.uint64)
+    return [p[0] if len(p) == 1 else np.concatenate(p) if p else none for p in parts]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of an undirected edge list (a, b); the component is its smallest node.
+
+    Alternating stars: every node's larger neighbours are tied to its least neighbour, then its smaller ones, until nothing
+    changes. Each round is a grouping and a join by node, kept in the shared folder; edges never reach the driver.
+    """
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(below, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = saved(small.select("e.a", "e.b").where("a <> b").distinct())
+        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if tuple(seen) == mark:
+            break
+        mark = tuple(seen)
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucket_of, words
+from skein.llm.common import bucket_of, word_hashes
 
 WORD_BUCKETS = 1 << 15
 RANK = 8
@@ -60,14 +60,8 @@ for _c in range(256):
 def features(texts: list[str | None], recorded: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Feature numbers and values of each document."""
     raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-    hashes: list[list[np.ndarray]] = [[] for _ in raw]
-    for owner, h, _ in words(raw):
-        edges = np.flatnonzero(np.diff(owner)) + 1
-        for who, part in zip(owner[np.concatenate(([0], edges))], np.split(h, edges)):
-            hashes[who].append(part)
     out = []
-    for text, parts, chars in zip(raw, hashes, recorded):
-        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    for text, h, chars in zip(raw, word_hashes(raw), recorded):
         kinds, counts = np.unique(h, return_counts=True)
         n, size = len(h), len(text)
         mix = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASSES / max(size, 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprints, language_id, packing, quality, sharding, topk
+from skein.llm import bpe, fingerprints, jaccard_join, language_id, packing, quality, sharding, topk
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -42,10 +42,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op8_sharding": op8_sharding,
