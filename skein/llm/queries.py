@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprints, jaccard_join, language_id, packing, pii, quality, sharding, topk
+from skein.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, pii, quality, sharding, topk
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_query(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -57,9 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op7_licenses": op7_licenses,
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_topk": topk.TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.LICENCE_SQL, "op10_topk": topk.TOPK_SQL}
