@@ -14,9 +14,16 @@ PIECE = 1 << 20  # bytes of text that the vectorised scanners look at together
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table. Texts vary from a word to many pages, so Arrow batches are bounded in rows and bytes."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -137,18 +137,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
     # A bitmap of fixed size (2**FILTER_BITS bits, numbered from 1) keeps texts that nobody asks for out of the shuffle.
     place = F.pmod(F.xxhash64("holder"), F.lit(1 << FILTER_BITS))
     maps = wanted.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
-    table = np.zeros(1 << FILTER_BITS, bool)
-    for row in maps.collect():
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
-        first = (row["bucket"] - 1) * len(bits)
-        keep = table[first : first + len(bits)]
-        keep |= bits[: len(keep)].astype(bool)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    @F.pandas_udf("boolean")
-    def asked(at: pd.Series) -> pd.Series:
-        return pd.Series(np.unpackbits(packed.value)[at.to_numpy()].astype(bool))
-
     @F.pandas_udf("struct<node:long,items:array<long>>")
     def whole(text: pd.Series) -> pd.DataFrame:
         sets = shingle_sets(text.tolist(), size)
@@ -156,7 +144,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
         return pd.DataFrame({"node": nodes, "items": [s.view(np.int64) for s in sets]})
 
     candidates = docs.select(F.col(id_col).cast("long").alias("holder"), F.col(text_col).alias("_text")).where(F.col("holder").isNotNull() & F.col("_text").isNotNull())
-    texts = candidates.where(asked(F.pmod(F.xxhash64("holder"), F.lit(1 << FILTER_BITS)))).join(wanted, "holder")
+    byte = F.expr("cast(conv(hex(substring(bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
+    placed = candidates.withColumn("_at", place + 1).withColumn("bucket", F.expr("bitmap_bucket_number(_at)"))
+    texts = placed.join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1).select("holder", "_text").join(wanted, "holder")
     sets = texts.select("node", whole("_text").alias("s")).where("s.node = node").select("node", F.col("s.items").alias("items")).dropDuplicates(["node"])
     sets = saved(sets)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
