@@ -51,7 +51,6 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} (?:\p{{Lu}}\p{{Ll}}+ )?\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(PATTERNS.values())
-MAYBE = rf"[0-9@]|{_TITLE} \p{{Lu}}"  # what every entity contains
 
 
 def _kind(match: Column) -> Column:
@@ -108,9 +107,16 @@ def _surname(script: str, digest: Column, attempt: Column) -> Column:
     return F.initcap(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), part)))
 
 
-def surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column) -> Column:
-    """Replacement of one match."""
-    digest = _digest(key, kind, canonical, attempt)
+def surrogates(key: str, described: Column) -> Column:
+    """Replacements of an array of structs (kind, canonical, match, attempt).
+
+    The digest of each is laid beside it first, so that it is computed once and not where each character is replaced.
+    """
+    digested = F.transform(described, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), _digest(key, e["kind"], e["canonical"], e["attempt"]).alias("digest")))
+    return F.transform(digested, lambda e: _surrogate(key, e["kind"], e["canonical"], e["match"], e["attempt"], e["digest"]))
+
+
+def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column, digest: Column) -> Column:
     octet = lambda k: (F.conv(F.substring(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
     local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
     more = F.when(attempt > 0, F.concat(F.lit("."), F.substring(F.translate(digest, "abcdef", "135790"), F.lit(100), attempt * 3))).otherwise("")
@@ -137,13 +143,20 @@ def _luhn_valid(digits: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """All matches in a text, in order; empty for most texts after one cheap look."""
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    """All matches in a text, in order; empty for most texts after a cheap look for what every entity contains."""
+    titled = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in FEMALE_TITLES + MALE_TITLES])
+    return F.when(text.rlike("[0-9@]") | titled, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def _described(match: Column) -> Column:
-    kind = _kind(match)
-    return F.struct(kind.alias("kind"), _canonical(kind, match).alias("canonical"))
+    return F.struct(match.alias("match"), _kind(match).alias("kind"))
+
+
+def described(matches: Column, attempt=lambda kind, canonical: F.lit(0)) -> Column:  # noqa: ANN001
+    """Matches as structs (match, kind, canonical, attempt)."""
+    kinds = F.transform(matches, _described)
+    known = F.transform(kinds, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), _canonical(e["kind"], e["match"]).alias("canonical")))
+    return F.transform(known, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), e["canonical"].alias("canonical"), attempt(e["kind"], e["canonical"]).alias("attempt")))
 
 
 def clashes(found: DataFrame, key: str) -> DataFrame:
@@ -152,7 +165,8 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     `found` holds the distinct (kind, canonical). In each round, of those that share a surrogate the first keeps it, and one that
     equals an entity of the corpus is given up; the others are derived anew.
     """
-    rekeyed = lambda df: df.withColumn("surrogate", _canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("canonical"), F.col("canonical"), F.col("attempt"))))
+    one = F.array(F.struct(F.col("kind"), F.col("canonical"), F.col("canonical").alias("match"), F.col("attempt")))
+    rekeyed = lambda df: df.withColumn("surrogate", F.element_at(F.transform(surrogates(key, one), lambda s: _canonical(F.col("kind"), s)), 1))
     now = saved(rekeyed(found.withColumn("attempt", F.lit(0))))
     taken = found.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     while True:
@@ -169,8 +183,8 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace the entities in the text column and add n_entities; other columns stay."""
     text = F.col(text_col)
-    mentions = saved(docs.select(F.col(id_col).alias("_id"), F.transform(entities(text), _described).alias("_found")).where(F.size("_found") > 0))
-    found = mentions.select("_id", F.explode("_found").alias("e")).select("_id", "e.*")
+    mentions = saved(docs.select(F.col(id_col).alias("_id"), described(entities(text)).alias("_found")).where(F.size("_found") > 0))
+    found = mentions.select("_id", F.explode("_found").alias("e")).select("_id", "e.kind", "e.canonical")
     again = saved(clashes(found.select("kind", "canonical").distinct(), key))
     if again.isEmpty():
         known = docs.withColumn("_again", F.lit(None).cast("map<string,int>"))
@@ -178,18 +192,11 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         entry = F.struct(F.concat_ws("|", "kind", "canonical").alias("k"), F.col("attempt").alias("v"))
         per_row = found.join(again, ["kind", "canonical"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_again"))
         known = docs.join(per_row, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    matches = entities(text)
-
-    def one(match: Column) -> Column:
-        kind = _kind(match)
-        canonical = _canonical(kind, match)
-        attempt = F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", kind, canonical)), F.lit(0))
-        return surrogate(key, kind, canonical, match, attempt)
-
-    split = known.withColumn("_matches", matches)
+    attempt = lambda kind, canonical: F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", kind, canonical)), F.lit(0))
+    split = known.withColumn("_matches", entities(text)).withColumn("_new", surrogates(key, described(F.col("_matches"), attempt)))
     pieces = F.split(text, ANY, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.transform(F.col("_matches"), one), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
-    return split.withColumn(text_col, F.when(F.size("_matches") > 0, joined).otherwise(text)).withColumn("n_entities", F.coalesce(F.size("_matches"), F.lit(0))).drop("_matches", "_again")
+    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.col("_new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
+    return split.withColumn(text_col, F.when(F.size("_matches") > 0, joined).otherwise(text)).withColumn("n_entities", F.coalesce(F.size("_matches"), F.lit(0))).drop("_matches", "_new", "_again")
 
 
 def pii_query(docs: DataFrame, key: str = "skein-surrogates") -> DataFrame:
