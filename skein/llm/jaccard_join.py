@@ -115,7 +115,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                         matches.append(0)
                         chosen.append(np.empty(0, np.int64))
                         continue
-                    nodes.append(int(mixed(np.array([s.sum() ^ np.uint64(len(s)) ^ np.bitwise_xor.reduce(mixed(s))]))[0].astype(np.int64)))
+                    nodes.append(_node(s))
                     often = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     order = np.argsort(often, kind="stable")  # ties by hash: s is ascending
                     first = len(s) - -(-percent * len(s) // 100)
@@ -131,28 +131,40 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n int, node long, matches int, prefix array<long>")
 
 
+def _node(s: np.ndarray) -> int | None:
+    """Hash of a whole set; none for the empty set."""
+    if not len(s):
+        return None
+    return int(mixed(np.array([s.sum() ^ np.uint64(len(s)) ^ np.bitwise_xor.reduce(mixed(s))]))[0].astype(np.int64))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(holders, "node").select("node", "holder"))
+    """The pairs (a, b) of nodes whose whole sets are similar enough; texts, which are smaller than their sets, go to the pairs."""
+    held = lambda n: holders.select(F.col("node").alias(n), F.col("holder").alias(f"holder_{n}"))
+    named = saved(pairs.join(held("a"), "a").join(held("b"), "b"))
     # A bitmap of fixed size (2**FILTER_BITS bits, numbered from 1) keeps texts that nobody asks for out of the shuffle.
-    place = F.pmod(F.xxhash64("holder"), F.lit(1 << FILTER_BITS))
-    maps = wanted.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
-    @F.pandas_udf("struct<node:long,items:array<long>>")
-    def whole(text: pd.Series) -> pd.DataFrame:
-        sets = shingle_sets(text.tolist(), size)
-        nodes = [int(mixed(np.array([s.sum() ^ np.uint64(len(s)) ^ np.bitwise_xor.reduce(mixed(s))]))[0].astype(np.int64)) if len(s) else 0 for s in sets]
-        return pd.DataFrame({"node": nodes, "items": [s.view(np.int64) for s in sets]})
-
-    candidates = docs.select(F.col(id_col).cast("long").alias("holder"), F.col(text_col).alias("_text")).where(F.col("holder").isNotNull() & F.col("_text").isNotNull())
+    place = F.pmod(F.xxhash64("holder"), F.lit(1 << FILTER_BITS)) + 1
+    wanted = named.select(F.explode(F.array("holder_a", "holder_b")).alias("holder")).distinct().select(place.alias("at"))
+    maps = saved(wanted.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")))
     byte = F.expr("cast(conv(hex(substring(bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")
     bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
-    placed = candidates.withColumn("_at", place + 1).withColumn("bucket", F.expr("bitmap_bucket_number(_at)"))
-    texts = placed.join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1).select("holder", "_text").join(wanted, "holder")
-    sets = texts.select("node", whole("_text").alias("s")).where("s.node = node").select("node", F.col("s.items").alias("items")).dropDuplicates(["node"])
-    sets = saved(sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    candidates = docs.select(F.col(id_col).cast("long").alias("holder"), F.col(text_col).alias("said")).where("holder is not null and said is not null")
+    asked = candidates.withColumn("_at", place).withColumn("bucket", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1)
+    texts = asked.select("holder", "said").repartition("holder").dropDuplicates(["holder", "said"])
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for k in range(0, len(a), 256):
+            part = slice(k, k + 256)
+            for node_a, node_b, s, t in zip(a[part], b[part], shingle_sets(x[part].tolist(), size), shingle_sets(y[part].tolist(), size)):
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(_node(s) == node_a and _node(t) == node_b and 100 * shared >= percent * (len(s) + len(t) - shared))
+        return pd.Series(out, dtype=bool)
+
+    side = lambda n: texts.select(F.col("holder").alias(f"holder_{n}"), F.col("said").alias(f"said_{n}"))
+    both = named.join(side("a"), "holder_a").join(side("b"), "holder_b")
+    return both.where(similar("a", "b", "said_a", "said_b")).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -162,17 +174,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     holders = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"))
     index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
-    held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first")).where("holders > 1").select("item", "first")
+    held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
     common = saved(index.join(held, "item"))
 
     # Round 1: each node with the one that holds most of its shingles earliest.
-    tally = common.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("k"))
+    overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
+    hopeful = (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent) & (F.col("at") <= F.col("n") - overlap) & (F.col("first_at") <= F.col("first_n") - overlap)
+    tally = common.where("node <> first").where(hopeful).groupBy("node", "first").agg(F.count(F.lit(1)).alias("k"))
     stars = tally.groupBy("node").agg(F.max_by("first", "k").alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     linked = saved(_verified(saved(stars), docs, holders, id_col, text_col, size, percent))
     merged = saved(components(linked))
 
     # Round 2: shingles that several components share, between different components alone.
-    rows = common.drop("first").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
     kinds = rows.select("item", "part").distinct()
