@@ -3,7 +3,7 @@
 A text is split by the tokenizer's pattern; each distinct piece of a batch is held once, as a row of symbols in one long
 array. An inverted index leads from a token pair (by the rank of its merged token) to the positions where it stands.
 Merges are replayed in rank order over all pieces together: each merge visits just the positions under its rank and updates
-just the two neighbouring pairs. Texts are then put together from their pieces, and decoding maps ids back to bytes.
+just the two neighbouring pairs. (A piece in which a merge makes one of an earlier rank possible is merged on its own.) Texts are then put together from their pieces, and decoding maps ids back to bytes.
 
 Each task works batch by batch and remembers a bounded number of pieces, so memory doesn't grow with the input.
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +37,14 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+@lru_cache(maxsize=4)
+def pairs_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of tokens whose bytes together are a token, as sorted keys (left << 32 | right), and that token."""
+    ranks = ranks_of(path)
+    found = sorted((ranks[a] << 32 | ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks)
+    return np.array([k for k, _ in found], np.int64), np.array([r for _, r in found], np.int64)
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
     part: list[str | None] = []
     chars = 0
@@ -54,6 +63,8 @@ class MergeReplay:
         self.ranks = ranks_of(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.pairs, self.pair_tokens = pairs_of(path)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
@@ -70,66 +81,97 @@ class MergeReplay:
 
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece: all merges in rank order, over all pieces at once."""
-        ranks = self.ranks
-        symbols: list[bytes | None] = []
-        starts = []
-        for piece in pieces:
-            starts.append(len(symbols))
-            whole = ranks.get(piece)
-            symbols += [piece] if whole is not None else [piece[i : i + 1] for i in range(len(piece))]
-            symbols.append(None)  # no pair crosses the end of a piece
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = symbols[i], symbols[i + 1]
-            if a is not None and b is not None and (rank := ranks.get(a + b)) is not None:
-                index.setdefault(rank, []).append(i)
-        heap = list(index)
-        heapify(heap)
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = [p for p, rank in zip(pieces, whole) if rank is None]
+        merged = iter(self._merged(rest) if rest else [])
+        return [next(merged) if rank is None else (rank,) for rank in whole]
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each two neighbours make together; -1 if none (a negative symbol is no token)."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == keys) & (left >= 0) & (right >= 0), self.pair_tokens[at], -1)
+
+    def _merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(length + 1) - 1
+        symbol = self.of_byte[np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)]
+        symbol[ends] = -1  # no pair crosses the end of a piece
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank_at = np.full(n, -1, np.int64)
+        rank_at[:-1] = self._pair_ranks(symbol[:-1], symbol[1:])
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+        odd: set[int] = set()  # pieces in which a merge has made an earlier one possible
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, part in zip(ranks[np.concatenate(([0], cuts))].tolist(), np.split(places, cuts)):
+                if rank in index:
+                    index[rank].append(part)
+                else:
+                    index[rank] = [part]
+                    heappush(heap, rank)
+
+        found = np.flatnonzero(rank_at >= 0)
+        if len(found):
+            enter(found, rank_at[found])
         while heap:
             rank = heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            parts = index.pop(rank)
+            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            at = at[rank_at[at] == rank]
+            if len(at) > 1:
+                chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                if chained.any():  # overlapping places: every second one of a chain, from its left end
+                    begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                    at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            if not len(at):
                 continue
-            merged = self.tokens[rank]
-            places.sort()
-            for k, i in enumerate(places):
-                a, j = symbols[i], after[i]
-                if a is None or j >= n or (b := symbols[j]) is None or a + b != merged:
-                    continue  # one side has been merged with another neighbour since
-                symbols[i] = merged
-                symbols[j] = None
-                far = after[j]
-                after[i] = far
-                after[j] = n
-                if far < n:
-                    before[far] = i
-                lower = False
-                for left, x, y in ((before[i], symbols[before[i]] if before[i] >= 0 else None, merged), (i, merged, symbols[far] if far < n else None)):
-                    if x is not None and y is not None and (new := ranks.get(x + y)) is not None:
-                        lower |= new < rank
-                        if new in index:
-                            index[new].append(left)
-                        else:
-                            index[new] = [left]
-                            heappush(heap, new)
-                if lower and k + 1 < len(places):  # an earlier rank has become possible: it goes first
-                    if rank in index:
-                        index[rank] += places[k + 1 :]
-                    else:
-                        index[rank] = places[k + 1 :]
-                        heappush(heap, rank)
-                    break
-        out = []
-        for start in starts:
-            ids, i = [], start
-            while i < n and symbols[i] is not None:
-                ids.append(ranks[symbols[i]])
-                i = after[i]
-            out.append(tuple(ids))
+            gone = after[at]
+            far = after[gone]
+            symbol[at], symbol[gone], rank_at[gone] = rank, -2, -1
+            after[at], before[far] = far, at
+            rank_at[at] = self._pair_ranks(symbol[at], symbol[far])
+            left = before[at]
+            left = left[left >= 0]
+            rank_at[left] = self._pair_ranks(symbol[left], symbol[after[left]])
+            touched = np.concatenate((at, left))
+            ranks = rank_at[touched]
+            if (early := touched[(ranks >= 0) & (ranks < rank)]).size:
+                odd.update(np.searchsorted(ends, early).tolist())
+            if (ranks >= 0).any():
+                enter(touched[ranks >= 0], ranks[ranks >= 0])
+        kept = symbol >= 0
+        ids, stops = symbol[kept].tolist(), np.cumsum(kept)[ends].tolist()
+        out = [tuple(ids[a:b]) for a, b in zip([0, *stops], stops)]
+        for i in odd:
+            out[i] = self._one_by_one(pieces[i])
         return out
 
+    def _one_by_one(self, piece: bytes) -> tuple[int, ...]:
+        """Merges of a single piece, always the leftmost of the lowest rank."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue = [(rank, i) for i in range(len(parts) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapify(queue)
+        while queue:
+            rank, i = heappop(queue)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or self.ranks.get(parts[i] + parts[j]) != rank:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], b""
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < len(parts) and (new := self.ranks.get(parts[left] + parts[after[left]])) is not None:
+                    heappush(queue, (new, left))
+        return tuple(self.ranks[p] for p in parts if p)
+
     def decoded(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
