@@ -66,8 +66,8 @@ def _words(unit: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -77,6 +77,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     anchored = rf"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(b) for b in grams]).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in known])
     ratio = threshold / (2 - threshold)
+    largest = max(len(g) for _, g in known) / ratio
     smallest = math.ceil(round(ratio * min(len(g) for _, g in known), 9))
 
     def numbered(kind: str, parts: Column) -> Column:
@@ -86,19 +87,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     lines = F.split(text, "\n")
     paragraphs = F.filter(numbered("paragraph", F.split(text, r"\n[ \t\r]*\n\s*")), lambda u: F.contains(F.trim(u["said"]), F.lit("\n")))
     units = F.filter(F.concat(numbered("line", lines), paragraphs), lambda u: u["said"].rlike(anchored))
-    found = docs.where(text.rlike(anchored)).select(id_col, F.explode(units).alias("u")).select(id_col, "u.kind", "u.unit", _bigrams(_words(F.col("u.said"))).alias("_grams"))
-    sized = found.where(F.size("_grams") >= smallest).select(
-        id_col, "unit", "kind", "_grams",
-        F.filter(table, lambda t: (t["n"] >= F.size("_grams") * ratio) & (F.size("_grams") >= t["n"] * ratio)).alias("_near"),
-    )
-
-    def compared(t: Column) -> Column:
-        shared = F.size(F.array_intersect(F.col("_grams"), t["grams"]))
-        return F.struct(shared.alias("shared"), (F.lit(2.0) * shared / (F.size("_grams") + t["n"])).alias("dice"), t["name"].alias("name"))
-
-    best = F.array_sort(F.filter(F.transform("_near", compared), lambda c: c["dice"] >= threshold), lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    rows = sized.where(F.size("_near") > 0).withColumn("_best", F.get(best, F.lit(0))).where(F.col("_best").isNotNull())
-    return rows.select(id_col, "kind", F.col("unit").cast("long").alias("unit"), F.col("_best.name").alias("license"), F.col("_best.shared").cast("long").alias("shared"), F.col("_best.dice").alias("dice"))
+    # Each transform hands its result on as array elements, so that words and bigrams of a unit are made once.
+    worded = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), _words(u["said"]).alias("words")))
+    paired = F.transform(worded, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), _bigrams(u["words"]).alias("grams")))
+    sized = F.filter(F.transform(paired, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), u["grams"].alias("grams"), F.size(u["grams"]).alias("n"))), lambda u: (u["n"] >= smallest) & (u["n"] <= largest))
+
+    def compared(u: Column, t: Column) -> Column:
+        shared = F.size(F.array_intersect(u["grams"], t["grams"]))
+        return F.struct((F.lit(2.0) * shared / (u["n"] + t["n"])).alias("dice"), shared.alias("shared"), t["name"].alias("name"))
+
+    def matches(u: Column) -> Column:
+        near = F.filter(table, lambda t: (t["n"] >= u["n"] * ratio) & (u["n"] >= t["n"] * ratio))
+        return F.filter(F.transform(near, lambda t: compared(u, t)), lambda c: c["dice"] >= threshold)
+
+    best_first = lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    found = F.transform(sized, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), F.get(F.array_sort(matches(u), best_first), F.lit(0)).alias("best")))
+    rows = docs.where(text.rlike(anchored)).select(id_col, F.explode_outer(found).alias("u")).where(F.col("u.best").isNotNull())
+    return rows.select(id_col, "u.kind", F.col("u.unit").cast("long").alias("unit"), F.col("u.best.name").alias("license"), F.col("u.best.shared").cast("long").alias("shared"), F.col("u.best.dice").alias("dice"))
 
 
 def licence_query(docs: DataFrame) -> DataFrame:
