@@ -44,6 +44,9 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Words of everyday prose, the last to serve as anchors.
+COMMON_WORDS = {"a", "an", "and", "any", "by", "can", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "with", "you"}
+
 
 def template_bigrams(text: str) -> list[str]:
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -51,10 +54,10 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def anchors(bigrams: list[str], threshold: float) -> set[str]:
-    """Words, the longest first, that touch so many bigrams that a match must contain one of them."""
+    """Words, uncommon and long ones first, that touch so many bigrams that a match must contain one of them."""
     need = len(bigrams) - math.ceil(round(threshold / (2 - threshold) * len(bigrams), 9)) + 1
     chosen: set[str] = set()
-    for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
+    for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w in COMMON_WORDS, -len(w), w)):
         if sum(not chosen.isdisjoint(b.split()) for b in bigrams) >= need:
             break
         chosen.add(word)
