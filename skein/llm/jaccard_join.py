@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import components, mixed, saved, word_hashes
@@ -175,7 +175,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holders = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"))
     index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
     held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
-    common = saved(index.join(held, "item"))
+    # `alone` is how many of a node's shingles before this one nobody else holds. In a link with overlap t the k-th common shingle
+    # has t - k common ones behind it, so at most n - t shingles before it are not common; rows beyond that can't serve a link.
+    before = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    common = saved(index.join(held, "item").withColumn("alone", F.col("at") - before).where(F.col("alone") <= spare))
 
     # Round 1: each node with the one that holds most of its shingles earliest.
     overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
@@ -189,14 +193,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
-    kinds = rows.select("item", "part").distinct()
-    meets = kinds.withColumnRenamed("part", "p").join(kinds.withColumnRenamed("part", "q"), "item").where("p < q")
-    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at")])
+    kinds = rows.groupBy("item", "part").agg(F.max(F.col("n") - F.col("alone")).alias("room"), F.min("n").alias("n"))
+    kind = lambda part: kinds.select("item", F.col("part").alias(part), F.col("room").alias(f"{part}_room"), F.col("n").alias(f"{part}_n"))
+    possible = F.least("p_room", "q_room") >= _least_overlap(F.col("p_n"), F.col("q_n"), percent)
+    meets = kind("p").join(kind("q"), "item").where(F.col("p") < F.col("q")).where(possible).select("item", "p", "q")
+    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "alone")])
     asked = F.least("x_matches", "y_matches")
     overlap = _least_overlap(F.col("x_n"), F.col("y_n"), percent)
     near = (
         (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
         & (F.col("x_at") <= F.col("x_n") - overlap + asked - 1) & (F.col("y_at") <= F.col("y_n") - overlap + asked - 1)
+        & (F.col("x_alone") <= F.col("x_n") - overlap) & (F.col("y_alone") <= F.col("y_n") - overlap)
     )
     met = meets.join(side("x_", "p"), ["item", "p"]).join(side("y_", "q"), ["item", "q"]).where(near)
     pairs = met.groupBy("x_node", "y_node").agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
