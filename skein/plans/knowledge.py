@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import chunking, enrich, incremental, reports
 from skein.operators import vectors as v
 from skein.plans.catalog import query
+from skein.sources import jsonl
 from skein.sources import tables as t
+from skein.sources.snapshots import SnapshotTable, shared_folder
 from skein.streaming import streams
 
 
@@ -275,3 +279,41 @@ def parse_tool_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_faq(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "concat('[{\"question\": \"q ', user_id, '\", \"answer\": \"a ', event_type, '\"}]')"
     return enrich.faqs(_answers(spark, sf_dir, body), "event_id").select("source_doc", "question", "said")
+
+
+def _as_lines(spark: SparkSession, rows: DataFrame) -> str:
+    """Rows as JSON lines in the shared folder."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return path
+
+
+@query("faq_ingest", """
+WITH p AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user')
+SELECT conv_id || ':' || turn AS source_doc, question || chr(10) || answer AS content FROM p WHERE trim(coalesce(question, '')) <> '' AND trim(coalesce(answer, '')) <> ''""")
+def faq_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = t.table(spark, sf_dir, "conversations")
+    answers = said.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = said.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(answers, ["conv_id", "turn"], "left")
+    lines = pairs.select("question", "answer", F.lit("chat").alias("category"), F.concat_ws(":", "conv_id", "turn").alias("source_doc"))
+    table = SnapshotTable(spark, f"{shared_folder(spark)}/faq-{uuid.uuid4().hex}")
+    table.replace(jsonl.faq(spark, _as_lines(spark, lines)))
+    return table.read().select("source_doc", "content")
+
+
+@query("hyperedge_load", "SELECT CAST(edge_id AS VARCHAR) AS edge, equipment, name FROM hyperedge")
+def hyperedge_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = t.hyperedges(spark, sf_dir).select(F.col("edge_id").cast("string").alias("edgeId"), "equipment", "condition", "parameter", "fault", F.col("sop_doc").alias("sopDoc"), F.col("extended_entities").alias("extendedEntities"))
+    loaded = jsonl.hyperedges(spark, _as_lines(spark, edges))
+    return loaded.select(F.col("edgeId").alias("edge"), "equipment", F.get("extendedEntities", F.lit(0))["value"].alias("name"))
+
+
+@query("image_desc_ingest", "SELECT sha256(url) AS chunk_id, 'page ' || page_id AS content, 'industrial_images' AS collection FROM pages")
+def image_desc_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = t.table(spark, sf_dir, "pages").select(F.col("url").alias("image_path"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("description"), F.lit("web").alias("category"))
+    return jsonl.image_descriptions(spark, _as_lines(spark, pages)).select("chunk_id", "content", "collection")
+
+
+@query("random_sample")
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.table(spark, sf_dir, "benchmark").orderBy(F.rand(7)).limit(3)
