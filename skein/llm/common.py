@@ -124,7 +124,8 @@ def words(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         in_word = np.arange(len(where)) - np.repeat(firsts, length)
         value = _BYTES[buf[where]] * _POWERS[in_word & 1023]
         if int(length.max()) > 1024:
-            value = mixed(value + (in_word >> 10).astype(np.uint64))
+            late = np.flatnonzero(in_word >> 10)
+            value[late] = mixed(value[late] + (in_word[late] >> 10).astype(np.uint64))
         hashes = mixed(np.add.reduceat(value, firsts) + length.astype(np.uint64))
         owner = np.asarray(owners)[np.searchsorted(np.asarray(starts), begin, side="right") - 1]
         yield owner, hashes, length

@@ -1,0 +1,136 @@
+"""BPE, fingerprints, licences and personal data against plain re-statements."""
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from skein.llm import bpe, fingerprints, licenses, pii
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.ranks_of(PATH), special_tokens={})
+
+
+def test_bpe_equals_the_tokenizer_on_odd_texts(reference):
+    r = random.Random(3)
+    letters = "aabbcdetTHE  \n\t'’sñéß漢字😀12  \x1c\x1d\x85 ​́²½٣!?.,_-\r\x00"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(1500)] + ["a" * 3000, "aab" * 500, "", None, "<|endoftext|>"]
+    codec = bpe.MergeReplay(PATH, PATTERN)
+    split, known = codec.pieces(texts)
+    for text, pieces in zip(texts, split):
+        ids = [i for p in pieces for i in known[p]]
+        assert ids == reference.encode_ordinary(text or "") and codec.decoded(ids) == (text or "").encode()
+
+
+def test_bpe_columns_and_digests(docs, corpus, reference):
+    rows = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, PATH, PATTERN).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = set()
+    for d, t, *_ in corpus:
+        if t == "x" * 300_000:
+            continue
+        ids = reference.encode_ordinary(t or "")
+        want.add((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
+    assert want <= rows and len(rows) == len({d for d, *_ in corpus})
+    both = bpe.decode(bpe.encode(docs.where("doc_id < 70"), PATH, PATTERN), PATH)
+    assert both.where(F.col("decoded").cast("string") != F.col("text")).count() == 0
+
+
+def indel(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_likeness_is_the_edit_distance():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(r.choice("AB") for _ in range(r.randint(5, 30))) for _ in range(2))
+        got = fingerprints._alike(a, b)
+        assert got == 0 or abs(got - (1 - indel(a, b) / (len(a) + len(b)))) < 1e-12
+
+
+def test_fingerprints_of_edited_documents(docs, corpus, empty_docs):
+    got = sorted(fingerprints.edited_against_next(docs.select("doc_id", "text")).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
+    rows = sorted((d, t or "") for d, t, *_ in corpus)
+    assert len(got) == len(rows)
+    for i, (r, (d, t)) in enumerate(zip(got, rows)):
+        following = rows[(i + 1) % len(rows)][1]
+        n = len(t)
+        edited = t[: n - n // 4] + following[: n // 4]
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (d, n, hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == fingerprints.fingerprint(t.encode()) and r["edited_fingerprint"] == fingerprints.fingerprint(edited.encode())
+        assert r["near_next"] == fingerprints.likeness(r["fingerprint"], fingerprints.fingerprint(following.encode()))
+    assert fingerprints.edited_against_next(empty_docs.select("doc_id", "text")).count() == 0
+    assert fingerprints.edited_against_next(docs.where("doc_id = 5").select("doc_id", "text")).first()["near_next"] == 1.0
+
+
+def test_an_insertion_moves_no_far_boundary():
+    r = random.Random(8)
+    text = bytes(r.choice(b"abcdefgh ") for _ in range(3000))
+    assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(text[:40] + b"inserted" + text[40:])) > 0.9
+
+
+def test_licences(spark, docs, empty_docs):
+    texts = ["prose here\nReleased under the MIT License.\nmore", "LICENSED!! UNDER!! CC BY-NC 4.0", "under the license", None, "", "a\n\nThis library is licensed under the GNU\nLesser General Public License, version 3.\n\nb", "License " * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["kind"], r["unit"], r["license"]) for r in licenses.scan(rows).collect())
+    assert got == [(0, "line", 1, "MIT"), (0, "line", 1, "MIT"), (1, "line", 0, "CC-BY-NC-4.0"), (5, "paragraph", 0, "LGPL-3.0")]
+    assert licenses.scan(empty_docs).count() == 0 and licenses.scan(docs).count() == 0
+
+
+def test_licence_anchors_cannot_miss_a_match():
+    r = random.Random(4)
+    for _, text in licenses.TEMPLATES:
+        grams = licenses.template_bigrams(text)
+        words = licenses.anchors(grams, 0.8)
+        for _ in range(200):
+            kept = [g for g in grams if r.random() < 0.75]
+            if kept and 2 * len(kept) / (len(grams) + len(kept)) >= 0.8:
+                assert any(not words.isdisjoint(g.split()) for g in kept)
+
+
+PRIVATE = [
+    "mail an.na@post.example.com or AN.NA@post.example.com now", "call +1 (017) 555-7713 or +1 017 555 7713 today", "ip 97.51.17.173.", "card 4111 1111 1111 1111 and 4111111111111111",
+    'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "Frau Anna Schmidt met Herr Schmidt", "г-н said Господин Иванов left", "ssn 123-45-6789", "plain 1234 text 10.5", None, "",
+]
+
+
+def test_surrogates(spark, empty_docs):
+    rows = spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(rows, "key").collect()}
+    assert [got[i]["n_entities"] for i in range(11)] == [2, 2, 1, 2, 1, 2, 1, 1, 0, 0, 0]
+    assert got[8]["text"] == PRIVATE[8] and got[9]["text"] is None and got[10]["text"] == ""
+    a, b = re.findall(r"\S+@\S+", got[0]["text"])
+    assert a.lower() == b.lower() != "an.na@post.example.com" and b.split("@")[0].isupper()
+    phones = re.findall(r"\+1[ ()\d-]+\d", got[1]["text"])
+    digits = [re.sub(r"\D", "", p) for p in phones]
+    assert digits[0] == digits[1] != "10175557713" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0])
+    cards = [re.sub(r"\D", "", c) for c in re.findall(r"\d{4}(?: ?\d{4}){3}", got[3]["text"])]
+    luhn = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, cards[0])))
+    assert cards[0] == cards[1] != "4111111111111111" and luhn % 10 == 0
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[4]["text"]) and "b44e15" not in got[4]["text"]
+    frau, herr = re.fullmatch(r"Frau (\w+ \w+) met Herr (\w+)", got[5]["text"]).groups()
+    assert frau.split()[1] == herr != "Schmidt" and frau.split()[0] in pii.GIVEN_NAMES["latin", "f"]
+    assert re.fullmatch(r"г-н said Господин [А-Яа-я]+ left", got[6]["text"]) and "Иванов" not in got[6]["text"]
+    assert pii.replace_entities(empty_docs, "key").count() == 0
+
+
+def test_clashes_are_resolved(spark):
+    """Entities of one type with few possible surrogates all get their own, and none is a known entity."""
+    found = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] * 1, "kind string, canonical string")
+    again = {(r["kind"], r["canonical"]): r["attempt"] for r in pii.clashes(found, "key").collect()}
+    rows = spark.createDataFrame([(1, " ".join(r["canonical"] for r in found.collect()))], "doc_id long, text string")
+    new = pii.replace_entities(rows, "key").first()["text"].split()
+    assert again and len(set(new)) == 26
