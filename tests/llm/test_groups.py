@@ -141,7 +141,7 @@ def test_top_k(spark):
     r = random.Random(12)
     vector = lambda: [r.choice([-1.0, -0.5, 0.25, 1.5]) * r.random() for _ in range(6)]
     rows = [(i, vector()) for i in range(700)]
-    rows += [(i, rows[3][1]) for i in range(700, 900)] + [(1000, None), (1001, [1.0, None, 0, 0, 0, 0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1100, [0.0] * 6)]
+    rows += [(i, rows[3][1]) for i in range(700, 900)] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1100, [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = sorted(tuple(x) for x in topk.topk_query(df).collect())
     assert got == brute_top([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 10)

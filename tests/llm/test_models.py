@@ -60,6 +60,7 @@ def test_factorisation_identity():
 def test_quality_on_the_labelled_documents(spark, sf_dir):
     from skein.llm.common import documents
 
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = quality.quality_query(documents(spark, sf_dir), labels).join(labels, "doc_id").collect()
     tested = [r for r in got if r["held_out"]]
@@ -73,4 +74,5 @@ def test_quality_edges(spark, docs, empty_docs):
     got = quality.quality_query(docs, labels)
     assert got.count() == docs.count() and got.where("score is null").count() == 0
     assert quality.quality_query(empty_docs, labels).count() == 0
-    assert {r["score"] for r in quality.quality_query(docs, labels.where("false")).collect()} <= {r["score"] for r in quality.quality_query(docs, labels.where("false")).collect()}
+    unlearned = [r["score"] for r in quality.quality_query(docs, labels.where("false")).collect()]
+    assert len(unlearned) == docs.count() and all(abs(s - 0.5) < 0.1 for s in unlearned)
