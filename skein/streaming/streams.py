@@ -21,9 +21,9 @@ def file_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFra
     return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], spark: SparkSession) -> None:
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], spark: SparkSession, mode: str = "append") -> None:
     """Drive a stream over all available input, batch by batch."""
-    started = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    started = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     started.awaitTermination()
 
 
@@ -58,13 +58,12 @@ def feedback_stream(spark: SparkSession, path: str, messages: DataFrame) -> Data
 
 
 def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Tumbling-hour message and user counts with a watermark, folded from an append stream of window totals."""
+    """Tumbling-hour counts and sums with a watermark: changed windows of each batch replace their earlier state in a table."""
     events = file_stream(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    counted = events.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    name = f"hours_{uuid.uuid4().hex}"
-    done = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).select(F.col("w.start").alias("hour"), "n", "total")
+    counted = events.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "n", "total")
+    state = FoldedTable(spark, lambda df: df.groupBy("hour").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")))
+    run_to_end(counted, state.step, spark, mode="update")
+    return state.read(spark.createDataFrame([], "hour timestamp, n long, total double"))
 
 
 def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -164,3 +164,33 @@ def test_empty_inputs(spark):
     assert fusion.fuse(fusion.dedup(empty), {}).count() == 0
     assert vectors.top_k(spark.createDataFrame([], "vec_id long, v array<double>"), spark.createDataFrame([], "vec_id long, v array<double>"), 3).count() == 0
     assert memory.history_window(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), 2).count() == 0
+
+
+def test_streams_over_several_files_equal_their_batches(spark, sf_dir, tmp_path):
+    from skein.streaming import streams
+
+    events = tables.table(spark, sf_dir, "events")
+    path = str(tmp_path / "events.parquet")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    hours = {(r["hour"], r["n"]) for r in streams.hourly_counts(spark, path, "40 days").collect()}
+    want = {(r[0], r[1]) for r in events.groupBy(F.date_trunc("hour", "ts").cast("timestamp")).count().collect()}
+    assert hours == want
+    docs = str(tmp_path / "documents.parquet")
+    twice = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    twice.repartition(3).write.parquet(docs)
+    got = streams.document_stream(spark, docs, lambda df: chunking.by_lines(df, 5))
+    assert sorted(got.select("doc_id", "idx", "content").collect()) == sorted(chunking.by_lines(twice, 5).select("doc_id", "idx", "content").collect())
+
+
+def test_snapshot_table_and_json_lines(spark, tmp_path):
+    from skein.sources import jsonl, snapshots
+
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"))
+    assert table.read() is None
+    table.replace(spark.range(3))
+    table.replace(table.read().where("id > 0"))
+    assert table.read().count() == 2
+    lines = tmp_path / "faq.jsonl"
+    lines.write_text('{"question": "q", "answer": "a"}\n\n{"question": "q"}\nnot json\n')
+    assert [r["content"] for r in jsonl.faq(spark, str(lines)).collect()] == ["q\na"]
+    assert jsonl.binary_files(spark, str(tmp_path), "*.jsonl").first()["mime"] == "application/octet-stream"
