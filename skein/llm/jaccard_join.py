@@ -32,7 +32,7 @@ from skein.llm.common import components, mixed, saved, word_hashes
 SKETCH_BITS = 21
 _BLOCK_BITS = 15
 MOST_MATCHES = 8  # of shared prefix shingles that a document may ask for
-INDEX_COST, CANDIDATE_COST = 1.0, 1.0  # of one more index row, of one more candidate
+INDEX_COST, MEETING_COST, CANDIDATE_COST = 1.0, 1.0, 4.0  # of an index row, of a row that it meets in the join, of a candidate to verify
 FILTER_BITS = 23
 
 
@@ -121,7 +121,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                     first = len(s) - -(-percent * len(s) // 100)
                     expected = np.cumsum(np.maximum(often[order[: first + MOST_MATCHES]] - load, 0))
                     reach = np.minimum(first + asked, len(s)) - 1
-                    cost = INDEX_COST * asked + CANDIDATE_COST * expected[reach] / asked
+                    cost = INDEX_COST * asked + (MEETING_COST + CANDIDATE_COST / asked) * expected[reach]
                     best = int(cost.argmin()) + 1 if len(s) > first + 1 else 1
                     matches.append(best)
                     chosen.append(s[order[: first + best]].view(np.int64))
@@ -139,7 +139,7 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough; texts, which are smaller than their sets, go to the pairs."""
+    """Pairs (a, b) of nodes by their whole sets: whether they link, and their distance (1 - similarity); texts, which are smaller than their sets, go to the pairs."""
     held = lambda n: holders.select(F.col("node").alias(n), F.col("holder").alias(f"holder_{n}"))
     named = saved(pairs.join(held("a"), "a").join(held("b"), "b"))
     # A bitmap of fixed size (2**FILTER_BITS bits, numbered from 1) keeps texts that nobody asks for out of the shuffle.
@@ -152,67 +152,88 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
     asked = candidates.withColumn("_at", place).withColumn("bucket", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1)
     texts = asked.select("holder", "said").repartition("holder").dropDuplicates(["holder", "said"])
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf("known boolean, link boolean, distance double")
+    def compared(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
         out = []
         for k in range(0, len(a), 256):
             part = slice(k, k + 256)
             for node_a, node_b, s, t in zip(a[part], b[part], shingle_sets(x[part].tolist(), size), shingle_sets(y[part].tolist(), size)):
                 shared = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(_node(s) == node_a and _node(t) == node_b and 100 * shared >= percent * (len(s) + len(t) - shared))
-        return pd.Series(out, dtype=bool)
+                union = len(s) + len(t) - shared
+                out.append((_node(s) == node_a and _node(t) == node_b, 100 * shared >= percent * union, 1 - shared / max(union, 1)))
+        return pd.DataFrame(out, columns=["known", "link", "distance"])
 
     side = lambda n: texts.select(F.col("holder").alias(f"holder_{n}"), F.col("said").alias(f"said_{n}"))
     both = named.join(side("a"), "holder_a").join(side("b"), "holder_b")
-    return both.where(similar("a", "b", "said_a", "said_b")).select("a", "b").distinct()
+    seen = both.select("a", "b", compared("a", "b", "said_a", "said_b").alias("c"))
+    return seen.where("c.known").select("a", "b", "c.link", "c.distance").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of `docs`: id, n (set size) and component (smallest id reachable by links, its own if there are none)."""
     docs = docs.select(id_col, text_col)
     members = saved(prefixes(docs, id_col, text_col, size, percent))
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")).withColumn("length", F.size("prefix"))
     holders = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"))
-    index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
+    index = saved(nodes.select("node", "n", "matches", "length", F.posexplode("prefix").alias("at", "item")))
     held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
-    # `alone` is how many of a node's shingles before this one nobody else holds. In a link with overlap t the k-th common shingle
-    # has t - k common ones behind it, so at most n - t shingles before it are not common; rows beyond that can't serve a link.
-    before = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    # `alone` is how many shingles of a node's prefix nobody else holds: they are in no overlap, so a link's is at most n - alone.
+    alone = F.col("length") - F.count(F.lit(1)).over(Window.partitionBy("node"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    common = saved(index.join(held, "item").withColumn("alone", F.col("at") - before).where(F.col("alone") <= spare))
+    # `rank` is how many held ones go before it, so it is at most the (rank + 1)-th common one; the k-th has t - k others behind it.
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    common = saved(index.join(held, "item").withColumn("alone", alone).withColumn("rank", rank).where(F.col("alone") <= spare).drop("length"))
 
     # Round 1: each node with the one that holds most of its shingles earliest.
     overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
     hopeful = (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent) & (F.col("at") <= F.col("n") - overlap) & (F.col("first_at") <= F.col("first_n") - overlap)
     tally = common.where("node <> first").where(hopeful).groupBy("node", "first").agg(F.count(F.lit(1)).alias("k"))
-    stars = tally.groupBy("node").agg(F.max_by("first", "k").alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    linked = saved(_verified(saved(stars), docs, holders, id_col, text_col, size, percent))
+    chosen = saved(tally.groupBy("node").agg(F.max_by("first", "k").alias("pivot")).select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+    measured = saved(_verified(chosen.select("a", "b").distinct(), docs, holders, id_col, text_col, size, percent))
+    linked = measured.where("link").select("a", "b")
     merged = saved(components(linked))
+    # The distance is a metric: two nodes with the same pivot link only if their distances to it are alike.
+    pivots = chosen.select(F.col("pivot").alias("node")).distinct()
+    own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))
+    placed = own.unionByName(chosen.join(measured, ["a", "b"]).select("node", "pivot", "distance").join(pivots, "node", "left_anti"))
 
     # Round 2: shingles that several components share, between different components alone.
-    rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
-    kinds = rows.groupBy("item", "part").agg(F.max(F.col("n") - F.col("alone")).alias("room"), F.min("n").alias("n"))
-    kind = lambda part: kinds.select("item", F.col("part").alias(part), F.col("room").alias(f"{part}_room"), F.col("n").alias(f"{part}_n"))
+    kinds = rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("alone")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot"))
+    kind = lambda part: kinds.select("item", F.col("part").alias(part), *[F.col(c).alias(f"{part}_{c}") for c in ("held", "room", "n", "matches", "lo", "hi", "pivot")])
     possible = F.least("p_room", "q_room") >= _least_overlap(F.col("p_n"), F.col("q_n"), percent)
-    meets = kind("p").join(kind("q"), "item").where(F.col("p") < F.col("q")).where(possible).select("item", "p", "q")
-    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "alone")])
-    asked = F.least("x_matches", "y_matches")
+    # p is the component with fewer nodes at the shingle: its rows are joined first.
+    fewer = (F.col("p_held") < F.col("q_held")) | ((F.col("p_held") == F.col("q_held")) & (F.col("p") < F.col("q")))
+    meets = kind("p").join(kind("q"), "item").where(fewer).where(possible).withColumn("one", F.least("p", "q")).withColumn("other", F.greatest("p", "q"))
+    # Two components need as many common shingles as the least that any two of their nodes ask for.
+    enough = meets.groupBy("one", "other").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("p_matches", "q_matches")).alias("asked")).where("k >= asked").select("one", "other")
+    meets = meets.select("item", "p", "q", "q_room", "q_n", "q_lo", "q_hi", "q_pivot", "one", "other").join(enough, ["one", "other"]).drop("one", "other")
+    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "rank", "alone", "pivot", "distance")])
+    asked, rank = F.least("x_matches", "y_matches"), F.least("x_rank", "y_rank")
+    reach = 1 - percent / 100 + 1e-9
     overlap = _least_overlap(F.col("x_n"), F.col("y_n"), percent)
     near = (
         (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
         & (F.col("x_at") <= F.col("x_n") - overlap + asked - 1) & (F.col("y_at") <= F.col("y_n") - overlap + asked - 1)
         & (F.col("x_alone") <= F.col("x_n") - overlap) & (F.col("y_alone") <= F.col("y_n") - overlap)
+        & (F.col("x_at") - rank <= F.col("x_n") - overlap) & (F.col("y_at") - rank <= F.col("y_n") - overlap)
+        & F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= reach), F.lit(True))
     )
-    met = meets.join(side("x_", "p"), ["item", "p"]).join(side("y_", "q"), ["item", "q"]).where(near)
+    most = _least_overlap(F.col("x_n"), F.col("q_n"), percent)
+    fits = (
+        (F.least(F.col("x_n") - F.col("x_alone"), "q_room") >= most) & (F.col("x_at") <= F.col("x_n") - most + F.col("x_matches") - 1) & (F.col("x_at") - F.col("x_rank") <= F.col("x_n") - most)
+        & F.coalesce((F.col("x_pivot") != F.col("q_pivot")) | ((F.col("x_distance") >= F.col("q_lo") - reach) & (F.col("x_distance") <= F.col("q_hi") + reach)), F.lit(True))
+    )
+    met = meets.join(side("x_", "p"), ["item", "p"]).where(fits).join(side("y_", "q"), ["item", "q"]).where(near)
     pairs = met.groupBy("x_node", "y_node").agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
-    more = _verified(saved(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))), docs, holders, id_col, text_col, size, percent)
+    more = _verified(saved(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
     groups = saved(components(linked.unionByName(more)))
 
-    placed = members.select("id", "n", "node").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    least = placed.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    return placed.select("id", "n", "part").join(least, "part", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    grouped = members.select("id", "n", "node").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = grouped.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
+    return grouped.select("id", "n", "part").join(least, "part", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def jaccard_query(docs: DataFrame) -> DataFrame:
