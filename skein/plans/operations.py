@@ -60,21 +60,23 @@ def dash_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_trends() -> None:
     windows = {"day": (HOURS, "range(TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-01-31 00:00:01', INTERVAL 1 DAY)"), "hour": (48, "range(TIMESTAMP '2024-01-29 01:00:00', TIMESTAMP '2024-01-31 00:00:01', INTERVAL 1 HOUR)")}
-    users, quality = F.count_distinct("user_id"), F.round(F.avg((F.col("status") == "ERROR").cast("int")) * 100, 4)
+    rows = lambda: {"n": F.count(F.lit(1))}
+    users = lambda: {"n": F.count_distinct("user_id")}
+    latency = lambda: {"avg_ms": F.floor(F.avg("duration_ms") + 0.5).cast("long")}
+    quality = lambda: {"error_rate": F.round(F.avg((F.col("status") == "ERROR").cast("int")) * 100, 4)}
     kinds = {
-        "sessions": (t.sessions, "create_time", {"n": F.count(F.lit(1))}, "session", "count(*) AS n"),
-        "messages": (t.chat_messages, "create_time", {"n": F.count(F.lit(1))}, "chat_message", "count(*) AS n"),
-        "active": (t.chat_messages, "create_time", {"n": users}, "chat_message", "count(DISTINCT user_id) AS n"),
-        "latency": (lambda s, d: t.trace_runs(s, d).where("status = 'SUCCESS'"), "start_time", {"avg_ms": F.floor(F.avg("duration_ms") + 0.5).cast("long")}, "(SELECT * FROM trace_run WHERE status = 'SUCCESS')", "CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS avg_ms"),
-        "quality": (t.trace_runs, "start_time", {"error_rate": quality}, "trace_run", "round(avg(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) * 100, 4) AS error_rate"),
+        "sessions": (t.sessions, "create_time", "n", rows, "session", "count(*) AS n"),
+        "messages": (t.chat_messages, "create_time", "n", rows, "chat_message", "count(*) AS n"),
+        "active": (t.chat_messages, "create_time", "n", users, "chat_message", "count(DISTINCT user_id) AS n"),
+        "latency": (lambda s, d: t.trace_runs(s, d).where("status = 'SUCCESS'"), "start_time", "avg_ms", latency, "(SELECT * FROM trace_run WHERE status = 'SUCCESS')", "CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS avg_ms"),
+        "quality": (t.trace_runs, "start_time", "error_rate", quality, "trace_run", "round(avg(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) * 100, 4) AS error_rate"),
     }
     for unit, (hours, spine) in windows.items():
-        for kind, (view, at, values, source, said) in kinds.items():
-            names = ", ".join(f"coalesce({v}, 0) AS {v}" for v in values)
-            sql = f"WITH b AS (SELECT unnest({spine}) AS bucket), c AS (SELECT date_trunc('{unit}', {at}) AS bucket, {said} FROM {source} GROUP BY 1) SELECT CAST(b.bucket AS TIMESTAMP) AS bucket, {names} FROM b LEFT JOIN c USING (bucket)"
+        for kind, (view, at, value, make, source, said) in kinds.items():
+            sql = f"WITH b AS (SELECT unnest({spine}) AS bucket), c AS (SELECT date_trunc('{unit}', {at}) AS bucket, {said} FROM {source} GROUP BY 1) SELECT CAST(b.bucket AS TIMESTAMP) AS bucket, coalesce({value}, 0) AS {value} FROM b LEFT JOIN c USING (bucket)"
 
-            def run(spark: SparkSession, sf_dir: str, view=view, at=at, values=values, unit=unit, hours=hours) -> DataFrame:  # noqa: ANN001
-                return metrics.trend(view(spark, sf_dir), at, NOW, hours, unit, values)
+            def run(spark: SparkSession, sf_dir: str, view=view, at=at, make=make, unit=unit, hours=hours) -> DataFrame:  # noqa: ANN001
+                return metrics.trend(view(spark, sf_dir), at, NOW, hours, unit, make())
 
             query(f"dash_trend_{kind}_{unit}", sql)(run)
 
