@@ -15,11 +15,11 @@ PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenize
 
 
 @pytest.fixture(scope="module")
-def reference():
+def tokenizer():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.ranks_of(PATH), special_tokens={})
 
 
-def test_bpe_equals_the_tokenizer_on_odd_texts(reference):
+def test_bpe_equals_the_tokenizer_on_odd_texts(tokenizer):
     r = random.Random(3)
     letters = "aabbcdetTHE  \n\t'’sñéß漢字😀12  \x1c\x1d\x85 ​́²½٣!?.,_-\r\x00"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(1500)] + ["a" * 3000, "aab" * 500, "", None, "<|endoftext|>"]
@@ -27,17 +27,17 @@ def test_bpe_equals_the_tokenizer_on_odd_texts(reference):
     split, known = codec.pieces(texts)
     for text, pieces in zip(texts, split):
         ids = [i for p in pieces for i in known[p]]
-        assert ids == reference.encode_ordinary(text or "") and codec.decoded(ids) == (text or "").encode()
+        assert ids == tokenizer.encode_ordinary(text or "") and codec.decoded(ids) == (text or "").encode()
 
 
-def test_bpe_columns_and_digests(docs, corpus, reference):
+def test_bpe_columns_and_digests(docs, corpus, tokenizer):
     rows = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, PATH, PATTERN).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = set()
     for d, t, *_ in corpus:
         if t == "x" * 300_000:
             continue
-        ids = reference.encode_ordinary(t or "")
+        ids = tokenizer.encode_ordinary(t or "")
         want.add((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert want <= rows and len(rows) == len({d for d, *_ in corpus})
     both = bpe.decode(bpe.encode(docs.where("doc_id < 70"), PATH, PATTERN), PATH)
