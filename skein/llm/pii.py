@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved
+from skein.llm.common import saved, shuffle_width
 
 # Forms of address by gender.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа"]
@@ -69,11 +69,14 @@ def _digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Colum
     return F.concat(F.sha2(said, 256), F.sha2(F.concat(F.lit("more|"), said), 256))
 
 
-def _replaced(match: Column, digest: Column, keep_digits: Column, hexadecimal: bool = False) -> Column:
+def _streams(digest: Column) -> Column:
+    """The digest as hexadecimal digits, decimal digits, and letters of two scripts."""
+    return F.struct(digest.alias("hex"), F.translate(digest, "abcdef", "135790").alias("digits"), F.translate(digest, "0123456789abcdef", "abcdefghiklmnopr").alias("latin"), F.translate(digest, "0123456789abcdef", "абвгдежзиклмнопр").alias("cyrillic"))
+
+
+def _replaced(match: Column, streams: Column, keep_digits: Column, hexadecimal: bool = False) -> Column:
     """Digits become digits and letters letters of the same case and script; everything else and the first `keep_digits` digits stay."""
-    as_digits = F.translate(digest, "abcdef", "135790")
-    as_letters = F.translate(digest, "0123456789abcdef", "abcdefghiklmnoprs")
-    as_cyrillic = F.translate(digest, "0123456789abcdef", "абвгдежзиклмнопр")
+    digest, as_digits, as_letters, as_cyrillic = streams["hex"], streams["digits"], streams["latin"], streams["cyrillic"]
 
     def one(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(match, F.lit(1), i), "[^0-9]", ""))
@@ -113,15 +116,17 @@ def surrogates(key: str, described: Column) -> Column:
     The digest of each is laid beside it first, so that it is computed once and not where each character is replaced.
     """
     digested = F.transform(described, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), _digest(key, e["kind"], e["canonical"], e["attempt"]).alias("digest")))
-    return F.transform(digested, lambda e: _surrogate(key, e["kind"], e["canonical"], e["match"], e["attempt"], e["digest"]))
+    streamed = F.transform(digested, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), _streams(e["digest"]).alias("streams")))
+    return F.transform(streamed, lambda e: _surrogate(key, e["kind"], e["canonical"], e["match"], e["attempt"], e["streams"]))
 
 
-def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column, digest: Column) -> Column:
+def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column, streams: Column) -> Column:
+    digest = streams["hex"]
     octet = lambda k: (F.conv(F.substring(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
     local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
-    more = F.when(attempt > 0, F.concat(F.lit("."), F.substring(F.translate(digest, "abcdef", "135790"), F.lit(100), attempt * 3))).otherwise("")
+    more = F.when(attempt > 0, F.concat(F.lit("."), F.substring(streams["digits"], F.lit(100), attempt * 3))).otherwise("")
     host = F.concat(F.lit("mail"), F.conv(F.substring(digest, F.lit(90), F.lit(2)), 16, 10), F.lit(".example."), F.substring_index(F.lower(domain), ".", -1))
-    email = F.concat(_replaced(local, digest, F.lit(0)), more, F.lit("@"), F.when(domain.rlike("[a-z]"), host).otherwise(F.upper(host)))
+    email = F.concat(_replaced(local, streams, F.lit(0)), more, F.lit("@"), F.when(domain.rlike("[a-z]"), host).otherwise(F.upper(host)))
     title = F.regexp_extract(match, rf"^({_TITLE}) ", 1)
     given = F.regexp_extract(match, rf"^{_TITLE} (\p{{Lu}}\p{{Ll}}+) ", 1)
     gender = F.when(F.regexp_replace(title, r"\.$", "").isin(FEMALE_TITLES), "f").otherwise("m")
@@ -129,11 +134,11 @@ def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt
     first = lambda script: F.element_at(F.when(gender == "f", F.array(*[F.lit(x) for x in GIVEN_NAMES[script, "f"]])).otherwise(F.array(*[F.lit(x) for x in GIVEN_NAMES[script, "m"]])), number)
     named = lambda script: F.concat_ws(" ", F.when(title != "", title), F.when(given != "", first(script)), _surname(script, digest, attempt))
     return (
-        F.when(kind == "email", email).when(kind == "secret", _replaced(match, digest, F.lit(0), hexadecimal=True))
+        F.when(kind == "email", email).when(kind == "secret", _replaced(match, streams, F.lit(0), hexadecimal=True))
         .when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)]))
-        .when(kind == "phone", _replaced(match, digest, F.length(canonical) - 10))
-        .when(kind == "card", F.when(_luhn_valid(canonical), _checked(_replaced(match, digest, F.lit(1)))).otherwise(_replaced(match, digest, F.lit(1))))
-        .when(kind == "ssn", _replaced(match, digest, F.lit(0)))
+        .when(kind == "phone", _replaced(match, streams, F.length(canonical) - 10))
+        .when(kind == "card", F.when(_luhn_valid(canonical), _checked(_replaced(match, streams, F.lit(1)))).otherwise(_replaced(match, streams, F.lit(1))))
+        .when(kind == "ssn", _replaced(match, streams, F.lit(0)))
         .otherwise(F.when(match.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
     )
 
@@ -167,7 +172,8 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     """
     one = F.array(F.struct(F.col("kind"), F.col("canonical"), F.col("canonical").alias("match"), F.col("attempt")))
     rekeyed = lambda df: df.withColumn("surrogate", F.element_at(F.transform(surrogates(key, one), lambda s: _canonical(F.col("kind"), s)), 1))
-    now = saved(rekeyed(found.withColumn("attempt", F.lit(0))))
+    # Rows are small and their surrogates are work: they are dealt to as many tasks as a shuffle has.
+    now = saved(rekeyed(found.repartition(shuffle_width(found.sparkSession), "canonical").withColumn("attempt", F.lit(0))))
     taken = found.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     while True:
         owner = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("keeps"), F.count(F.lit(1)).alias("k"))
