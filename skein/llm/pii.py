@@ -39,6 +39,8 @@ SYLLABLES = {
     "cyrillic": ["ба", "вер", "гор", "дон", "жил", "зан", "кол", "лев", "мир", "нов", "пол", "рад", "сол", "том", "фед", "чер"],
 }
 
+BROADCAST_ROWS = 20_000  # most rows with a re-derived surrogate that are sent to all tasks, so that texts stay where they are
+
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True)) + r")\.?"
 PATTERNS = {
@@ -197,6 +199,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     else:
         entry = F.struct(F.concat_ws("|", "kind", "canonical").alias("k"), F.col("attempt").alias("v"))
         per_row = found.join(again, ["kind", "canonical"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_again"))
+        per_row = saved(per_row)
+        if per_row.count() <= BROADCAST_ROWS:  # else both sides are shuffled by id
+            per_row = F.broadcast(per_row)
         known = docs.join(per_row, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     attempt = lambda kind, canonical: F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", kind, canonical)), F.lit(0))
     split = known.withColumn("_matches", entities(text)).withColumn("_new", surrogates(key, described(F.col("_matches"), attempt)))
