@@ -227,8 +227,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         & F.coalesce((F.col("x_pivot") != F.col("q_pivot")) | ((F.col("x_distance") >= F.col("q_lo") - reach) & (F.col("x_distance") <= F.col("q_hi") + reach)), F.lit(True))
     )
     met = meets.join(side("x_", "p"), ["item", "p"]).where(fits).join(side("y_", "q"), ["item", "q"]).where(near)
-    pairs = met.groupBy("x_node", "y_node").agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
-    more = _verified(saved(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
+    # Which of two components is p may change from shingle to shingle, so a pair of nodes is counted in one order.
+    pairs = met.groupBy(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
+    more = _verified(saved(pairs.select("a", "b")), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
     groups = saved(components(linked.unionByName(more)))
 
     grouped = members.select("id", "n", "node").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))

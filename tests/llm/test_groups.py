@@ -57,6 +57,21 @@ def test_near_groups_of_random_edits(spark):
     assert got == brute_groups(rows, 4, 85)
 
 
+def test_near_groups_of_several_components(spark):
+    """Round one leaves chains of substituted copies in several components, whose nodes ask for several common shingles."""
+    r = random.Random(21)
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{r.randrange(300)}" for _ in range(r.choice([40, 60, 90, 120]))]
+        for _ in range(25):
+            for _ in range(r.randint(1, 3)):
+                words[r.randrange(len(words))] = f"e{r.randrange(100_000)}"
+            rows.append((len(rows), " ".join(words)))
+    r.shuffle(rows)
+    got = sorted(tuple(x) for x in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_groups(rows, 4, 85)
+
+
 def test_near_groups_edges(spark, empty_docs, odd_columns):
     assert jaccard_join.near_groups(empty_docs).count() == 0
     only_null = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
