@@ -173,16 +173,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of `docs`: id, n (set size) and component (smallest id reachable by links, its own if there are none)."""
     docs = docs.select(id_col, text_col)
     members = saved(prefixes(docs, id_col, text_col, size, percent))
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")).withColumn("length", F.size("prefix"))
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     holders = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"))
-    index = saved(nodes.select("node", "n", "matches", "length", F.posexplode("prefix").alias("at", "item")))
+    index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
     held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
-    # `alone` is how many shingles of a node's prefix nobody else holds: they are in no overlap, so a link's is at most n - alone.
-    alone = F.col("length") - F.count(F.lit(1)).over(Window.partitionBy("node"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     # `rank` is how many held ones go before it, so it is at most the (rank + 1)-th common one; the k-th has t - k others behind it.
+    # The at - rank others before it are in no overlap with a node that has it in its prefix, as that prefix would hold them too. Of those
+    # behind it nothing is known: a partner may have them beyond its own prefix.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
-    common = saved(index.join(held, "item").withColumn("alone", alone).withColumn("rank", rank).where(F.col("alone") <= spare).drop("length"))
+    common = saved(index.join(held, "item").withColumn("rank", rank).where(F.col("at") - F.col("rank") <= spare))
 
     # Round 1: each node with the one that holds most of its shingles earliest.
     overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
-    kinds = rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("alone")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot"))
+    kinds = rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("at") + F.col("rank")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot"))
     kind = lambda part: kinds.select("item", F.col("part").alias(part), *[F.col(c).alias(f"{part}_{c}") for c in ("held", "room", "n", "matches", "lo", "hi", "pivot")])
     possible = F.least("p_room", "q_room") >= _least_overlap(F.col("p_n"), F.col("q_n"), percent)
     # p is the component with fewer nodes at the shingle: its rows are joined first.
@@ -210,20 +210,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Two components need as many common shingles as the least that any two of their nodes ask for.
     enough = meets.groupBy("one", "other").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("p_matches", "q_matches")).alias("asked")).where("k >= asked").select("one", "other")
     meets = meets.select("item", "p", "q", "q_room", "q_n", "q_lo", "q_hi", "q_pivot", "one", "other").join(enough, ["one", "other"]).drop("one", "other")
-    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "rank", "alone", "pivot", "distance")])
+    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "rank", "pivot", "distance")])
     asked, rank = F.least("x_matches", "y_matches"), F.least("x_rank", "y_rank")
     reach = 1 - percent / 100 + 1e-9
     overlap = _least_overlap(F.col("x_n"), F.col("y_n"), percent)
     near = (
         (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
         & (F.col("x_at") <= F.col("x_n") - overlap + asked - 1) & (F.col("y_at") <= F.col("y_n") - overlap + asked - 1)
-        & (F.col("x_alone") <= F.col("x_n") - overlap) & (F.col("y_alone") <= F.col("y_n") - overlap)
         & (F.col("x_at") - rank <= F.col("x_n") - overlap) & (F.col("y_at") - rank <= F.col("y_n") - overlap)
         & F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= reach), F.lit(True))
     )
     most = _least_overlap(F.col("x_n"), F.col("q_n"), percent)
     fits = (
-        (F.least(F.col("x_n") - F.col("x_alone"), "q_room") >= most) & (F.col("x_at") <= F.col("x_n") - most + F.col("x_matches") - 1) & (F.col("x_at") - F.col("x_rank") <= F.col("x_n") - most)
+        (F.col("q_room") >= most) & (F.col("x_at") <= F.col("x_n") - most + F.col("x_matches") - 1) & (F.col("x_at") - F.col("x_rank") <= F.col("x_n") - most)
         & F.coalesce((F.col("x_pivot") != F.col("q_pivot")) | ((F.col("x_distance") >= F.col("q_lo") - reach) & (F.col("x_distance") <= F.col("q_hi") + reach)), F.lit(True))
     )
     met = meets.join(side("x_", "p"), ["item", "p"]).where(fits).join(side("y_", "q"), ["item", "q"]).where(near)

@@ -72,6 +72,32 @@ def test_near_groups_of_several_components(spark):
     assert got == brute_groups(rows, 4, 85)
 
 
+def test_near_groups_of_insertions(spark):
+    """Copies with words put in or appended: a link's overlap may lie beyond the prefix of the longer side."""
+    r = random.Random(23)
+    rare = lambda k: [f"a{r.randrange(1 << 40)}" for _ in range(k)]
+    texts = []
+    for g in range(20):
+        words = [f"g{g}w{r.randrange(400)}" for _ in range(r.choice([40, 60, 90]))]
+        for _ in range(8):
+            at, k = r.choice([r.randrange(len(words)), len(words)]), r.randint(1, 16)
+            copy = words[:at] + rare(k) + words[at:]
+            texts.append(copy)
+            if r.random() < 0.3:
+                words = copy
+    # In each family `base` and its appended copies link, but share few shingles within their prefixes, and other texts hold those as early.
+    passage = [f"p{i}" for i in range(90)]
+    texts += [rare(60) + passage for _ in range(30)]
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(89)]
+        texts += [base] + [base + rare(14) for _ in range(10)] + [base[:8] + passage[: 80 + j] for j in range(8)]
+        texts += [base[5:] + rare(30) for _ in range(20)] + [rare(40) + base[5:8] + passage[:3] + rare(40) for _ in range(15)]
+    rows = list(enumerate(map(" ".join, texts)))
+    r.shuffle(rows)
+    got = sorted(tuple(x) for x in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_groups(rows, 4, 85)
+
+
 def test_near_groups_edges(spark, empty_docs, odd_columns):
     assert jaccard_join.near_groups(empty_docs).count() == 0
     only_null = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
