@@ -5,7 +5,7 @@ social-security numbers, names after a form of address). An entity has a canonic
 surrogate is derived from a keyed digest of type and canonical form. So all mentions of one entity, in any format and any document,
 get the same surrogate (coreference), digits stay digits and letters stay letters of their script and case, card numbers keep a valid
 check digit, and forms of address keep their gender. The distinct entities of the corpus are checked: where two of one type would share a surrogate, or a
-surrogate is itself an entity of the corpus, the later one is derived anew until none clash (distinctness).
+surrogate is itself an entity of the corpus, the later one is derived anew until none clash (distinctness). Given names are entities of their own, by gender.
 
 Only DataFrame functions are used. Texts are split at the matches and put together again, so a surrogate is never searched for entities.
 
@@ -17,6 +17,7 @@ columns stay.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,18 +27,15 @@ from skein.llm.common import saved, shuffle_width
 # Forms of address by gender.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа"]
 MALE_TITLES = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "господин"]
-# Given names for surrogates.
-GIVEN_NAMES = {
-    ("latin", "f"): ["Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora"],
-    ("latin", "m"): ["Adrian", "Bruno", "David", "Felix", "Jonas", "Leo", "Martin", "Oscar"],
-    ("cyrillic", "f"): ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"],
-    ("cyrillic", "m"): ["Андрей", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Семён"],
-}
 # Syllables of surrogate surnames, one for each hexadecimal digit.
 SYLLABLES = {
     "latin": ["ba", "den", "fer", "gol", "han", "kel", "lin", "mor", "nes", "pol", "ral", "sen", "tor", "vas", "wil", "zan"],
     "cyrillic": ["ба", "вер", "гор", "дон", "жил", "зан", "кол", "лев", "мир", "нов", "пол", "рад", "сол", "том", "фед", "чер"],
 }
+# Endings of surrogate given names, by gender.
+ENDINGS = {("latin", "f"): "ia", ("latin", "m"): "us", ("cyrillic", "f"): "ия", ("cyrillic", "m"): "ий"}
+# Given names of a first attempt, three syllables and the ending; a later attempt has more syllables.
+GIVEN_NAMES = {(script, gender): {"".join(parts).capitalize() + end for parts in product(SYLLABLES[script], repeat=3)} for (script, gender), end in ENDINGS.items()}
 
 BROADCAST_ROWS = 20_000  # most rows with a re-derived surrogate that are sent to all tasks, so that texts stay where they are
 
@@ -62,7 +60,15 @@ def _kind(match: Column) -> Column:
 
 def _canonical(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", F.regexp_extract(match, r"(\S+)$", 1)).otherwise(F.lower(match))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", F.regexp_extract(match, r"(\S+)$", 1)).when(kind.startswith("given_"), match).otherwise(F.lower(match))
+
+
+def _given_name(match: Column) -> Column:
+    return F.regexp_extract(match, rf"^{_TITLE} (\p{{Lu}}\p{{Ll}}+) ", 1)
+
+
+def _gender(match: Column) -> Column:
+    return F.when(F.regexp_replace(F.regexp_extract(match, rf"^({_TITLE}) ", 1), r"\.$", "").isin(FEMALE_TITLES), "f").otherwise("m")
 
 
 def _digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -112,17 +118,21 @@ def _surname(script: str, digest: Column, attempt: Column) -> Column:
     return F.initcap(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), part)))
 
 
+def _given(script: str, gender: Column, digest: Column, attempt: Column) -> Column:
+    return F.concat(_surname(script, digest, attempt), F.when(gender == "f", F.lit(ENDINGS[script, "f"])).otherwise(F.lit(ENDINGS[script, "m"])))
+
+
 def surrogates(key: str, described: Column) -> Column:
-    """Replacements of an array of structs (kind, canonical, match, attempt).
+    """Replacements of an array of structs (kind, canonical, match, attempt, given_attempt).
 
     The digest of each is laid beside it first, so that it is computed once and not where each character is replaced.
     """
-    digested = F.transform(described, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), _digest(key, e["kind"], e["canonical"], e["attempt"]).alias("digest")))
-    streamed = F.transform(digested, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), _streams(e["digest"]).alias("streams")))
-    return F.transform(streamed, lambda e: _surrogate(key, e["kind"], e["canonical"], e["match"], e["attempt"], e["streams"]))
+    digested = F.transform(described, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), e["given_attempt"].alias("given_attempt"), _digest(key, e["kind"], e["canonical"], e["attempt"]).alias("digest")))
+    streamed = F.transform(digested, lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["match"].alias("match"), e["attempt"].alias("attempt"), e["given_attempt"].alias("given_attempt"), _streams(e["digest"]).alias("streams")))
+    return F.transform(streamed, lambda e: _surrogate(key, e["kind"], e["canonical"], e["match"], e["attempt"], e["given_attempt"], e["streams"]))
 
 
-def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column, streams: Column) -> Column:
+def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt: Column, given_attempt: Column, streams: Column) -> Column:
     digest = streams["hex"]
     octet = lambda k: (F.conv(F.substring(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
     local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
@@ -130,17 +140,18 @@ def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt
     host = F.concat(F.lit("mail"), F.conv(F.substring(digest, F.lit(90), F.lit(2)), 16, 10), F.lit(".example."), F.substring_index(F.lower(domain), ".", -1))
     email = F.concat(_replaced(local, streams, F.lit(0)), more, F.lit("@"), F.when(domain.rlike("[a-z]"), host).otherwise(F.upper(host)))
     title = F.regexp_extract(match, rf"^({_TITLE}) ", 1)
-    given = F.regexp_extract(match, rf"^{_TITLE} (\p{{Lu}}\p{{Ll}}+) ", 1)
-    gender = F.when(F.regexp_replace(title, r"\.$", "").isin(FEMALE_TITLES), "f").otherwise("m")
-    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), given, gender), 256), F.lit(1), F.lit(4)), 16, 10).cast("int") % 8 + 1
-    first = lambda script: F.element_at(F.when(gender == "f", F.array(*[F.lit(x) for x in GIVEN_NAMES[script, "f"]])).otherwise(F.array(*[F.lit(x) for x in GIVEN_NAMES[script, "m"]])), number)
+    given, gender = _given_name(match), _gender(match)
+    given_kind = F.concat(F.lit("given_"), gender)
+    first = lambda script: _given(script, gender, _digest(key, given_kind, given, given_attempt), given_attempt)
     named = lambda script: F.concat_ws(" ", F.when(title != "", title), F.when(given != "", first(script)), _surname(script, digest, attempt))
+    alone = lambda script: _given(script, F.right(kind, F.lit(1)), digest, attempt)
     return (
         F.when(kind == "email", email).when(kind == "secret", _replaced(match, streams, F.lit(0), hexadecimal=True))
         .when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)]))
         .when(kind == "phone", _replaced(match, streams, F.length(canonical) - 10))
         .when(kind == "card", F.when(_luhn_valid(canonical), _checked(_replaced(match, streams, F.lit(1)))).otherwise(_replaced(match, streams, F.lit(1))))
         .when(kind == "ssn", _replaced(match, streams, F.lit(0)))
+        .when(kind.startswith("given_"), F.when(match.rlike(r"\p{IsCyrillic}"), alone("cyrillic")).otherwise(alone("latin")))
         .otherwise(F.when(match.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
     )
 
@@ -160,10 +171,10 @@ def _described(match: Column) -> Column:
 
 
 def described(matches: Column, attempt=lambda kind, canonical: F.lit(0)) -> Column:  # noqa: ANN001
-    """Matches as structs (match, kind, canonical, attempt)."""
+    """Matches as structs (match, kind, canonical, attempt, given, given_attempt); `given` is the kind and canonical form of a given name."""
     kinds = F.transform(matches, _described)
-    known = F.transform(kinds, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), _canonical(e["kind"], e["match"]).alias("canonical")))
-    return F.transform(known, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), e["canonical"].alias("canonical"), attempt(e["kind"], e["canonical"]).alias("attempt")))
+    known = F.transform(kinds, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), _canonical(e["kind"], e["match"]).alias("canonical"), F.when((e["kind"] == "name") & (_given_name(e["match"]) != ""), F.struct(F.concat(F.lit("given_"), _gender(e["match"])).alias("kind"), _given_name(e["match"]).alias("canonical"))).alias("given")))
+    return F.transform(known, lambda e: F.struct(e["match"].alias("match"), e["kind"].alias("kind"), e["canonical"].alias("canonical"), attempt(e["kind"], e["canonical"]).alias("attempt"), e["given"].alias("given"), F.coalesce(attempt(e["given"]["kind"], e["given"]["canonical"]), F.lit(0)).alias("given_attempt")))
 
 
 def clashes(found: DataFrame, key: str) -> DataFrame:
@@ -172,7 +183,7 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     `found` holds the distinct (kind, canonical). In each round, of those that share a surrogate the first keeps it, and one that
     equals an entity of the corpus is given up; the others are derived anew.
     """
-    one = F.array(F.struct(F.col("kind"), F.col("canonical"), F.col("canonical").alias("match"), F.col("attempt")))
+    one = F.array(F.struct(F.col("kind"), F.col("canonical"), F.col("canonical").alias("match"), F.col("attempt"), F.lit(0).alias("given_attempt")))
     rekeyed = lambda df: df.withColumn("surrogate", F.element_at(F.transform(surrogates(key, one), lambda s: _canonical(F.col("kind"), s)), 1))
     # Rows are small and their surrogates are work: they are dealt to as many tasks as a shuffle has.
     now = saved(rekeyed(found.repartition(shuffle_width(found.sparkSession), "canonical").withColumn("attempt", F.lit(0))))
@@ -192,7 +203,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """Replace the entities in the text column and add n_entities; other columns stay."""
     text = F.col(text_col)
     mentions = saved(docs.select(F.col(id_col).alias("_id"), described(entities(text)).alias("_found")).where(F.size("_found") > 0))
-    found = mentions.select("_id", F.explode("_found").alias("e")).select("_id", "e.kind", "e.canonical")
+    named = lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"))
+    every = F.concat(F.transform("_found", named), F.transform(F.filter("_found", lambda e: e["given"].isNotNull()), lambda e: named(e["given"])))
+    found = mentions.select("_id", F.explode(every).alias("e")).select("_id", "e.kind", "e.canonical")
     again = saved(clashes(found.select("kind", "canonical").distinct(), key))
     if again.isEmpty():
         known = docs.withColumn("_again", F.lit(None).cast("map<string,int>"))
