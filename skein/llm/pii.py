@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import saved, shuffle_width
 
 # Forms of address by gender.
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа"]
-MALE_TITLES = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "господин"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "госпожа", "Lady", "Doña", "Signora"]
+MALE_TITLES = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "господин", "Sir", "Lord", "Don", "Signor"]
+OTHER_TITLES = ["Dr", "Prof", "Professor", "Doktor", "Доктор", "доктор", "Профессор", "профессор"]  # surrogate given names have the ending of men
 # Syllables of surrogate surnames, one for each hexadecimal digit.
 SYLLABLES = {
     "latin": ["ba", "den", "fer", "gol", "han", "kel", "lin", "mor", "nes", "pol", "ral", "sen", "tor", "vas", "wil", "zan"],
@@ -40,35 +41,48 @@ GIVEN_NAMES = {(script, gender): {"".join(parts).capitalize() + end for parts in
 BROADCAST_ROWS = 20_000  # most rows with a re-derived surrogate that are sent to all tasks, so that texts stay where they are
 
 _LOCAL = r"[\p{L}\p{N}._%+-]"
-_TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True)) + r")\.?"
+_ONE_TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=len, reverse=True)) + r")\.?"
+_TITLE = rf"{_ONE_TITLE}(?: {_ONE_TITLE}){{0,2}}"
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:['’]\p{L}[\p{L}\p{M}]+|-\p{Lu}[\p{L}\p{M}]*)*"
+_PARTICLES = r"(?:(?:von|van|der|den|de|da|di|del|della|du|la|le|zu|zur|bin|ibn|al) ){0,3}"
+_EDGE = r"(?![\p{L}\p{N}])"
+_NO_DATE = r"(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}(?![0-9]))"
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,128}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{1,8}}",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ ./-]?(?:\([0-9]{1,5}\)[ ./-]?)?(?:[0-9][ ./-]?){5,13}[0-9](?![0-9])"
+    r"|(?<![.,/-])(?:1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.|[0-9]{3} [0-9]{3} )[0-9]{4}(?![0-9]|[ -][0-9])"
+    rf"|(?<![.,/-]){_NO_DATE}(?![0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))(?:\(0[1-9][0-9]{{0,3}}\) ?|0[1-9][0-9]{{0,3}}[ /-])(?:[0-9][ -]?){{5,9}}[0-9](?![0-9]))",
     "card": r"(?<![0-9])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9])",
+    "long": r"(?<![0-9.,])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{6}(?:[ -])[0-9]{4,5}|[0-9]{4}(?: [0-9]{4}){3} [0-9]{1,3}|[0-9]{4}(?:-[0-9]{4}){3}-[0-9]{1,3})(?![0-9])".replace("([ -])", "[ -]"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} (?:\p{{Lu}}\p{{Ll}}+ )?\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} (?:(?:{_WORD}|\p{{Lu}}\.) ){{0,3}}{_PARTICLES}{_WORD}{_EDGE}",
 }
+_CODE = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|0[0-9])"  # country code, or the beginning of an area code
 ANY = "|".join(PATTERNS.values())
 
 
 def _kind(match: Column) -> Column:
     """Type of a match of ANY: the first pattern that matches it whole."""
-    return reduce(lambda rest, kind: F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(rest), reversed(PATTERNS), F.lit("name"))
+    first = reduce(lambda rest, kind: F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(rest), reversed(PATTERNS), F.lit("name"))
+    # A long number is a card if its check digit is right; else it is nobody's and stays.
+    return F.when(first != "long", first).otherwise(F.when(_luhn_valid(F.regexp_replace(match, "[^0-9]", "")), "card").otherwise("none"))
 
 
 def _canonical(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", F.regexp_extract(match, r"(\S+)$", 1)).when(kind.startswith("given_"), match).otherwise(F.lower(match))
+    # A national number of the 3-3-4 form is the same as with +1.
+    abroad = F.when(match.startswith("+"), F.concat(F.lit("+"), digits)).when(digits.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), digits)).when(digits.rlike("^1[0-9]{10}$"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(kind == "phone", abroad).when(kind.isin("card", "ssn"), digits).when(kind == "none", match).when(kind == "name", F.regexp_extract(match, r"(\S+)$", 1)).when(kind.startswith("given_"), match).otherwise(F.lower(match))
 
 
 def _given_name(match: Column) -> Column:
-    return F.regexp_extract(match, rf"^{_TITLE} (\p{{Lu}}\p{{Ll}}+) ", 1)
+    return F.regexp_extract(match, rf"^{_TITLE} ((?:(?:{_WORD}|\p{{Lu}}\.) ){{0,2}}(?:{_WORD}|\p{{Lu}}\.)) {_PARTICLES}{_WORD}$", 1)
 
 
 def _gender(match: Column) -> Column:
-    return F.when(F.regexp_replace(F.regexp_extract(match, rf"^({_TITLE}) ", 1), r"\.$", "").isin(FEMALE_TITLES), "f").otherwise("m")
+    return F.when(F.regexp_extract(match, rf"^({_TITLE}) ", 1).rlike(rf"(?:^| )(?:{'|'.join(FEMALE_TITLES)})(?:$|[. ])"), "f").otherwise("m")
 
 
 def _digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -94,7 +108,7 @@ def _replaced(match: Column, streams: Column, keep_digits: Column, hexadecimal:
             return F.when(c.rlike("[A-F]"), F.upper(new)).otherwise(new)
         letter = F.when(c.rlike(r"\p{IsCyrillic}"), F.substring(as_cyrillic, at, F.lit(1))).otherwise(F.substring(as_letters, at, F.lit(1)))
         return (
-            F.when(c.rlike("[0-9]"), F.when(before < keep_digits, c).otherwise(F.substring(as_digits, F.pmod(before, F.lit(128)) + 1, F.lit(1))))
+            F.when(c.rlike("[0-9]"), F.when(before <= keep_digits, c).otherwise(F.substring(as_digits, F.pmod(before - keep_digits, F.lit(128)) + 1, F.lit(1))))
             .when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
         )
 
@@ -106,10 +120,10 @@ def _checked(card: Column) -> Column:
     digits = F.regexp_replace(card, "[^0-9]", "")
 
     def weighed(i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+        d = F.substring(digits, i, F.lit(1)).try_cast("int") * F.when((F.length(digits) - i) % 2 == 1, 2).otherwise(1)
         return F.when(d > 9, d - 9).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(15)), weighed), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1))), weighed), F.lit(0), lambda a, x: a + x)
     return F.concat(F.substring(card, F.lit(1), F.length(card) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
@@ -148,9 +162,9 @@ def _surrogate(key: str, kind: Column, canonical: Column, match: Column, attempt
     return (
         F.when(kind == "email", email).when(kind == "secret", _replaced(match, streams, F.lit(0), hexadecimal=True))
         .when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)]))
-        .when(kind == "phone", _replaced(match, streams, F.length(canonical) - 10))
+        .when(kind == "phone", _replaced(match, streams, F.length(F.regexp_replace(match, "[^0-9]", "")) - F.length(F.regexp_replace(canonical, _CODE, ""))))
         .when(kind == "card", F.when(_luhn_valid(canonical), _checked(_replaced(match, streams, F.lit(1)))).otherwise(_replaced(match, streams, F.lit(1))))
-        .when(kind == "ssn", _replaced(match, streams, F.lit(0)))
+        .when(kind == "ssn", _replaced(match, streams, F.lit(0))).when(kind == "none", match)
         .when(kind.startswith("given_"), F.when(match.rlike(r"\p{IsCyrillic}"), alone("cyrillic")).otherwise(alone("latin")))
         .otherwise(F.when(match.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
     )
@@ -162,8 +176,15 @@ def _luhn_valid(digits: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """All matches in a text, in order; empty for most texts after a cheap look for what every entity contains."""
-    titled = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in FEMALE_TITLES + MALE_TITLES])
-    return F.when(text.rlike("[0-9@]") | titled, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    titled = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in FEMALE_TITLES + MALE_TITLES + OTHER_TITLES])
+    return F.when(text.rlike("[0-9@]") | titled, F.regexp_extract_all(text, F.concat(F.lit("("), pattern(text), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
+def pattern(text: Column) -> Column:
+    """ANY, and the surnames that stand in the text after a form of address, as they are written, without one."""
+    named = F.when(text.rlike(PATTERNS["name"]), F.regexp_extract_all(text, F.lit(f"({PATTERNS['name']})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    surnames = F.array_distinct(F.transform(named, lambda n: F.regexp_extract(n, r"(\S+)$", 1)))
+    return F.when(F.size(surnames) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.concat_ws("|", surnames), F.lit(")" + _EDGE))).otherwise(F.lit(ANY))
 
 
 def _described(match: Column) -> Column:
@@ -204,7 +225,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     text = F.col(text_col)
     mentions = saved(docs.select(F.col(id_col).alias("_id"), described(entities(text)).alias("_found")).where(F.size("_found") > 0))
     named = lambda e: F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"))
-    every = F.concat(F.transform("_found", named), F.transform(F.filter("_found", lambda e: e["given"].isNotNull()), lambda e: named(e["given"])))
+    every = F.concat(F.transform(F.filter("_found", lambda e: e["kind"] != "none"), named), F.transform(F.filter("_found", lambda e: e["given"].isNotNull()), lambda e: named(e["given"])))
     found = mentions.select("_id", F.explode(every).alias("e")).select("_id", "e.kind", "e.canonical")
     again = saved(clashes(found.select("kind", "canonical").distinct(), key))
     if again.isEmpty():
@@ -217,10 +238,10 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
             per_row = F.broadcast(per_row)
         known = docs.join(per_row, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     attempt = lambda kind, canonical: F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", kind, canonical)), F.lit(0))
-    split = known.withColumn("_matches", entities(text)).withColumn("_new", surrogates(key, described(F.col("_matches"), attempt)))
-    pieces = F.split(text, ANY, -1)
+    split = known.withColumn("_matches", entities(text)).withColumn("_new_kinds", F.transform("_matches", _kind)).withColumn("_new", surrogates(key, described(F.col("_matches"), attempt)))
+    pieces = F.split(text, pattern(text), -1)
     joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.col("_new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
-    return split.withColumn(text_col, F.when(F.size("_matches") > 0, joined).otherwise(text)).withColumn("n_entities", F.coalesce(F.size("_matches"), F.lit(0))).drop("_matches", "_new", "_again")
+    return split.withColumn(text_col, F.when(F.size("_matches") > 0, joined).otherwise(text)).withColumn("n_entities", F.coalesce(F.size(F.filter("_new_kinds", lambda k: k != "none")), F.lit(0))).drop("_matches", "_new", "_new_kinds", "_again")
 
 
 def pii_query(docs: DataFrame, key: str = "skein-surrogates") -> DataFrame:

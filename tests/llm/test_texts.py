@@ -143,3 +143,21 @@ def test_people_with_one_surname_stay_apart(spark):
     rows = spark.createDataFrame([(i, f"Mr {n} Weber and Mr. {n} Weber") for i, n in enumerate(given)], "doc_id long, text string")
     new = [re.fullmatch(r"Mr (\w+ \w+) and Mr\. (\w+ \w+)", r["text"]).groups() for r in pii.replace_entities(rows, "key").collect()]
     assert all(a == b for a, b in new) and len({a for a, _ in new}) == len(given) and len({a.split()[1] for a, _ in new}) == 1
+
+
+def test_other_forms_of_personal_data(spark):
+    kept = ["on 01-02-2024 10:30", "id 1234567890123", "plain 1234 text 10.5", "version 1.2.3"]
+    gone = {
+        "call (743) 555-3824 or +1 743 555 3824": ["555"], "call 743-555-3824.": ["3824"], "tel +49 30 1234567": ["1234567"], "tel +33 6 12 34 56 78": ["34 56"], "tel 0171 1234567": ["1234567"],
+        "amex 3782 822463 10005 or 378282246310005": ["822463"], "Mr. John Ronald Smith left. Smith's car": ["John", "Ronald", "Smith"], "Mrs. O'Brien": ["Brien"], "Frau Meyer-Schulz": ["Meyer", "Schulz"],
+        "Dr. Smith": ["Smith"], "Herr Prof. Dr. Weber and Weber": ["Weber"], "Mr. J. Smith": ["J.", "Smith"],
+    }
+    rows = spark.createDataFrame(list(enumerate([*kept, *gone])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(rows, "key").collect()}
+    assert [(got[i]["text"], got[i]["n_entities"]) for i in range(len(kept))] == [(t, 0) for t in kept]
+    for i, (text, parts) in enumerate(gone.items(), len(kept)):
+        assert not any(p in got[i]["text"] for p in parts), (text, got[i]["text"])
+    a, b = re.fullmatch(r"call (\(\d{3}\) \d{3}-\d{4}) or \+1 (\d{3} \d{3} \d{4})", got[len(kept)]["text"]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    a, b = re.fullmatch(r"Herr Prof\. Dr\. (\w+) and (\w+)", got[len(kept) + 10]["text"]).groups()
+    assert a == b
