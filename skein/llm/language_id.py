@@ -10,7 +10,7 @@ Calibration, on sampled rows that the fit does not see: a temperature for the so
 which all but `ALPHA` of the correctly labelled rows lie above; less than that is rejected.
 
 Edge cases: a text that is null, empty or without a letter is `und` with score 0 and rejected; rows without labels are
-scored but not learned; repeated rows and ties are scored alike; with no labelled row at all every text is `und`. Extra
+scored but not learned; repeated rows and ties are scored alike; with no labelled row at all every text is `und`. More than MOST_LANGUAGES labels are an error. Extra
 columns of the input are kept by :func:`identify`.
 """
 
@@ -31,6 +31,7 @@ TRAINING_ROWS = 4000  # bound on the labelled rows that reach the driver, shared
 WINDOW_CHARS = 60  # every sampled text is also learned as one short excerpt, so that short texts are known
 EPOCHS = 5
 ALPHA = 0.0005
+MOST_LANGUAGES = 200  # bound on the labels that the driver gets; more of them are an error
 MOST_LEVEL = 0.4  # the rejection level is never above this, so that short clean texts stay
 _BLOCK = 1 << 20
 
@@ -123,7 +124,9 @@ def _features(text: pd.Series, offset: pd.Series) -> pd.Series:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS, seed: int = 7) -> LanguageModel:
     """Learn from at most `rows` rows with a text and a language; a quarter of them serve calibration only."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}: some could not be learned")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -177,7 +180,7 @@ def _calibrate(model: LanguageModel, logits: np.ndarray, labels: np.ndarray) ->
     top = _softmax(logits / model.temperature)
     right = top.argmax(axis=1) == labels
     if right.any():
-        model.least = float(min(np.quantile(top.max(axis=1)[right], ALPHA), 0.5))
+        model.least = float(min(np.quantile(top.max(axis=1)[right], ALPHA), MOST_LEVEL))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

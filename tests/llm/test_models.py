@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from skein.llm import language_id, quality
 
@@ -76,3 +77,16 @@ def test_quality_edges(spark, docs, empty_docs):
     assert quality.quality_query(empty_docs, labels).count() == 0
     unlearned = [r["score"] for r in quality.quality_query(docs, labels.where("false")).collect()]
     assert len(unlearned) == docs.count() and all(abs(s - 0.5) < 0.1 for s in unlearned)
+
+
+def test_rejection_level_is_bounded():
+    """Rows of which the best probability is close to a half keep a level of MOST_LEVEL at most."""
+    model = language_id.LanguageModel(["a", "b"], np.zeros((1, 2)), np.zeros(2), 1.0, 0.0)
+    language_id._calibrate(model, np.array([[2.0, 0.0], [0.0, 2.0]] * 50), np.array([0, 1] * 50))
+    assert 0 < model.least <= language_id.MOST_LEVEL
+
+
+def test_more_languages_than_can_be_learned(spark):
+    rows = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(language_id.MOST_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than"):
+        language_id.fit(rows)
