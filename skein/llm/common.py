@@ -20,24 +20,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, and of the jobs it starts later, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only in local mode, where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        found = spark.sparkContext.getCheckpointDir()
-        named = found or tempfile.mkdtemp(prefix="spark-checkpoints-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    """The same rows, written as Parquet to the shared folder and read back: lineage is cut, lost executors cost nothing.
+
+    The folder is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def beside(df: DataFrame, **needed: Column) -> DataFrame:
+    """Each input row as one struct `_row` beside the columns that an operator needs, so that no name of the input can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in needed.items()])
+
+
+def rows_with(df: DataFrame, names: list[str], **results: Column) -> DataFrame:
+    """The columns `names` of `_row`, and results; a result takes the place of an input column of its name."""
+    return df.select(*[F.col(f"_row.`{c}`") for c in names if c not in results], *[c.alias(name) for name, c in results.items()])
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,12 +6,14 @@ gives a probability for each learned language. Table and layer are trained toget
 numpy, on a bounded sample of labelled rows. Because the layer is linear, the average of embeddings followed by the layer
 equals the average of per-window scores; scoring uses that table (buckets x languages).
 
-Calibration, on sampled rows that the fit does not see: a temperature for the softmax, and the probability below
-which all but `ALPHA` of the correctly labelled rows lie above; less than that is rejected.
-
-Edge cases: a text that is null, empty or without a letter is `und` with score 0 and rejected; rows without labels are
-scored but not learned; repeated rows and ties are scored alike; with no labelled row at all every text is `und`. More than MOST_LANGUAGES labels are an error. Extra
-columns of the input are kept by :func:`identify`.
+Calibration, on sampled rows that the fit does not see: a temperature for the softmax, and the rejection level, the highest
+probability (at most MOST_LEVEL) that all but `ALPHA` of the rightly labelled rows reach. The model keeps what the level does: its
+coverage (share of those rows that pass) and its false acceptance (share of rows of shuffled letters, which are no language, that pass).
+
+Edge cases: a text that is null, empty or without a letter is `und` with score 0 and rejected; very long texts are scored whole, in
+blocks; rows without labels are scored but not learned; repeated rows and ties are scored alike (of equal probabilities the language first in
+alphabetical order); a row with a null id is not held out; with no labelled row, or an empty table, every text is `und`. More than MOST_LANGUAGES labels
+are an error. :func:`identify` keeps all columns of the input, but those named lang_pred, score or rejected give way to its results.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucket_of
+from skein.llm.common import beside, bucket_of, rows_with
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 TRAINING_ROWS = 4000  # bound on the labelled rows that reach the driver, shared evenly among the languages
+TRAINING_CHARS = 4000  # bound on the characters of a sampled text that are learned, from a place that its hash names; scoring takes whole texts
 WINDOW_CHARS = 60  # every sampled text is also learned as one short excerpt, so that short texts are known
 EPOCHS = 5
 ALPHA = 0.0005
@@ -87,6 +91,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     least: float  # rejection level
+    coverage: float = 1.0  # of rightly labelled rows that calibration has seen
+    false_acceptance: float = 1.0  # of shuffled rows
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         k = len(self.languages)
@@ -109,16 +115,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _features(text: pd.Series, offset: pd.Series) -> pd.Series:
-    """Bucket counts of each text and of one excerpt of it."""
+def _features(text: pd.Series, at: pd.Series) -> pd.Series:
+    """Buckets and relative frequencies of each text, of one excerpt of it, and of its letters in random order."""
 
     def counted(t: str) -> dict:
         raw = _normalised(t)
         found = np.concatenate([b for _, b in _grams(np.frombuffer(b" " + raw + b" ", np.uint8))] or [np.empty(0, np.int32)])
         bucket, n = np.unique(found, return_counts=True)
-        return {"bucket": bucket.astype(np.int32), "n": n.astype(np.int32)}
+        return {"bucket": bucket.astype(np.uint16).tobytes(), "weight": (n / max(1, n.sum())).astype(np.float32).tobytes()}
+
+    def shuffled(t: str, seed: int) -> str:
+        return "".join(np.random.default_rng(seed).permutation(list(t))) if t else ""
 
-    return pd.Series([[counted(t), counted(t[o % max(1, len(t) - WINDOW_CHARS) :][:WINDOW_CHARS])] for t, o in zip(text, offset)])
+    excerpts = [t[o % max(1, len(t) - WINDOW_CHARS) :][:WINDOW_CHARS] for t, o in zip(text, at)]
+    return pd.Series([[counted(t), counted(e), counted(shuffled(t[: 4 * WINDOW_CHARS], int(o)))] for t, e, o in zip(text, excerpts, at)])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS, seed: int = 7) -> LanguageModel:
@@ -134,24 +144,40 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     each = max(1, rows // len(languages))
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, each / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    features = F.pandas_udf(_features, "array<struct<bucket:array<int>,n:array<int>>>")
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
+    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    start = F.pmod(F.shiftright(hashed, 31), F.greatest(F.length(text_col) - TRAINING_CHARS + 1, F.lit(1))) + 1
+    features = F.pandas_udf(_features, "array<struct<bucket:binary,weight:binary>>")
     sample = usable.where(draw < share).select(
-        F.col(lang_col).alias("lang"), (F.pmod(F.xxhash64(id_col, F.lit(seed + 1)), F.lit(4)) == 0).alias("aside"),
-        features(F.col(text_col), F.pmod(F.xxhash64(id_col), F.lit(1 << 20))).alias("f"),
-    ).limit(2 * rows).toArrow().to_pandas()
-    known = {lang: i for i, lang in enumerate(languages)}
-    data = [(f["bucket"], f["n"] / max(1, f["n"].sum()), known[lang], aside) for lang, aside, both in zip(sample["lang"], sample["aside"], sample["f"]) for f in both if len(f["n"])]
-    data.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))  # the order in which tasks end must not matter
+        F.col(lang_col).alias("lang"), (F.pmod(F.xxhash64(id_col, text_col, F.lit(seed + 1)), F.lit(4)) == 0).alias("aside"),
+        features(F.substring(F.col(text_col), start.cast("int"), F.lit(TRAINING_CHARS)), F.pmod(hashed, F.lit(1 << 20))).alias("f"),
+    ).limit(2 * rows).toArrow()
+    data, nobody = _unpacked(sample, {lang: i for i, lang in enumerate(languages)})
     table, layer, bias = _descend([x for x in data if not x[3]], len(languages), seed)
     scores = (table @ layer).astype(np.float32)
     model = LanguageModel(languages, scores, bias, 1.0, 0.0)
     aside = [x for x in data if x[3]]
     if aside:
-        _calibrate(model, np.array([w @ scores[b] + bias for b, w, _, _ in aside]), np.array([x[2] for x in aside]))
+        logits = lambda found: np.array([w @ scores[b] + bias for b, w, _, _ in found]).reshape(-1, len(languages))
+        _calibrate(model, logits(aside), np.array([x[2] for x in aside]), logits(nobody))
     return model
 
 
+def _unpacked(sample: pa.Table, known: dict[str, int]) -> tuple[list, list]:
+    """(bucket, weight, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones that are aside."""
+    data, nobody = [], []
+    for batch in sample.to_batches():
+        found = batch.column("f").flatten()
+        buckets, weights = found.field(0), found.field(1)
+        for i, (lang, aside) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("aside").to_pylist())):
+            for j in range(3):
+                bucket, weight = np.frombuffer(buckets[3 * i + j].as_buffer(), np.uint16), np.frombuffer(weights[3 * i + j].as_buffer(), np.float32)
+                if len(bucket) and (j < 2 or aside):
+                    (data if j < 2 else nobody).append((bucket, weight, known[lang], aside))
+    data.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))  # the order in which tasks end must not matter
+    return data, nobody
+
+
 def _descend(data: list, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stochastic gradient descent, one document a step; the rate falls linearly to zero."""
     random = np.random.default_rng(seed)
@@ -173,35 +199,39 @@ def _descend(data: list, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.
     return table, layer, bias
 
 
-def _calibrate(model: LanguageModel, logits: np.ndarray, labels: np.ndarray) -> None:
+def _calibrate(model: LanguageModel, logits: np.ndarray, labels: np.ndarray, nobody: np.ndarray) -> None:
+    """Set temperature and rejection level from rows with labels, and measure the level on them and on rows of no language."""
     rows = np.arange(len(labels))
     temperatures = np.geomspace(0.05, 8, 60)
     model.temperature = float(min(temperatures, key=lambda t: -np.log(_softmax(logits / t)[rows, labels] + 1e-12).mean()))
     top = _softmax(logits / model.temperature)
-    right = top.argmax(axis=1) == labels
-    if right.any():
-        model.least = float(min(np.quantile(top.max(axis=1)[right], ALPHA), MOST_LEVEL))
+    right = top.max(axis=1)[top.argmax(axis=1) == labels]
+    if len(right):
+        model.least = float(min(np.quantile(right, ALPHA), MOST_LEVEL))
+        model.coverage = float((right >= model.least).mean())
+    if len(nobody):
+        model.false_acceptance = float((_softmax(nobody / model.temperature).max(axis=1) >= model.least).mean())
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add lang_pred, score and rejected to each row."""
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return rows_with(beside(docs), docs.columns, lang_pred=F.lit("und"), score=F.lit(0.0), rejected=F.lit(True))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         p = model.probabilities(text.tolist())
         return pd.DataFrame({"lang_pred": np.asarray(model.languages, object)[p.argmax(axis=1)], "score": p.max(axis=1)})
 
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    scored = docs.withColumn("_p", predict(F.col(text_col))).withColumn("_l", lettered)
-    return scored.withColumns({
-        "lang_pred": F.when(F.col("_l"), F.col("_p.lang_pred")).otherwise("und"),
-        "score": F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0),
-    }).withColumn("rejected", ~F.col("_l") | (F.col("score") < model.least)).drop("_p", "_l")
+    text = F.col(f"`{text_col}`")
+    scored = beside(docs, _p=predict(text), _l=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return rows_with(
+        scored, docs.columns, lang_pred=F.when(F.col("_l"), F.col("_p.lang_pred")).otherwise("und"), score=F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0),
+        rejected=~F.col("_l") | (F.col("_p.score") < model.least),
+    )
 
 
 def language_query(docs: DataFrame) -> DataFrame:
-    held_out = bucket_of("doc_id", 4) == 2
+    held_out = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))  # a null id has no checksum
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -7,9 +7,10 @@ identity, sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i x_i v_i|^2 - sum_i x_i^2 |v_i|^
 of features. It is learned on the driver by adaptive stochastic gradient descent from a bounded sample of labelled
 rows; scoring runs in the tasks over every whole text.
 
-Edge cases: null and empty texts have the bins of empty structure and are scored; labels that are null or neither 0 nor 1
-are not learned; with no usable label every score is 0.5; repeated rows get equal scores; :func:`score_documents` keeps extra
-columns.
+Edge cases: null and empty texts have the bins of empty structure and are scored; very long texts are read whole; labels that are
+null or neither 0 nor 1 are not learned; with no usable label every score is near 0.5; repeated rows and ties get equal scores; a row with a
+null id has no label and is not held out; an empty table gives an empty result. :func:`score_documents` keeps all columns of the input, but
+those named score or predicted give way to its results.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucket_of, word_hashes
+from skein.llm.common import beside, bucket_of, rows_with, word_hashes
 
 WORD_BUCKETS = 1 << 15
 RANK = 8
@@ -84,15 +85,20 @@ class FactorisationMachine:
     factors: np.ndarray
     squares: np.ndarray  # of each feature's factors, summed
 
-    def score(self, at: np.ndarray, x: np.ndarray) -> float:
-        together = x @ self.factors[at]
-        z = self.bias + x @ self.weight[at] + 0.5 * (together @ together - (x * x) @ self.squares[at])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of documents by their features, all gathered at once."""
+        at, x = np.concatenate([a for a, _ in found]), np.concatenate([x for _, x in found])[:, None]
+        starts = np.concatenate(([0], np.cumsum([len(a) for a, _ in found])[:-1]))
+        flat = np.hstack((x * self.factors[at], x * self.weight[at, None], x * x * self.squares[at, None]))
+        summed = np.add.reduceat(flat, starts, axis=0)
+        together = summed[:, : self.factors.shape[1]]
+        z = self.bias + summed[:, -2] + 0.5 * ((together * together).sum(axis=1) - summed[:, -1])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
 
 def _features(text: pd.Series, chars: pd.Series) -> pd.DataFrame:
     found = features(text.tolist(), chars.tolist())
-    return pd.DataFrame({"at": [a for a, _ in found], "x": [x for _, x in found]})
+    return pd.DataFrame({"at": [a.tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str = "n_chars", rows: int = TRAINING_ROWS, seed: int = 11) -> FactorisationMachine:
@@ -100,10 +106,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
     share = min(1.0, rows / max(1, usable.count()))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share
-    read = F.pandas_udf(_features, "at array<int>, x array<float>")
+    read = F.pandas_udf(_features, "at binary, x binary")
     sample = docs.where(draw).select(id_col, text_col, chars_col).join(usable.where(draw), id_col)
-    got = sample.select("_y", read(text_col, F.col(chars_col).cast("double")).alias("f")).limit(2 * rows).toArrow().to_pandas()
-    data = sorted(((int(y), f["at"], f["x"]) for y, f in zip(got["_y"], got["f"])), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    got = sample.select(F.col("_y").cast("int"), read(text_col, F.col(chars_col).cast("double")).alias("f")).limit(2 * rows).toArrow()
+    data = []
+    for batch in got.to_batches():  # views of the Arrow buffers, not copies
+        at, x = batch.column("f").field(0), batch.column("f").field(1)
+        data += [(y, np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for y, a, v in zip(batch.column("_y").to_pylist(), at, x)]
+    data.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # the order in which tasks end must not matter
     return _descend(data, seed)
 
 
@@ -134,12 +144,16 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, text_col: str
 
     @F.pandas_udf("double")
     def scored(text: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([model.score(at, x) for at, x in features(text.tolist(), chars.tolist())])
+        out = [np.empty(0)]
+        for k in range(0, len(text), 256):
+            out.append(model.scores(features(text[k : k + 256].tolist(), chars[k : k + 256].tolist())))
+        return pd.Series(np.concatenate(out))
 
-    return docs.withColumn("score", scored(text_col, F.col(chars_col).cast("double"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = beside(docs, _score=scored(F.col(f"`{text_col}`"), F.col(f"`{chars_col}`").cast("double")))
+    return rows_with(rows, docs.columns, score=F.col("_score"), predicted=(F.col("_score") >= THRESHOLD).cast("int"))
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    held_out = bucket_of("doc_id", 5) == 0
+    held_out = F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))  # a null id has no checksum
     model = fit(docs, labels.where(~held_out))
     return score_documents(docs.select("doc_id", held_out.alias("held_out"), "text", "n_chars"), model).select("doc_id", "held_out", "score", "predicted")

@@ -33,8 +33,10 @@ def test_language_without_rows_or_labels(spark, docs, empty_docs):
 
 def test_language_keeps_extra_columns(odd_columns):
     model = language_id.fit(odd_columns)
-    got = language_id.identify(odd_columns.drop("score", "lang_pred"), model)
-    assert {"node", "holder", "tokens", "lang_pred", "score"} <= set(got.columns) and got.count() == odd_columns.count()
+    got = language_id.identify(odd_columns, model)
+    assert got.columns.count("score") == got.columns.count("lang_pred") == 1 and {"node", "holder", "tokens", "rejected"} <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == odd_columns.count() and all(r["node"] == "extra" and isinstance(r["score"], float) for r in rows)
 
 
 def test_window_table_equals_averaged_embeddings():
@@ -55,7 +57,8 @@ def test_factorisation_identity():
     model = quality.FactorisationMachine(0.1, w, v, (v**2).sum(axis=1))
     at, x = np.array([3, 8, 20, 41]), np.array([0.5, -1.0, 0.2, 0.7])
     pairs = sum(v[at[i]] @ v[at[j]] * x[i] * x[j] for i in range(4) for j in range(i))
-    assert np.isclose(model.score(at, x), 1 / (1 + np.exp(-(0.1 + w[at] @ x + pairs))))
+    want = 1 / (1 + np.exp(-(0.1 + w[at] @ x + pairs)))
+    assert np.allclose(model.scores([(at, x), (at[:1], x[:1]), (at, x)]), [want, 1 / (1 + np.exp(-(0.1 + w[3] * 0.5))), want])
 
 
 def test_quality_on_the_labelled_documents(spark, sf_dir):
@@ -82,7 +85,8 @@ def test_quality_edges(spark, docs, empty_docs):
 def test_rejection_level_is_bounded():
     """Rows of which the best probability is close to a half keep a level of MOST_LEVEL at most."""
     model = language_id.LanguageModel(["a", "b"], np.zeros((1, 2)), np.zeros(2), 1.0, 0.0)
-    language_id._calibrate(model, np.array([[2.0, 0.0], [0.0, 2.0]] * 50), np.array([0, 1] * 50))
+    language_id._calibrate(model, np.array([[2.0, 0.0], [0.0, 2.0]] * 50), np.array([0, 1] * 50), np.zeros((4, 2)))
+    assert model.coverage >= 1 - language_id.ALPHA and 0 <= model.false_acceptance <= 1
     assert 0 < model.least <= language_id.MOST_LEVEL
 
 
