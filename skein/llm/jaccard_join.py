@@ -12,12 +12,14 @@ group of edited copies, the least edited one); linked nodes are merged. Then the
 components share, and only between such components, which loses no link that could join two of them.
 
 Edge cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle
-count as one shingle; repeated rows and copies share a node; documents with the same id and different texts are separate nodes;
-a null id can't name a component unless it is alone in it; an empty table gives an empty result; extra columns are ignored.
+count as one shingle; very long texts are read whole; repeated rows, copies and ties share a node; rows are told apart by id and text, so rows of one
+id, or of null ids, with different texts are separate; a null id names a component only if all its ids are null; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import components, mixed, saved, word_hashes
 
-SKETCH_BITS = 21
+LEAST_BITS, MOST_BITS = 16, 22  # of the sketch's bucket numbers; it has about eight buckets a document, within these bounds
 _BLOCK_BITS = 15
 MOST_MATCHES = 8  # of shared prefix shingles that a document may ask for
 INDEX_COST, MEETING_COST, CANDIDATE_COST = 1.0, 1.0, 4.0  # of an index row, of a row that it meets in the join, of a candidate to verify
@@ -54,15 +56,21 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
 
 def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Documents per bucket of shingles, over all documents; 2**SKETCH_BITS counters at any input size."""
-    blocks = 1 << (SKETCH_BITS - _BLOCK_BITS)
+    """Documents per bucket of shingles, over all documents: 2**MOST_BITS counters at most.
+
+    Every task sends its counters in compressed blocks; they are added in two steps whose fan-in is about the square root of the
+    number of tasks each.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 3))
+    blocks = 1 << (bits - _BLOCK_BITS)
+    fan = math.isqrt(docs.rdd.getNumPartitions()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for sets in _sets_of(batch.column(0), size):
                 if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": [zlib.compress(b.tobytes(), 1) for b in total.reshape(blocks, -1)]})
 
@@ -72,9 +80,9 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(packed), np.int64)
         return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    parts = docs.select(text_col).mapInArrow(count, "block int, counts binary").withColumn("part", F.spark_partition_id() % 32)
     kind = "block int, counts binary"
-    some = parts.groupBy("block", "part").applyInPandas(add, kind)  # two steps: no task gets all partitions' counters
+    parts = docs.select(text_col).mapInArrow(count, kind).withColumn("part", F.spark_partition_id() % fan)
+    some = parts.groupBy("block", "part").applyInPandas(add, kind)
     out = np.zeros((blocks, 1 << _BLOCK_BITS), np.int64)
     for row in some.groupBy("block").applyInPandas(add, kind).collect():
         out[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
@@ -92,12 +100,12 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per document: id, set size, node (hash of the set, null if empty), matches it asks for, and its prefix in the corpus order."""
+    """Per document, saved: id, holder (hash of id and text), set size, node (hash of the set, null if empty), matches it asks for, and its prefix in the corpus order."""
     spark = docs.sparkSession
     counts = _sketch(docs, text_col, size)
-    load = float(counts.mean())
+    load, bits = float(counts.mean()), len(counts).bit_length() - 1
     shared = spark.sparkContext.broadcast(counts)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("holder", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
     asked = np.arange(1, MOST_MATCHES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +113,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
         for batch in batches:
             start = 0
             for sets in _sets_of(batch.column(1), size):
-                ids = batch.column(0).slice(start, len(sets))
+                ids, holders = batch.column(0).slice(start, len(sets)), batch.column(2).slice(start, len(sets))
                 start += len(sets)
                 n, nodes, matches, chosen = [], [], [], []
                 for s in sets:
@@ -116,19 +124,27 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                         chosen.append(np.empty(0, np.int64))
                         continue
                     nodes.append(_node(s))
-                    often = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
                     order = np.argsort(often, kind="stable")  # ties by hash: s is ascending
                     first = len(s) - -(-percent * len(s) // 100)
                     expected = np.cumsum(np.maximum(often[order[: first + MOST_MATCHES]] - load, 0))
                     reach = np.minimum(first + asked, len(s)) - 1
                     cost = INDEX_COST * asked + (MEETING_COST + CANDIDATE_COST / asked) * expected[reach]
-                    best = int(cost.argmin()) + 1 if len(s) > first + 1 else 1
+                    best = min(int(cost.argmin()) + 1, len(s) - first)  # no link can share more than the least overlap for sure
                     matches.append(best)
                     chosen.append(s[order[: first + best]].view(np.int64))
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in chosen]))), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chosen), pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, holders, pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chosen), pa.int64()))], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), holder_of(id_col, text_col).alias("holder"))
+    out = saved(rows.mapInArrow(run, "id long, holder long, n int, node long, matches int, prefix array<long>"))
+    shared.destroy()
+    return out
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n int, node long, matches int, prefix array<long>")
+def holder_of(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, which names a row."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(id_col).isNull())
 
 
 def _node(s: np.ndarray) -> int | None:
@@ -148,9 +164,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
     maps = saved(wanted.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")))
     byte = F.expr("cast(conv(hex(substring(bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")
     bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
-    candidates = docs.select(F.col(id_col).cast("long").alias("holder"), F.col(text_col).alias("said")).where("holder is not null and said is not null")
+    candidates = docs.select(holder_of(id_col, text_col).alias("holder"), F.col(text_col).alias("said")).where("said is not null")
     asked = candidates.withColumn("_at", place).withColumn("bucket", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1)
-    texts = asked.select("holder", "said").repartition("holder").dropDuplicates(["holder", "said"])
+    texts = asked.groupBy("holder").agg(F.first("said").alias("said"))
 
     @F.pandas_udf("known boolean, link boolean, distance double")
     def compared(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -169,12 +185,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
     return seen.where("c.known").select("a", "b", "c.link", "c.distance").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of `docs`: id, n (set size) and component (smallest id reachable by links, its own if there are none)."""
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of `docs`: id, holder (see holder_of), n (set size) and part, which the rows of a component have in common (null for empty sets)."""
     docs = docs.select(id_col, text_col)
-    members = saved(prefixes(docs, id_col, text_col, size, percent))
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    holders = members.where("n > 0").groupBy("node").agg(F.min("id").alias("holder"))
+    members = prefixes(docs, id_col, text_col, size, percent)
+    nodes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    holders = members.where("n > 0").groupBy("node").agg(F.min("holder").alias("holder"))
     index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
     held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
@@ -195,18 +211,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The distance is a metric: two nodes with the same pivot link only if their distances to it are alike.
     pivots = chosen.select(F.col("pivot").alias("node")).distinct()
     own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))
-    placed = own.unionByName(chosen.join(measured, ["a", "b"]).select("node", "pivot", "distance").join(pivots, "node", "left_anti"))
+    placed = saved(own.unionByName(chosen.join(measured, ["a", "b"]).select("node", "pivot", "distance").join(pivots, "node", "left_anti")))
 
     # Round 2: shingles that several components share, between different components alone.
     rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
-    kinds = rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("at") + F.col("rank")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot"))
+    kinds = saved(rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("at") + F.col("rank")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot")))
     kind = lambda part: kinds.select("item", F.col("part").alias(part), *[F.col(c).alias(f"{part}_{c}") for c in ("held", "room", "n", "matches", "lo", "hi", "pivot")])
     possible = F.least("p_room", "q_room") >= _least_overlap(F.col("p_n"), F.col("q_n"), percent)
     # p is the component with fewer nodes at the shingle: its rows are joined first.
     fewer = (F.col("p_held") < F.col("q_held")) | ((F.col("p_held") == F.col("q_held")) & (F.col("p") < F.col("q")))
-    meets = kind("p").join(kind("q"), "item").where(fewer).where(possible).withColumn("one", F.least("p", "q")).withColumn("other", F.greatest("p", "q"))
+    meets = saved(kind("p").join(kind("q"), "item").where(fewer).where(possible).withColumn("one", F.least("p", "q")).withColumn("other", F.greatest("p", "q")))
     # Two components need as many common shingles as the least that any two of their nodes ask for.
     enough = meets.groupBy("one", "other").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("p_matches", "q_matches")).alias("asked")).where("k >= asked").select("one", "other")
     meets = meets.select("item", "p", "q", "q_room", "q_n", "q_lo", "q_hi", "q_pivot", "one", "other").join(enough, ["one", "other"]).drop("one", "other")
@@ -231,9 +247,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _verified(saved(pairs.select("a", "b")), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
     groups = saved(components(linked.unionByName(more)))
 
-    grouped = members.select("id", "n", "node").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return members.select("id", "holder", "n", "node").join(groups, "node", "left").select("id", "holder", "n", F.coalesce("component", "node").alias("part"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles (set size) and component_id (smallest id reachable by links, its own if there are none)."""
+    grouped = near_rows(docs, id_col, text_col, size, percent)
     least = grouped.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    return grouped.select("id", "n", "part").join(least, "part", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return grouped.join(least, "part", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def jaccard_query(docs: DataFrame) -> DataFrame:

@@ -98,6 +98,35 @@ def test_near_groups_of_insertions(spark):
     assert got == brute_groups(rows, 4, 85)
 
 
+@pytest.mark.parametrize("size,percent", [(1, 50), (3, 65), (1, 95)])
+def test_near_groups_of_short_sets(spark, size, percent):
+    """Sets of a few shingles, all about as frequent, at many thresholds and shingle sizes."""
+    r = random.Random(percent)
+    rows = []
+    for _ in range(60):
+        words = [f"w{r.randrange(60)}" for _ in range(r.randint(1, 14))]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(words)))
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = f"w{r.randrange(60)}"
+            else:
+                words = words[: r.randint(1, len(words))] + [f"w{r.randrange(60)}"]
+    got = sorted(tuple(x) for x in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=size, percent=percent).collect())
+    assert got == brute_groups(rows, size, percent)
+
+
+def test_near_groups_of_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, with different texts are separate, and near copies among them link."""
+    r = random.Random(31)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    other = " ".join(f"v{r.randrange(500)}" for _ in range(60))
+    rows = [(None, " ".join(base)), (None, other), (3, near), (5, other), (5, " ".join(base)), (7, "alone in the world here"), (None, "nobody knows this text here")]
+    got = sorted((tuple(x) for x in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(None, 57, 3), (None, 57, 5), (3, 57, 3), (5, 57, 5), (5, 57, 3), (7, 2, 7), (None, 2, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_near_groups_edges(spark, empty_docs, odd_columns):
     assert jaccard_join.near_groups(empty_docs).count() == 0
     only_null = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
