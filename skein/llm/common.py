@@ -59,6 +59,28 @@ def rows_with(df: DataFrame, names: list[str], **results: Column) -> DataFrame:
     return df.select(*[F.col(f"_row.`{c}`") for c in names if c not in results], *[c.alias(name) for name, c in results.items()])
 
 
+FILTER_BITS = 23  # of the positions in a bitmap of wanted keys, which is 2**FILTER_BITS bits at any input size
+
+
+def perhaps(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Add `_perhaps`: false for rows whose key (a hash) is surely not in the one column of `wanted`.
+
+    The keys are folded into a bitmap of fixed size, so that what is broadcast does not grow with the input.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
+    at = wanted.select(place(F.col(wanted.columns[0])).alias("at")).distinct()
+    maps = saved(at.groupBy(F.expr("bitmap_bucket_number(at)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits")))
+    byte = F.expr("cast(conv(hex(substring(_bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
+    joined = df.withColumn("_at", place(key)).withColumn("_bucket", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(maps), "_bucket", "left")
+    return joined.withColumn("_perhaps", F.coalesce(F.getbit(byte, bit) == 1, F.lit(False))).drop("_at", "_bucket", "_bits")
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, which names a row."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(id_col).isNull())
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

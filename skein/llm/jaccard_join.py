@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, mixed, saved, word_hashes
+from skein.llm.common import components, mixed, perhaps, row_hash, saved, word_hashes
 
 LEAST_BITS, MOST_BITS = 16, 22  # of the sketch's bucket numbers; it has about eight buckets a document, within these bounds
 _BLOCK_BITS = 15
 MOST_MATCHES = 8  # of shared prefix shingles that a document may ask for
 INDEX_COST, MEETING_COST, CANDIDATE_COST = 1.0, 1.0, 4.0  # of an index row, of a row that it meets in the join, of a candidate to verify
-FILTER_BITS = 23
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -136,17 +135,12 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in chosen]))), pa.int32())
                 yield pa.RecordBatch.from_arrays([ids, holders, pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chosen), pa.int64()))], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), holder_of(id_col, text_col).alias("holder"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), row_hash(id_col, text_col).alias("holder"))
     out = saved(rows.mapInArrow(run, "id long, holder long, n int, node long, matches int, prefix array<long>"))
     shared.destroy()
     return out
 
 
-def holder_of(id_col: str, text_col: str) -> Column:
-    """A hash of id and text, which names a row."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(id_col).isNull())
-
-
 def _node(s: np.ndarray) -> int | None:
     """Hash of a whole set; none for the empty set."""
     if not len(s):
@@ -158,14 +152,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
     """Pairs (a, b) of nodes by their whole sets: whether they link, and their distance (1 - similarity); texts, which are smaller than their sets, go to the pairs."""
     held = lambda n: holders.select(F.col("node").alias(n), F.col("holder").alias(f"holder_{n}"))
     named = saved(pairs.join(held("a"), "a").join(held("b"), "b"))
-    # A bitmap of fixed size (2**FILTER_BITS bits, numbered from 1) keeps texts that nobody asks for out of the shuffle.
-    place = F.pmod(F.xxhash64("holder"), F.lit(1 << FILTER_BITS)) + 1
-    wanted = named.select(F.explode(F.array("holder_a", "holder_b")).alias("holder")).distinct().select(place.alias("at"))
-    maps = saved(wanted.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")))
-    byte = F.expr("cast(conv(hex(substring(bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")
-    bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
-    candidates = docs.select(holder_of(id_col, text_col).alias("holder"), F.col(text_col).alias("said")).where("said is not null")
-    asked = candidates.withColumn("_at", place).withColumn("bucket", F.expr("bitmap_bucket_number(_at)")).join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit) == 1)
+    # Texts that nobody asks for are kept out of the shuffle.
+    candidates = docs.select(row_hash(id_col, text_col).alias("holder"), F.col(text_col).alias("said")).where("said is not null")
+    asked = perhaps(candidates, F.col("holder"), named.select(F.explode(F.array("holder_a", "holder_b")).alias("holder"))).where("_perhaps")
     texts = asked.groupBy("holder").agg(F.first("said").alias("said"))
 
     @F.pandas_udf("known boolean, link boolean, distance double")
@@ -186,7 +175,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
 
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of `docs`: id, holder (see holder_of), n (set size) and part, which the rows of a component have in common (null for empty sets)."""
+    """One row per row of `docs`: id, holder (its row_hash), n (set size) and part, which the rows of a component have in common (null for empty sets)."""
     docs = docs.select(id_col, text_col)
     members = prefixes(docs, id_col, text_col, size, percent)
     nodes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
