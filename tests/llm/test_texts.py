@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import public_tokenizers
 import pytest
@@ -87,13 +88,43 @@ def test_licences(spark, docs, empty_docs):
     texts = ["prose here\nReleased under the MIT License.\nmore", "LICENSED!! UNDER!! CC BY-NC 4.0", "under the license", None, "", "a\n\nThis library is licensed under the GNU\nLesser General Public License, version 3.\n\nb", "License " * 5000]
     rows = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
     got = sorted((r["doc_id"], r["kind"], r["unit"], r["license"]) for r in licenses.scan(rows).collect())
-    assert got == [(0, "line", 1, "MIT"), (0, "line", 1, "MIT"), (1, "line", 0, "CC-BY-NC-4.0"), (5, "paragraph", 1, "LGPL-3.0")]
+    assert got == [(0, "line", 1, "MIT"), (0, "line", 1, "MIT"), (0, "sentence", 0, "MIT"), (0, "sentence", 0, "MIT"), (1, "line", 0, "CC-BY-NC-4.0"), (1, "sentence", 2, "CC-BY-NC-4.0"), (5, "paragraph", 1, "LGPL-3.0")]
     assert licenses.scan(empty_docs).count() == 0 and licenses.scan(docs).count() == 0
 
 
+def test_whole_licences_with_usual_line_breaks(spark):
+    rows, names = [], []
+    for name, text in licenses.LICENCES:
+        wrapped = "\n\n".join(textwrap.fill(p, 76) for p in licenses.paragraphs_of(text))
+        rows.append((len(rows), f"The {name} License\n\nCopyright (c) 2020 Somebody\n\n{wrapped}\n\nAnd then the story goes on with other things."))
+        names.append(name)
+    rows.append((len(rows), "Some words. This file comes as it is. Licensed under the MIT License. Nothing else is said, and the text goes on in the same line."))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, name in enumerate(names):
+        mine = [r for r in got if r["doc_id"] == i]
+        several = len(licenses.paragraphs_of(licenses.LICENCES[i][1])) > 1
+        assert name in {r["license"] for r in mine if (r["kind"] == "passage") == several}, (name, mine)
+    assert [(r["kind"], r["license"]) for r in got if r["doc_id"] == len(names)] == [("sentence", "MIT")]
+
+
+def test_licences_equal_their_sql(spark):
+    """Also where units lie on each other: repeated paragraphs, wrapped sentences, a very long line, null and repeated ids."""
+    import duckdb
+
+    mit = licenses.LICENCES[[n for n, _ in licenses.LICENCES].index("MIT")][1]
+    texts = [mit, mit + "\n\n" + mit, mit.replace("\n\n", "\n"), mit.replace(". ", ".\n"), "License " * 5000, None, "", "a: b\n\n\n c", textwrap.fill(mit, 40) + "\n" + "word " * 9000]
+    table = [(None if i == 3 else i // 2, t) for i, t in enumerate(texts)]
+    connection = duckdb.connect()
+    connection.execute("create table documents (doc_id bigint, text varchar)")
+    connection.executemany("insert into documents values (?, ?)", table)
+    want = sorted(connection.execute(licenses.LICENCE_SQL).fetchall(), key=str)
+    odd = spark.createDataFrame(table, "doc_id long, text string").withColumn("unit", F.lit("x")).withColumn("_text", F.lit("y"))
+    assert sorted((tuple(r) for r in licenses.scan(odd).collect()), key=str) == want and len(want) > 10
+
+
 def test_licence_anchors_cannot_miss_a_match():
     r = random.Random(4)
-    for _, text in licenses.TEMPLATES:
+    for _, text, _ in licenses.TEMPLATES:
         grams = licenses.template_bigrams(text)
         words = licenses.anchors(grams, 0.8)
         for _ in range(200):
