@@ -8,7 +8,8 @@ just the two neighbouring pairs. (A piece in which a merge makes one of an earli
 Each task works batch by batch and remembers a bounded number of pieces, so memory doesn't grow with the input.
 
 Edge cases: null and empty texts have no ids and decode to no bytes; special-token strings are ordinary text; repeated rows
-encode alike; :func:`encode` and :func:`decode` keep extra columns. Texts are never cut; a single long piece is merged whole.
+encode alike, whatever their ids, null ones included; there are no ties, as every merge has its rank and equal ranks go from the left; an empty table gives an empty result.
+Texts are never cut; a single long piece is merged whole. :func:`encode` and :func:`decode` keep all columns of the input, but one of the result's name gives way to it.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ is twice the other, by the edit distance of insertions and deletions, 1 - d / (l
 common run of characters are unlike (0), so that chance matches of single characters don't count.
 
 Edge cases: null is the empty text, whose fingerprint is `1::`; two empty texts are alike (1), an empty and another are not (0);
-equal texts have equal fingerprints and likeness 1; documents with equal ids are ordered by text; an id that is null
-comes first; a lone document's next document is itself. Texts are used whole.
+equal texts have equal fingerprints and likeness 1; documents with equal ids (ties) are ordered by a hash of the text, repeated
+rows follow each other; an id that is null comes first; a lone document's next document is itself; very long texts are used whole; an empty table gives an
+empty result. Extra columns are ignored by the query; :func:`add_fingerprints` and :func:`compare` keep them, but one of the result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import mixed, shuffle_width
 
 WINDOW = 7
 LONGEST = 96
+SAMPLED_PER_RANGE = 40  # rows of the sample that balances the ranges; it decides no result
 COMMON_RUN = 4
 _RUN = re.compile(r"(.)\1{3,}")
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -116,8 +119,6 @@ def likeness(x: str, y: str) -> float:
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
     """Add each whole text's fingerprint; other columns stay."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def printed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: fingerprint((t or "").encode("utf-8", "replace")))
@@ -127,8 +128,6 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", into: str = "finge
 
 def compare(pairs: DataFrame, left: str, right: str, into: str = "likeness") -> DataFrame:
     """Add the likeness of two fingerprint columns; null where one is null."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else likeness(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -139,31 +138,29 @@ def compare(pairs: DataFrame, left: str, right: str, into: str = "likeness") ->
 def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text, and its edited text, whose last quarter is replaced by the start of the next document.
 
-    Documents are dealt to ranges of ids. A first pass over the ids alone finds the ranges and each range's first id
-    (a table of ranges, not of documents); the first document of a range is sent to the range before as well, so each task
-    sees whole neighbours in order and texts are shuffled once.
+    Documents are dealt to ranges in the order of (id, hash of the text), so that rows of one id may lie in many ranges. A bounded sample of that
+    order gives the ranges, a pass over ids and hashes their first rows (a table of ranges, not of documents); the first document of a
+    range is sent to the range before as well, so each task sees whole neighbours in order and texts are shuffled once.
     """
     spark = docs.sparkSession
     ranges = 4 * shuffle_width(spark)
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), order.alias("_key"))
-    bounds = sorted(set(keyed.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cut = F.lit(0)
-    if bounds:
-        levels = F.array(*[F.lit(int(b)) for b in bounds])
-        cut = F.size(F.filter(levels, lambda b: b <= F.col("_key")))
-    firsts = sorted((r[0], r[1]) for r in keyed.select("_key", cut.alias("_range")).groupBy("_range").agg(F.min("_key")).collect())
-    if not firsts:
-        before = F.lit(None).cast("int")
-    else:
-        previous = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        before = F.element_at(F.create_map(*[F.lit(x) for pair in previous.items() for x in pair]), F.col("_key"))
-    dealt = keyed.withColumn("_range", cut).withColumn("_before", before)
+    keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), order.alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    part = min(1.0, SAMPLED_PER_RANGE * ranges / max(1, docs.count()))
+    drawn = sorted(tuple(r) for r in keyed.where(F.pmod(F.xxhash64("_key", "_hash", F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).select("_key", "_hash").limit(4 * SAMPLED_PER_RANGE * ranges).collect())
+    bounds = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if len(drawn) > ranges else []
+    cut = _bounds_reached(bounds)
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in keyed.select("_key", "_hash", cut.alias("_range")).groupBy("_range").agg(F.min(F.struct("_key", "_hash"))).collect())
+    previous, first = [-1] * (len(bounds) + 1), [(0, 0)] * (len(bounds) + 1)
+    for i, (r, k, h) in enumerate(firsts):
+        previous[r], first[r] = firsts[i - 1][0], (k, h)
+    begins = (F.col("_key") == F.get(F.lit([k for k, _ in first]).cast("array<long>"), F.col("_range"))) & (F.col("_hash") == F.get(F.lit([h for _, h in first]).cast("array<long>"), F.col("_range")))
+    dealt = keyed.withColumn("_range", cut).withColumn("_before", F.when(begins, F.get(F.lit(previous).cast("array<int>"), F.col("_range"))))
     own = F.struct(F.col("_range").alias("to"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("_before").alias("to"), F.lit(1).alias("guest"))
     copies = F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    placed = dealt.select(id_col, "text", "_key", F.explode(copies).alias("_c")).select(id_col, "text", "_key", "_c.to", "_c.guest")
-    sorted_rows = placed.repartition(shuffle_width(spark), "to").sortWithinPartitions("to", "guest", "_key", F.col("text").asc_nulls_first())
+    placed = dealt.select(id_col, "text", "_key", "_hash", F.explode(copies).alias("_c")).select(id_col, "text", "_key", "_hash", "_c.to", "_c.guest")
+    sorted_rows = placed.repartition(shuffle_width(spark), "to").sortWithinPartitions("to", "guest", "_key", "_hash", F.col("text").asc_nulls_first())
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +183,16 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sorted_rows.select("to", id_col, "text", "guest").mapInArrow(run, kind)
 
 
+def _bounds_reached(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds are at or below (_key, _hash), by bisection."""
+    if not bounds:
+        return F.lit(0)
+    keys, hashes = F.lit([k for k, _ in bounds]).cast("array<long>"), F.lit([h for _, h in bounds]).cast("array<long>")
+    reached = lambda i: (F.col("_key") > F.get(keys, i)) | ((F.col("_key") == F.get(keys, i)) & (F.col("_hash") >= F.get(hashes, i)))
+    steps = F.lit([1 << b for b in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(bounds)) & reached(n + step - 1), n + step).otherwise(n))
+
+
 def _edited(doc: int, text: str, known: str, following: str, next_known: str) -> tuple:
     n = len(text)
     edited = (text[: n - n // 4] + following[: n // 4]).encode("utf-8", "replace")

@@ -9,9 +9,10 @@ token budget holds at the bucket's length (at least one).
 Lengths up to EXACT_LENGTHS are counted exactly; longer ones are rounded up to EXACT_LENGTHS steps per doubling, so the
 histogram that reaches the driver is bounded at any input size.
 
-Edge cases: a null or empty text has no tokens and lies in the first bucket (length 0 rows are padded like others); a document
-above the budget is a batch of its own; nothing is cut or dropped; repeated rows are rows; an empty table gives an empty
-result; extra columns stay.
+Edge cases: a null or empty text has no tokens and lies in the first bucket (length 0 rows are padded like others); very long texts are counted whole, and
+a document above the budget is a batch of its own; nothing is cut or dropped; repeated rows are rows, and rows that tie in id and length
+share a bucket, in which each has a place of its own; a null id is a row like any other; an empty table gives an empty result.
+:func:`packed` keeps all columns of the input, but those named like its results give way to them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import numbered, saved
+from skein.llm.common import beside, numbered, rows_with, saved
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -86,15 +87,14 @@ def _useless(a: tuple, b: tuple, c: tuple) -> bool:
 
 def packed(docs: DataFrame, tokens_col: str, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """Add bucket, bucket_length, batch (within its bucket) and slot (within its batch) to rows with a token count."""
-    level = docs.withColumn("_level", rounded(F.col(tokens_col)))
+    level = beside(docs, _id=F.col(id_col), _tokens=F.col(tokens_col), _level=rounded(F.col(tokens_col)))
     histogram = [(r[0], r[1]) for r in level.groupBy("_level").count().collect()]
     bounds = boundaries(histogram, buckets) or [0]
     upper = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(upper, lambda b: b < F.col("_level")))
-    placed = level.withColumn("bucket", bucket).withColumn("bucket_length", F.element_at(upper, F.col("bucket") + 1)).drop("_level")
-    at = numbered(placed, "bucket", [id_col, tokens_col], "_at")
-    rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))), F.lit(1))
-    return at.withColumn("batch", F.floor(F.col("_at") / rows).cast("long")).withColumn("slot", (F.col("_at") % rows).cast("int")).drop("_at")
+    placed = level.withColumn("_bucket", F.size(F.filter(upper, lambda b: b < F.col("_level")))).withColumn("_upper", F.element_at(upper, F.col("_bucket") + 1))
+    at = numbered(placed, "_bucket", ["_id", "_tokens"], "_at")
+    rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("_upper"), F.lit(1))), F.lit(1))
+    return rows_with(at, docs.columns, bucket=F.col("_bucket"), bucket_length=F.col("_upper"), batch=F.floor(F.col("_at") / rows).cast("long"), slot=(F.col("_at") % rows).cast("int"))
 
 
 def packing_query(docs: DataFrame) -> DataFrame:

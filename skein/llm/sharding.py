@@ -6,9 +6,9 @@ one heavier than HEAVIEST of a shard is cut by a hash of its ids into pieces of
 vector (bytes, tokens, rows) in shares of the total; from the largest on, it is placed in the shard where the dot product of
 its vector with the shard's residual capacity is highest, among the shards with bytes to spare. The law kept is `bytes`: sizes are near equal.
 
-Edge cases: a null text counts no bytes and no tokens and is a group of its own; repeated rows are separate rows of their
-group; fewer rows than shards leave shards empty; an empty table gives an empty result. Extra columns don't matter: the
-result has its own. A null id is a row like any other.
+Edge cases: a null text counts no bytes and no tokens and is a group of its own; very long texts count whole; repeated rows are separate rows of their
+group; of lots of equal weight the one with the smaller key is placed first, and of shards that tie the first is taken; fewer rows than shards leave
+shards empty; an empty table gives an empty result; extra columns don't matter, whatever their names: the result has its own. A null id is a row like any other.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import numbered, saved
+from skein.llm.packing import token_count
 
 SHARDS = 24
 LOTS_PER_SHARD = 128  # lots of ordinary groups, for each shard; the driver packs at most about four times as many items
@@ -31,8 +32,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One narrow row per document: id, size, checksum, tokens and the key of its group of equal texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.col(id_col), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + (F.length(text) > 0).cast("int")).cast("long").alias("tokens"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        token_count(text).alias("tokens"),
         F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("group_key"),
     )
 

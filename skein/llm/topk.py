@@ -12,7 +12,7 @@ which keeps k rows per query, and the slabs' rows are merged by rank.
 
 Edge cases: vectors that are null, of another length than most, or hold null or non-finite components take no part; an id that
 is null takes no part; equal scores are ordered by the smaller id; repeated rows of one id are separate candidates, except the
-query's own id; with fewer candidates than k all are returned; an empty table gives an empty result. Extra columns are ignored.
+query's own id; with fewer candidates than k all are returned; an empty table gives an empty result; texts play no part, and extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,12 +153,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     blocks = saved(_packed(asked.coalesce(max(1, facts["n"] // (100 * BLOCK_ROWS))), BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()))
     slabs = _packed(rows, SLAB_ROWS).select(F.col("n").alias("rows_n"), F.col("ids").alias("row_ids"), F.col("vectors").alias("rows"))
-    known = [r[0] for r in blocks.select("block").collect()]  # numbers of blocks, one per BLOCK_ROWS queries
+    known = sorted(r[0] for r in blocks.select("block").collect())  # numbers of blocks, one per BLOCK_ROWS queries
     if not known:
         return spark.createDataFrame([], kind)
     spread = shuffle_width(spark)
-    dealt = slabs.withColumn("salt", F.pmod(F.crc32("row_ids"), F.lit(spread)).cast("int")).withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in known])))
-    met = dealt.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["block", "salt"])
+    numbers = spark.createDataFrame(list(zip(known, range(len(known)))), "block long, number int")
+    blocks = blocks.join(F.broadcast(numbers), "block").drop("block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = slabs.withColumn("salt", F.pmod(F.crc32("row_ids"), F.lit(spread)).cast("int")).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(known) - 1))))
+    met = dealt.join(blocks, ["number", "salt"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, sample, sample_ids = fixed.value
@@ -171,7 +173,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                     "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]),
                 })
 
-    best = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    best = saved(met.mapInArrow(search, "query_id long, vec_id long, score long"))
+    fixed.destroy()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
