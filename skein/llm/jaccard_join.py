@@ -60,9 +60,10 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     Every task sends its counters in compressed blocks; they are added in two steps whose fan-in is about the square root of the
     number of tasks each.
     """
-    bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 3))
+    rows, last = docs.select(F.spark_partition_id().alias("part")).agg(F.count("part"), F.max("part")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, rows.bit_length() + 3))
     blocks = 1 << (bits - _BLOCK_BITS)
-    fan = math.isqrt(docs.rdd.getNumPartitions()) + 1
+    fan = math.isqrt(last or 0) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -234,7 +235,7 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # Which of two components is p may change from shingle to shingle, so a pair of nodes is counted in one order.
     pairs = met.groupBy(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
     more = _verified(saved(pairs.select("a", "b")), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
-    groups = saved(components(linked.unionByName(more)))
+    groups = saved(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     return members.select("id", "holder", "n", "node").join(groups, "node", "left").select("id", "holder", "n", F.coalesce("component", "node").alias("part"))
 

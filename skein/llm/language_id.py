@@ -30,8 +30,8 @@ from skein.llm.common import beside, bucket_of, rows_with
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
-TRAINING_ROWS = 4000  # bound on the labelled rows that reach the driver, shared evenly among the languages
-TRAINING_CHARS = 4000  # bound on the characters of a sampled text that are learned, from a place that its hash names; scoring takes whole texts
+TRAINING_ROWS = 2400  # bound on the labelled rows that reach the driver, shared evenly among the languages
+TRAINING_CHARS = 1500  # bound on the characters of a sampled text that are learned, from a place that its hash names; scoring takes whole texts
 WINDOW_CHARS = 60  # every sampled text is also learned as one short excerpt, so that short texts are known
 EPOCHS = 5
 ALPHA = 0.0005
@@ -116,13 +116,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _features(text: pd.Series, at: pd.Series) -> pd.Series:
-    """Buckets and relative frequencies of each text, of one excerpt of it, and of its letters in random order."""
+    """Buckets and counts (of at most TRAINING_CHARS characters) of each text, of one excerpt of it, and of its letters in random order."""
 
     def counted(t: str) -> dict:
         raw = _normalised(t)
         found = np.concatenate([b for _, b in _grams(np.frombuffer(b" " + raw + b" ", np.uint8))] or [np.empty(0, np.int32)])
         bucket, n = np.unique(found, return_counts=True)
-        return {"bucket": bucket.astype(np.uint16).tobytes(), "weight": (n / max(1, n.sum())).astype(np.float32).tobytes()}
+        return {"bucket": bucket.astype(np.uint16).tobytes(), "n": n.astype(np.uint16).tobytes()}
 
     def shuffled(t: str, seed: int) -> str:
         return "".join(np.random.default_rng(seed).permutation(list(t))) if t else ""
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     start = F.pmod(F.shiftright(hashed, 31), F.greatest(F.length(text_col) - TRAINING_CHARS + 1, F.lit(1))) + 1
-    features = F.pandas_udf(_features, "array<struct<bucket:binary,weight:binary>>")
+    features = F.pandas_udf(_features, "array<struct<bucket:binary,n:binary>>")
     sample = usable.where(draw < share).select(
         F.col(lang_col).alias("lang"), (F.pmod(F.xxhash64(id_col, text_col, F.lit(seed + 1)), F.lit(4)) == 0).alias("aside"),
         features(F.substring(F.col(text_col), start.cast("int"), F.lit(TRAINING_CHARS)), F.pmod(hashed, F.lit(1 << 20))).alias("f"),
@@ -158,22 +158,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     model = LanguageModel(languages, scores, bias, 1.0, 0.0)
     aside = [x for x in data if x[3]]
     if aside:
-        logits = lambda found: np.array([w @ scores[b] + bias for b, w, _, _ in found]).reshape(-1, len(languages))
+        logits = lambda found: np.array([n @ scores[b] / n.sum() + bias for b, n, _, _ in found]).reshape(-1, len(languages))
         _calibrate(model, logits(aside), np.array([x[2] for x in aside]), logits(nobody))
     return model
 
 
 def _unpacked(sample: pa.Table, known: dict[str, int]) -> tuple[list, list]:
-    """(bucket, weight, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones that are aside."""
+    """(bucket, count, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones that are aside."""
     data, nobody = [], []
     for batch in sample.to_batches():
         found = batch.column("f").flatten()
-        buckets, weights = found.field(0), found.field(1)
+        buckets, counts = found.field(0), found.field(1)
         for i, (lang, aside) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("aside").to_pylist())):
             for j in range(3):
-                bucket, weight = np.frombuffer(buckets[3 * i + j].as_buffer(), np.uint16), np.frombuffer(weights[3 * i + j].as_buffer(), np.float32)
+                bucket, n = np.frombuffer(buckets[3 * i + j].as_buffer(), np.uint16), np.frombuffer(counts[3 * i + j].as_buffer(), np.uint16)
                 if len(bucket) and (j < 2 or aside):
-                    (data if j < 2 else nobody).append((bucket, weight, known[lang], aside))
+                    (data if j < 2 else nobody).append((bucket, n, known[lang], aside))
     data.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))  # the order in which tasks end must not matter
     return data, nobody
 
@@ -186,7 +186,8 @@ def _descend(data: list, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.
     steps, done = EPOCHS * max(1, len(data)), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(data)):
-            bucket, weight, label, _ = data[i]
+            bucket, n, label, _ = data[i]
+            weight = n / n.sum()
             rate = 4.0 * (1 - done / steps)
             done += 1
             hidden = weight @ table[bucket]

@@ -26,7 +26,7 @@ from skein.llm.common import beside, bucket_of, rows_with, word_hashes
 
 WORD_BUCKETS = 1 << 15
 RANK = 8
-TRAINING_ROWS = 6000  # bound on the labelled rows that reach the driver
+TRAINING_ROWS = 4000  # bound on the labelled rows that reach the driver
 EPOCHS = 6
 THRESHOLD = 0.3
 
@@ -98,7 +98,7 @@ class FactorisationMachine:
 
 def _features(text: pd.Series, chars: pd.Series) -> pd.DataFrame:
     found = features(text.tolist(), chars.tolist())
-    return pd.DataFrame({"at": [a.tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]})
+    return pd.DataFrame({"at": [a.astype(np.uint16).tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str = "n_chars", rows: int = TRAINING_ROWS, seed: int = 11) -> FactorisationMachine:
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     data = []
     for batch in got.to_batches():  # views of the Arrow buffers, not copies
         at, x = batch.column("f").field(0), batch.column("f").field(1)
-        data += [(y, np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for y, a, v in zip(batch.column("_y").to_pylist(), at, x)]
+        data += [(y, np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(v.as_buffer(), np.float32)) for y, a, v in zip(batch.column("_y").to_pylist(), at, x)]
     data.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # the order in which tasks end must not matter
     return _descend(data, seed)
 
