@@ -1,4 +1,4 @@
-"""Tables kept as snapshot folders: a new snapshot is written whole, then the pointer moves; readers never see half a write."""
+"""The shared folder, and tables kept as numbered snapshots: one is written whole, then its pointer; readers never see half a write."""
 
 from __future__ import annotations
 
@@ -9,26 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or tempfile.mkdtemp(prefix="spark-tables-")).rstrip("/")
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only in local mode, where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-tables-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read back; the folder is deleted when the application ends."""
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = _path(df.sparkSession, path)
+    fs.deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class SnapshotTable:
-    """A Parquet table under `root`: snapshots in folders of their own, the current one named in the folder `current`."""
+    """A Parquet table under `root`: snapshots in folders of their own; the pointer with the highest number names the current one.
+
+    A pointer is an empty folder `pointer-<number>-<snapshot>` made in one step, after its snapshot is whole. The last snapshots but `kept` are deleted,
+    so that a reader of the one before can finish.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, kept: int = 2):
+        self.spark, self.root, self.kept = spark, root.rstrip("/"), kept
 
-    def _fs(self):  # noqa: ANN202
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _pointers(self) -> list[tuple[int, str]]:
+        fs, root = _path(self.spark, self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted((int(n.split("-")[1]), n.split("-", 2)[2]) for n in names if n.startswith("pointer-"))
 
     def current(self) -> str | None:
-        pointer = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        if not self._fs().exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/current").first()[0]
+        pointers = self._pointers()
+        return pointers[-1][1] if pointers else None
 
     def read(self) -> DataFrame | None:
         name = self.current()
@@ -38,4 +60,9 @@ class SnapshotTable:
         name = f"snapshot-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
         writer.parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        pointers = self._pointers()
+        fs, pointer = _path(self.spark, f"{self.root}/pointer-{pointers[-1][0] + 1 if pointers else 1}-{name}")
+        fs.mkdirs(pointer)
+        for number, old in self._pointers()[: -self.kept]:
+            fs.delete(_path(self.spark, f"{self.root}/pointer-{number}-{old}")[1], True)
+            fs.delete(_path(self.spark, f"{self.root}/{old}")[1], True)

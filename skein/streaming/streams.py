@@ -1,4 +1,7 @@
-"""Structured Streaming jobs; each ends with the same rows as its batch twin over the same files."""
+"""Structured Streaming jobs; each ends with the same rows as its batch twin over the same files.
+
+With a `root` of its own a job can be stopped and run again: progress and state lie there. Without one it starts anew in the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -21,56 +24,75 @@ def file_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFra
     return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], spark: SparkSession, mode: str = "append") -> None:
-    """Drive a stream over all available input, batch by batch."""
-    started = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+    """Drive a stream over all available input, batch by batch; its progress is kept under `root`, so a later run goes on where this one ended."""
+    started = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     started.awaitTermination()
 
 
 class FoldedTable:
-    """A table in the shared folder that each batch folds into; the batch number names the snapshot, so a repeated batch repeats its result."""
+    """A table under `root` that each batch folds into.
+
+    The state after batch n is the folder `state/n`, and a batch folds the newest state before it: a repeated batch repeats its result, and a restarted
+    stream goes on. Older states than the last two are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fold: Callable[[DataFrame], DataFrame]):
+        self.spark, self.root, self.fold = spark, root, fold
 
-    def __init__(self, spark: SparkSession, fold: Callable[[DataFrame], DataFrame]):
-        self.spark, self.fold = spark, fold
-        self.root = f"{shared_folder(spark)}/folded-{uuid.uuid4().hex}"
-        self.last: int | None = None
+    def _states(self) -> list[int]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
+        whole = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in whole)
 
     def step(self, rows: DataFrame, batch: int) -> None:
-        known = [n for n in (self.last,) if n is not None and n < batch]
-        merged = rows if not known else self.spark.read.schema(rows.schema).parquet(f"{self.root}/{known[0]}").unionByName(rows)
-        self.fold(merged).write.mode("overwrite").parquet(f"{self.root}/{batch}")
-        self.last = batch
+        known = [n for n in self._states() if n < batch]
+        merged = rows if not known else self.spark.read.schema(rows.schema).parquet(f"{self.root}/state/{known[-1]}").unionByName(rows)
+        self.fold(merged).write.mode("overwrite").parquet(f"{self.root}/state/{batch}")
+        for n in known[:-1]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/{n}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def read(self, empty: DataFrame) -> DataFrame:
-        return empty if self.last is None else self.spark.read.schema(empty.schema).parquet(f"{self.root}/{self.last}")
+        states = self._states()
+        return empty if not states else self.spark.read.schema(empty.schema).parquet(f"{self.root}/state/{states[-1]}")
+
+
+def _root(spark: SparkSession, root: str | None) -> str:
+    return root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def feedback_stream(spark: SparkSession, path: str, messages: DataFrame) -> DataFrame:
+def feedback_stream(spark: SparkSession, path: str, messages: DataFrame, root: str | None = None) -> DataFrame:
     """Latest vote per message and user, strictly later votes replacing earlier ones, from an event stream."""
     events = file_stream(spark, path).where(F.col("event_type").isin("purchase", "error"))
     votes = events.select((F.col("event_id") % 50).alias("message_id"), "user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("vote"), F.col("ts").alias("submit_time"), "event_id")
     valid = messages.where("role = 'assistant'").select("message_id").distinct()
     order = Window.partitionBy("message_id", "user_id").orderBy(F.desc("submit_time"), "event_id")
-    state = FoldedTable(spark, lambda df: df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k"))
-    run_to_end(votes, lambda rows, n: state.step(rows.join(valid, "message_id", "left_semi"), n), spark)
+    root = _root(spark, root)
+    state = FoldedTable(spark, root, lambda df: df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k"))
+    run_to_end(votes, lambda rows, n: state.step(rows.join(valid, "message_id", "left_semi"), n), root)
     empty = spark.createDataFrame([], "message_id long, user_id long, vote int, submit_time timestamp_ntz, event_id long")
     return state.read(empty).select("message_id", "user_id", "vote", "submit_time")
 
 
-def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
+def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour", root: str | None = None) -> DataFrame:
     """Tumbling-hour counts and sums with a watermark: changed windows of each batch replace their earlier state in a table."""
     events = file_stream(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     counted = events.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "n", "total")
-    state = FoldedTable(spark, lambda df: df.groupBy("hour").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")))
-    run_to_end(counted, state.step, spark, mode="update")
+    root = _root(spark, root)
+    state = FoldedTable(spark, root, lambda df: df.groupBy("hour").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")))
+    run_to_end(counted, state.step, root, mode="update")
     return state.read(spark.createDataFrame([], "hour timestamp, n long, total double"))
 
 
-def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """Chunk documents as they arrive; a document that comes again replaces its chunks."""
     docs = file_stream(spark, path).select("doc_id", "text")
     newest = F.max("_batch").over(Window.partitionBy("doc_id"))
-    state = FoldedTable(spark, lambda df: df.withColumn("_new", newest).where("_batch = _new").drop("_new"))
-    run_to_end(docs, lambda rows, n: state.step(chunk(rows.dropDuplicates(["doc_id"])).withColumn("_batch", F.lit(n)), n), spark)
+    root = _root(spark, root)
+    state = FoldedTable(spark, root, lambda df: df.withColumn("_new", newest).where("_batch = _new").drop("_new"))
+    run_to_end(docs, lambda rows, n: state.step(chunk(rows.dropDuplicates(["doc_id"])).withColumn("_batch", F.lit(n)), n), root)
     empty = chunk(spark.createDataFrame([], "doc_id long, text string")).withColumn("_batch", F.lit(0))
     return state.read(empty).drop("_batch")
