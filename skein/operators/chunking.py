@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Marks that end a sentence.
-CJK_ENDS = "。！？；"
+CJK_ENDS = "。！？"
 LATIN_ENDS = ".!?"
+PARAGRAPH_CUTS = "。！？\n"
 CHUNK_TYPE = "array<struct<idx:int,start:int,end:int,text:string>>"
 
 
@@ -53,115 +54,148 @@ def repaired(text: str) -> str:
 
 
 def fixed_size(text: str, size: int = 512, overlap: int = 128) -> list[tuple[int, int, int, str]]:
-    """Windows of `size` characters; an end moves back by at most `overlap` to a newline, else a sentence end. -1 is one chunk."""
-    if size == -1 or len(text) <= size:
+    """Windows of `size` characters; an end moves back by at most `overlap` to a newline, else a sentence end. -1 is one chunk.
+
+    The overlap is less than the size. An end that would not go beyond the one before stays where the size puts it.
+    """
+    if size == -1:
         return [(0, 0, len(text), text)] if text.strip() else []
-    out, start = [], 0
+    size = max(size, 1)
+    overlap = min(max(overlap, 0), size - 1)
+    out: list[tuple[int, int, int, str]] = []
+    start, last = 0, -1
     while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            end = _pulled_back(text, start, end, overlap)
-        part = text[start:end]
-        if part.strip():
-            out.append((len(out), start, end, part))
-        if end >= len(text):
+        full = min(start + size, len(text))
+        end = _pulled_back(text, start, full, overlap)
+        if end <= last:
+            end = full
+        if text[start:end].strip():
+            out.append((len(out), start, end, text[start:end]))
+        last = end
+        if end == len(text):
             break
-        start = max(end - overlap, start + 1) if end - overlap > start else end
+        start = end - overlap if end - overlap > start else end
     return out
 
 
 def _pulled_back(text: str, start: int, end: int, reach: int) -> int:
-    least = max(start + 1, end - reach)
-    newline = text.rfind("\n", least - 1, end)
-    if newline >= least - 1 and newline >= start:
-        return newline + 1
-    for i in range(end - 1, least - 2, -1):
-        if text[i] in CJK_ENDS:
-            return i + 1
-    for i in range(end - 1, least - 2, -1):
-        if text[i] in LATIN_ENDS and i + 1 < len(text) and text[i + 1].isspace():
-            return i + 1
-    return end
-
-
-def blocks(text: str) -> list[str]:
-    """Headings, code fences (closed or not), table and list runs, and paragraphs."""
-    out: list[list[str]] = []
-    kind, fence = "", False
-    for line in text.split("\n"):
-        mark = line.lstrip()
-        if fence:
-            out[-1].append(line)
-            fence = not mark.startswith("```")
-            kind = "CODE"
+    """The end after the last mark in reach: newlines go before marks of CJK sentences, those before marks of Latin ones that a blank or the text's end follows."""
+    reach = min(reach, end - start)
+    if reach <= 0:
+        return end
+    places = range(end - 1, max(start, end - reach - 2), -1)
+    tests = (
+        lambda i: text[i] == "\n",
+        lambda i: text[i] in CJK_ENDS,
+        lambda i: text[i] in LATIN_ENDS and (i + 1 == len(text) or text[i + 1].isspace()),
+    )
+    return next((i + 1 for test in tests for i in places if test(i)), end)
+
+
+_HEADING = re.compile(r"#{1,6}\s+.*")
+_IMAGE_OR_LINK = re.compile(r'!\[[^\]]*\]\([^)]+\)(\s*"[^"]*")?|\[[^\]]+\]\([^)]+\)')
+
+
+def blocks(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of headings, code fences (closed or not), lines that are one image or link, and paragraphs; blank lines belong to the block before."""
+    out: list[tuple[str, int, int]] = []
+    at, open_kind = 0, ""
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        said, start, at = line.rstrip(), at, at + len(line)
+        fence = said.startswith("```")
+        if open_kind == "CODE":
+            out[-1] = ("CODE", out[-1][1], at)
+            open_kind = "" if fence else "CODE"
             continue
-        now = "CODE" if mark.startswith("```") else "HEADING" if re.match(r"#{1,6}\s", mark) else "ATOMIC" if re.match(r"(\||[-*+]\s|\d+[.)]\s|!\[)", mark) else "BLANK" if not mark else "PARA"
-        if now == "BLANK":
-            kind = ""
+        if not said:
+            open_kind = ""
             continue
-        if now in ("PARA", "ATOMIC") and now == kind:
-            out[-1].append(line)
+        kind = "CODE" if fence else "HEADING" if _HEADING.fullmatch(said) else "ATOMIC" if _IMAGE_OR_LINK.fullmatch(said) else "PARA"
+        if kind == "PARA" == open_kind:
+            out[-1] = ("PARA", out[-1][1], at)
         else:
-            out.append([line])
-        kind, fence = now, now == "CODE"
-    return ["\n".join(b) for b in out]
+            out.append((kind, start, at))
+        open_kind = kind if kind in ("CODE", "PARA") else ""
+    following = [start for _, start, _ in out[1:]] + [out[-1][2]] if out else []
+    return [(kind, start, upto if not text[end:upto].strip(" \t\n") else end) for (kind, start, end), upto in zip(out, following)]
 
 
 def structure_aware(text: str, target: int = 1400, most: int = 1800, least: int = 600, overlap: int = 0) -> list[tuple[int, int, int, str]]:
-    """Blocks packed to at most `most` characters; one overflow while a chunk is shorter than `least`; a short tail joins its predecessor."""
-    packed: list[str] = []
-    now = ""
-    for block in blocks(text):
-        both = f"{now}\n\n{block}" if now else block
-        if now and len(both) > most and len(now) >= least:
-            packed.append(now)
-            now = block
+    """Blocks packed to at most `most` characters; one overflow while a chunk is shorter than `least`; a short tail joins its predecessor.
+
+    start and end are places in the text, the line ends of which become newlines. With an overlap, a chunk's text begins with the last characters of the
+    chunk before. A blank text is one chunk.
+    """
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text and text.isspace():
+        return [(0, 0, len(text), text)]
+    spans: list[list[int]] = []
+    closed = True
+    for _, start, end in blocks(text):
+        if closed:
+            spans.append([start, end])
+            closed = False
+        elif end - spans[-1][0] <= most:
+            spans[-1][1] = end
+        elif spans[-1][1] - spans[-1][0] < least:
+            spans[-1][1] = end
+            closed = True
         else:
-            now = both
-            if len(now) > most:
-                packed.append(now)
-                now = ""
-    if now:
-        packed.append(now)
-    if len(packed) > 1 and len(packed[-1]) < min(least, target / 2) and len(packed[-2]) + 2 + len(packed[-1]) <= 2 * most:
-        packed[-2:] = [f"{packed[-2]}\n\n{packed[-1]}"]
-    out, at = [], 0
-    for i, body in enumerate(packed):
-        said = packed[i - 1][-overlap:] + "\n" + body if overlap and i else body
-        out.append((i, at, at + len(body), said))
-        at += len(body)
-    return out
+            spans.append([start, end])
+    if len(spans) > 1 and spans[-1][1] - spans[-1][0] < min(least, target / 2) and spans[-1][1] - spans[-2][0] <= 2 * most:
+        spans[-2:] = [[spans[-2][0], spans[-1][1]]]
+    before = [""] + [text[s:e][-overlap:] if overlap > 0 else "" for s, e in spans]
+    return [(i, s, e, before[i] + text[s:e]) for i, (s, e) in enumerate(spans)]
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while start < end and text[start] <= " ":
+        start += 1
+    while end > start and text[end - 1] <= " ":
+        end -= 1
+    return start, end
 
 
 def paragraphs(text: str, most: int = 2000) -> list[tuple[int, int, int, str]]:
-    """Paragraphs packed to `most` characters; longer ones are cut at their last sentence end past the middle, else at `most`."""
-    packed: list[str] = []
-    now = ""
-    for para in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not para:
+    """Paragraphs packed while their characters fit into `most`, two newlines between them; a longer one is cut on its own.
+
+    Its cuts lie after the last PARAGRAPH_CUTS mark past the middle, else at `most`, and its rest is a chunk too. start and end are places in the text.
+    """
+    out: list[tuple[int, int, str]] = []
+    now: list[tuple[int, int]] = []
+    length = 0
+
+    def close() -> None:
+        nonlocal now, length
+        if now:
+            out.append((now[0][0], now[-1][1], "\n\n".join(text[s:e] for s, e in now)))
+        now, length = [], 0
+
+    at = 0
+    for gap in [*re.finditer(r"\n\s*\n", text), None]:
+        start, end = _trimmed(text, at, gap.start() if gap else len(text))
+        at = gap.end() if gap else len(text)
+        if start == end:
             continue
-        if len(para) > most:
-            if now:
-                packed.append(now)
-                now = ""
-            while len(para) > most:
-                cut = max(para.rfind(mark, most // 2, most) for mark in CJK_ENDS + LATIN_ENDS) + 1 or most
-                packed.append(para[:cut])
-                para = para[cut:].lstrip()
-        if not para:
+        if now and length + end - start > most:
+            close()
+        if not now and end - start > most:
+            while end - start > most:
+                cut = -1
+                for mark in PARAGRAPH_CUTS:  # a mark just at the cut of an earlier kind does not move it
+                    place = text.rfind(mark, start + most // 2 + 1, start + most)
+                    cut = place + 1 if place > cut else cut
+                cut = start + most if cut < 0 else cut
+                s, e = _trimmed(text, start, cut)
+                out.append((s, e, text[s:e]))
+                start, _ = _trimmed(text, cut, end)
+            if start < end:
+                out.append((start, end, text[start:end]))
             continue
-        if now and len(now) + 2 + len(para) > most:
-            packed.append(now)
-            now = para
-        else:
-            now = f"{now}\n\n{para}" if now else para
-    if now:
-        packed.append(now)
-    out, at = [], 0
-    for i, body in enumerate(packed):
-        out.append((i, at, at + len(body), body))
-        at += len(body)
-    return out
+        length += end - start + (2 if now else 0)
+        now.append((start, end))
+    close()
+    return [(i, s, e, said) for i, (s, e, said) in enumerate(out)]
 
 
 CHUNKERS = {"fixed": lambda t, **o: fixed_size(repaired(t), **o), "structure": structure_aware, "paragraph": paragraphs}

@@ -30,21 +30,34 @@ def rank_by_shared_words(items: DataFrame, docs: DataFrame, k: int) -> DataFrame
     return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+# Marks that don't count when answers are compared, beside white space.
+MARKS = "，。！？、；：（）[]{}《》.,;:!?()<>/\\|_-—\"\"''\u3000"
+
+
 def plain(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s.,!?;:]+", "")
+    marks = "".join(sorted({"\\" + c if c in "[]\\^-&" else c for c in MARKS}))
+    return F.regexp_replace(text, rf"[\s{marks}]+", "")
 
 
 def hits(rows: DataFrame, ratio: float | None = 0.6) -> DataFrame:
-    """Whether the golden answer is contained in the text, or (with `ratio`) similar enough to it."""
-    contained = F.contains(plain(F.col("text")), plain(F.col("golden")))
+    """Whether the golden answer is contained in the text, or (with `ratio`) similar enough to it; an empty answer or text is no hit.
+
+    The ratio is 2 M / T, M the characters in matching blocks (longest first) and T those of both; it is worked out only for pairs that are not decided
+    otherwise and whose lengths allow it.
+    """
+    golden, text = F.coalesce(plain(F.col("golden")), F.lit("")), F.coalesce(plain(F.col("text")), F.lit(""))
+    some = (golden != "") & (text != "")
+    contained = some & F.contains(text, golden)
     if ratio is None:
         return rows.withColumn("hit", contained)
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() > ratio for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([x is not None and SequenceMatcher(None, x, y).ratio() > ratio for x, y in zip(a, b)], dtype=bool)
 
-    return rows.withColumn("hit", contained | similar(plain(F.col("golden")), plain(F.col("text"))))
+    shorter, both = F.least(F.length(golden), F.length(text)), F.length(golden) + F.length(text)
+    open_pair = some & ~contained & (2 * shorter > ratio * both)
+    return rows.withColumn("hit", contained | similar(F.when(open_pair, golden), F.when(open_pair, text)))
 
 
 def rank_metrics(items: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ CONTENT_LIMIT = 65_535
 
 
 def index_rows(chunks: DataFrame, dimension: int | None = None) -> DataFrame:
-    """Rows to be written to the index: content cut at the store's limit, rows of a wrong dimension refused."""
+    """Rows to be written to the index: content cut at the store's limit; a vector of a wrong dimension, or a missing one, is an error."""
     rows = chunks.withColumn("content", F.substring("content", 1, CONTENT_LIMIT))
     if dimension is not None:
-        rows = rows.where(F.size("embedding") == dimension)
+        wrong = F.raise_error(F.concat(F.lit("a vector has "), F.coalesce(F.size("embedding").cast("string"), F.lit("no")), F.lit(f" components, not {dimension}")))
+        rows = rows.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(wrong.cast(rows.schema["embedding"].dataType)))
     return rows.withColumn("id", F.sha2(F.concat_ws(":", F.col("collection"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256))
 
 

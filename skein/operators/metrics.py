@@ -40,6 +40,22 @@ def overview(frames: dict[str, DataFrame], now: str, hours: int, at: str = "crea
     return out.withColumn("delta", delta).withColumn("pct", F.when(F.col("previous") > 0, one_digit(delta * 100.0 / F.col("previous"))))
 
 
+def nearest_rank(rows: DataFrame, value: Column, share: float) -> DataFrame:
+    """One row with `p`, the smallest value that at least `share` of the non-null values do not exceed; null without values.
+
+    Equal values are counted first, so that only distinct values are ordered, by a running sum over ranges of them.
+    """
+    counts = rows.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.floor(F.log2(F.col("v").cast("double") + 1) * 64).cast("int")  # ranges of values, a few thousand at most
+    parts = counts.where("v >= 0").groupBy(part.alias("part")).agg(F.sum("n").alias("m"))
+    order = Window.orderBy("part")
+    placed = parts.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    here = placed.where(F.col("upto") >= F.ceil(F.col("all") * share)).orderBy("part").limit(1).select("part", (F.col("upto") - F.col("m")).alias("before"), F.ceil(F.col("all") * share).alias("rank"))
+    inside = counts.withColumn("part", part).join(F.broadcast(here), "part")
+    reached = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("reached", reached).where("reached >= rank").agg(F.min("v").alias("p"))
+
+
 def performance(runs: DataFrame, messages: DataFrame, now: str, hours: int, slow_ms: int = 20_000) -> DataFrame:
     """Latency, success, error, slow and no-document figures of the window; running rows don't count in rates."""
     _, start, end = bounds(now, hours)
@@ -49,13 +65,14 @@ def performance(runs: DataFrame, messages: DataFrame, now: str, hours: int, slow
     share = lambda part, whole: F.when(whole == 0, 0.0).otherwise(one_digit(part * 100.0 / whole))
     from_runs = runs.where(_window("start_time", start, end)).agg(
         F.coalesce(F.floor(F.avg(timed) + 0.5), F.lit(0)).cast("long").alias("avg_ms"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN status = 'SUCCESS' AND duration_ms > 0 THEN duration_ms END)"), F.lit(0)).cast("long").alias("p95_ms"),
         share(F.count_if(F.col("status") == "SUCCESS"), done).alias("success_rate"), share(F.count_if(F.col("status") == "ERROR"), done).alias("error_rate"),
         share(F.count_if(ok & (F.col("duration_ms") > slow_ms)), F.count_if(ok)).alias("slow_rate"),
     )
     answers = F.count_if(F.col("role") == "assistant")
     from_messages = messages.where(_window("create_time", start, end)).agg(share(F.sum("no_doc"), answers).alias("no_doc_rate"))
-    return from_runs.withColumn("_k", F.lit(1)).join(from_messages.withColumn("_k", F.lit(1)), "_k").drop("_k")  # two rows of one
+    p95 = nearest_rank(runs.where(_window("start_time", start, end)), timed, 0.95).select(F.coalesce("p", F.lit(0)).cast("long").alias("p95_ms"))
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    return one(from_runs).join(one(p95), "_k").join(one(from_messages), "_k").drop("_k")  # three tables of one row
 
 
 def spine(now: str, hours: int, unit: str) -> Column:
@@ -78,9 +95,8 @@ def trace_stats(runs: DataFrame) -> DataFrame:
     timed = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
     return runs.agg(
         F.count_if(F.col("status") == "SUCCESS").alias("success"), F.count_if(F.col("status").isin("ERROR", "FAILED")).alias("failed"), F.count_if(F.col("status") == "RUNNING").alias("running"),
-        F.floor(F.avg(timed) + 0.5).cast("long").alias("avg_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN duration_ms > 0 THEN duration_ms END)").cast("long").alias("p95_ms"),
-        one_digit(F.count_if(F.col("status") == "SUCCESS") * 100.0 / F.count(F.lit(1))).alias("success_pct"),
-    )
+        F.floor(F.avg(timed) + 0.5).cast("long").alias("avg_ms"), one_digit(F.count_if(F.col("status") == "SUCCESS") * 100.0 / F.count(F.lit(1))).alias("success_pct"), F.lit(1).alias("_k"),
+    ).join(nearest_rank(runs, timed, 0.95).select(F.col("p").cast("long").alias("p95_ms"), F.lit(1).alias("_k")), "_k").drop("_k")
 
 
 def node_stats(nodes: DataFrame) -> DataFrame:

@@ -32,17 +32,17 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 
 def lookup(df: DataFrame, other: DataFrame, key: str, other_key: str, columns: list[str]) -> DataFrame:
-    """Left lookup of columns by key; of repeated keys one row counts."""
-    keys = other.groupBy(other_key).agg(*[F.min(c).alias(c) for c in columns]).withColumnRenamed(other_key, key)
+    """Left lookup of columns by key; of repeated keys one row, the smallest, counts as a whole."""
+    first = other.groupBy(other_key).agg(F.min(F.struct(*columns)).alias("_first"))
+    keys = first.select(F.col(other_key).alias(key), *[F.col(f"_first.{c}").alias(c) for c in columns])
     return df.join(keys, key, "left")
 
 
 def sales_summary(sales: DataFrame) -> DataFrame:
     """Total, count and mean over all, by product and by region, with each group's share of the total."""
     sums = sales.groupingSets([[], ["product"], ["region"]], "product", "region").agg(F.sum("amount").cast("double").alias("amount"), F.count(F.lit(1)).alias("n"))
-    # Groups are few beside the sales; the grand total is the one row with neither key.
-    whole = F.max(F.when(F.col("product").isNull() & F.col("region").isNull(), F.col("amount"))).over(Window.partitionBy(F.lit(0)))
-    return sums.withColumn("_total", whole).select("product", "region", F.col("amount").alias("total"), "n", F.round(F.col("amount") / F.col("n"), 4).alias("mean"), F.round(F.col("amount") * 100 / F.col("_total"), 4).alias("share"))
+    whole = sales.agg(F.sum("amount").cast("double").alias("_total"), F.lit(1).alias("_k"))
+    return sums.withColumn("_k", F.lit(1)).join(F.broadcast(whole), "_k").select("product", "region", F.col("amount").alias("total"), "n", F.round(F.col("amount") / F.col("n"), 4).alias("mean"), F.round(F.col("amount") * 100 / F.col("_total"), 4).alias("share"))
 
 
 def sales_ranking(sales: DataFrame, n: int) -> DataFrame:
@@ -84,7 +84,8 @@ def ticket_list(tickets: DataFrame, priorities: list[str], n: int) -> DataFrame:
 def ticket_stats(tickets: DataFrame, engineers: int = 5) -> DataFrame:
     """kind, name, n, rate: categories with their share, resolve rates by product, and the engineers with most open tickets."""
     counted = tickets.groupBy(F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    category = counted.withColumn("_all", F.sum("n").over(Window.partitionBy(F.lit(0)))).select(F.lit("category").alias("kind"), "name", "n", F.round(F.col("n") * 100 / F.col("_all"), 4).alias("rate"))
+    whole = tickets.agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_k"))
+    category = counted.withColumn("_k", F.lit(1)).join(F.broadcast(whole), "_k").select(F.lit("category").alias("kind"), "name", "n", F.round(F.col("n") * 100 / F.col("_all"), 4).alias("rate"))
     product = tickets.groupBy(F.col("product").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("status").isin("resolved", "closed").cast("int")), 4).alias("rate")).select(F.lit("product").alias("kind"), "name", "n", "rate")
     busiest = tickets.where("status = 'open'").groupBy(F.col("engineer").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(engineers)
     return category.unionByName(product).unionByName(busiest.select(F.lit("engineer").alias("kind"), "name", "n", F.lit(None).cast("double").alias("rate")))

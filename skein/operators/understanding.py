@@ -22,12 +22,12 @@ def term_rules(mappings: DataFrame, most: int = 5000) -> list[tuple[str, str]]:
 
 
 def normalized_terms(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Each rule's term replaced from left to right, except where its target already stands."""
+    """Each rule's term replaced from left to right; where its target already stands, it is passed over whole."""
 
     def apply(column: Column, rule: tuple[str, str]) -> Column:
         source, target = rule
-        guard = f"(?!{re.escape(target)})" if target.startswith(source) else ""
-        return F.regexp_replace(column, guard + re.escape(source), re.sub(r"([\\$])", r"\\\1", target))
+        standing = f"(?={re.escape(source)}){re.escape(target)}|" if target else ""
+        return F.regexp_replace(column, standing + re.escape(source), re.sub(r"([\\$])", r"\\\1", target))
 
     return reduce(apply, rules, text)
 

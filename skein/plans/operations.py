@@ -63,13 +63,17 @@ def _register_trends() -> None:
     rows = lambda: {"n": F.count(F.lit(1))}
     users = lambda: {"n": F.count_distinct("user_id")}
     latency = lambda: {"avg_ms": F.floor(F.avg("duration_ms") + 0.5).cast("long")}
-    quality = lambda: {"error_rate": F.round(F.avg((F.col("status") == "ERROR").cast("int")) * 100, 4)}
+    percent = lambda part, whole: F.coalesce(metrics.one_digit(F.try_divide(F.count_if(part) * 100.0, F.count_if(whole))), F.lit(0.0))
+    quality = lambda: {"error_rate": percent(F.col("status") == "ERROR", F.col("status").isin("SUCCESS", "ERROR"))}
+    no_doc = lambda: {"no_doc_rate": percent(F.col("no_doc") == 1, F.col("role") == "assistant")}
+    share_sql = lambda part, whole, name: f"coalesce(floor(count(*) FILTER (WHERE {part}) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE {whole}), 0) * 10 + 0.5) / 10, 0.0) AS {name}"
     kinds = {
         "sessions": (t.sessions, "create_time", "n", rows, "session", "count(*) AS n"),
         "messages": (t.chat_messages, "create_time", "n", rows, "chat_message", "count(*) AS n"),
         "active": (t.chat_messages, "create_time", "n", users, "chat_message", "count(DISTINCT user_id) AS n"),
         "latency": (lambda s, d: t.trace_runs(s, d).where("status = 'SUCCESS'"), "start_time", "avg_ms", latency, "(SELECT * FROM trace_run WHERE status = 'SUCCESS')", "CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS avg_ms"),
-        "quality": (t.trace_runs, "start_time", "error_rate", quality, "trace_run", "round(avg(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) * 100, 4) AS error_rate"),
+        "quality": (t.trace_runs, "start_time", "error_rate", quality, "trace_run", share_sql("status = 'ERROR'", "status IN ('SUCCESS', 'ERROR')", "error_rate")),
+        "no_doc": (t.chat_messages, "create_time", "no_doc_rate", no_doc, "chat_message", share_sql("no_doc = 1", "role = 'assistant'", "no_doc_rate")),
     }
     for unit, (hours, spine) in windows.items():
         for kind, (view, at, value, make, source, said) in kinds.items():

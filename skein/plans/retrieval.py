@@ -184,10 +184,10 @@ qw AS (SELECT item_id, unnest(words) AS word FROM q),
 dw AS (SELECT DISTINCT doc_id, unnest([w FOR w IN string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ') IF length(w) >= 7]) AS word FROM documents),
 s AS (SELECT item_id, doc_id, count(*) AS shared FROM qw JOIN dw USING (word) GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
-h AS (SELECT r.item_id, r.doc_id, r.rank, contains(regexp_replace(d.text, '[\\s.,!?;:]+', '', 'g'), regexp_replace(q.golden, '[\\s.,!?;:]+', '', 'g')) AS hit FROM r JOIN q USING (item_id) JOIN documents d USING (doc_id)),
+h AS (SELECT r.item_id, r.doc_id, r.rank, contains(regexp_replace(d.text, '{marks}', '', 'g'), regexp_replace(q.golden, '{marks}', '', 'g')) AND regexp_replace(q.golden, '{marks}', '', 'g') <> '' AS hit FROM r JOIN q USING (item_id) JOIN documents d USING (doc_id)),
 m AS (SELECT q.item_id, q.scene, coalesce(max(CASE WHEN hit AND rank <= 1 THEN 1 END), 0) AS hit1, coalesce(max(CASE WHEN hit AND rank <= 3 THEN 1 END), 0) AS hit3, coalesce(max(CASE WHEN hit AND rank <= 5 THEN 1 END), 0) AS hit5,
       coalesce(round(1.0 / min(CASE WHEN hit THEN rank END), 6), 0.0) AS rr FROM q LEFT JOIN h USING (item_id) GROUP BY q.item_id, q.scene)
-"""
+""".replace("{marks}", "[\\s\\x0B，。！？、；：（）\\[\\]{}《》.,;:!?()<>/\\\\|_\\-—\"''\u3000]+")
 
 
 def eval_retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -203,6 +203,39 @@ def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.hits(found.join(items, "item_id"), ratio=None).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "hit")
 
 
+@query("eval_hits_similar")
+def eval_hits_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by containment or by the ratio of matching characters."""
+    items, found = eval_retrieved(spark, sf_dir)
+    return evaluate.hits(found.join(items, "item_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "hit")
+
+
+@query("channel_intent", """
+WITH w AS (SELECT DISTINCT query_id, intent, CASE WHEN intent % 3 > 0 THEN intent % 3 * 4 ELSE 5 END AS k FROM query_intent WHERE score >= 0.1),
+r AS (SELECT c.query_id, c.label AS collection, c.chunk_id, c.score, w.k, row_number() OVER (PARTITION BY c.query_id, c.label ORDER BY c.score DESC, c.chunk_id) AS pos FROM cosine c JOIN w ON w.query_id = c.query_id AND w.intent = c.label)
+SELECT query_id, collection, chunk_id, score, pos FROM r WHERE pos <= k * 2""")
+def channel_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in the collections of a question's intents, twice as many as each intent's k."""
+    rows = t.vectors(spark, sf_dir)
+    intents = _intents_with_k(spark, sf_dir)
+    asked = questions(spark, sf_dir).drop("label").join(intents.select(F.col("query_id").alias("vec_id"), F.col("intent").alias("label")), "vec_id")
+    each = vectors.top_k(rows, asked, 16, same="label").join(rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("collection")), "chunk_id")
+    hits = vectors.channel_intent(each.drop("pos"), intents, least=0.1, fallback=5)
+    return hits.select("query_id", "collection", "chunk_id", "score", F.col("pos").cast("long").alias("pos"))
+
+
+@query("sub_question_k", "SELECT query_id, coalesce(max(CASE WHEN k > 0 THEN k END), 10) AS k FROM (SELECT query_id, intent % 3 * 4 AS k FROM query_intent WHERE score >= 0.1) GROUP BY query_id")
+def sub_question_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.sub_question_k(_intents_with_k(spark, sf_dir))
+
+
+def _intents_with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents of at least 0.1, the k of some not set (0)."""
+    from skein.plans.understanding import query_intents
+
+    return query_intents(spark, sf_dir).where("score >= 0.1").withColumn("k", F.col("intent") % 3 * 4)
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, found = eval_retrieved(spark, sf_dir)
     return evaluate.rank_metrics(items, evaluate.hits(found.join(items, "item_id"), ratio=None))

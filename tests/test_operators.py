@@ -77,7 +77,8 @@ def test_terms_are_not_replaced_twice_and_null_priority_is_first(spark):
     kind = "source_term string, target_term string, match_type int, priority int, enabled int"
     rules = understanding.term_rules(spark.createDataFrame([("b", "c", 1, 1, 1), ("a", "ab", None, None, 1)], kind))
     assert rules == [("a", "ab"), ("b", "c")]
-    assert spark.range(1).select(understanding.normalized_terms(F.lit("ab a"), [("a", "ab")])).first()[0] == "ab ab"
+    said = lambda text, rule: spark.range(1).select(understanding.normalized_terms(F.lit(text), [rule])).first()[0]
+    assert said("ab a", ("a", "ab")) == "ab ab" and said("abc", ("abc", "ab")) == "abc" and said("a$b", ("$", "")) == "ab" and said("aba", ("b", "$1")) == "a$1a"
 
 
 def test_quota_keeps_the_best_of_every_sub_question(spark):
@@ -132,11 +133,97 @@ def test_chunkers_lose_nothing(seed):
         parts = chunking.fixed_size(text, size, overlap)
         assert all(len(c[3]) <= size for c in parts) and [c[0] for c in parts] == list(range(len(parts)))
     assert "".join("".join(c[3] for c in chunking.paragraphs(text, 60)).split()) == "".join(text.split())
-    assert all(len(c[3]) <= 60 for c in chunking.paragraphs(text, 60))
-    assert "".join("".join(c[3] for c in chunking.structure_aware(text, 100, 120, 60)).split()) == "".join(text.split())
+    assert all(len(c[3]) <= 62 for c in chunking.paragraphs(text, 60))  # the last pair of newlines does not count
+    parts = chunking.structure_aware(text, 100, 120, 60)
+    assert all(said == text[s:e] for _, s, e, said in parts)
+    assert "".join("".join(c[3] for c in parts).split()) == "".join(text.split())
+    for _, s, e, said in [*fixed, *chunking.fixed_size(text, 30, 7)]:
+        assert said == text[s:e]
+    for _, s, e, said in chunking.paragraphs(text, 60):
+        assert "".join(said.split()) == "".join(text[s:e].split())
     assert len(chunking.fixed_size(text, -1)) == (1 if text.strip() else 0)
 
 
+def test_fixed_size_literal_cases():
+    spans = lambda *a: [(s, e) for _, s, e, _ in chunking.fixed_size(*a)]
+    assert spans("abcdefghij" * 3, 10, 40) == [(i, i + 10) for i in range(21)]  # an overlap above the size is the size less one
+    assert spans("ab；cdefgh", 5, 4)[0] == (0, 5) and spans("abc。efgh", 5, 4)[0] == (0, 4)  # a semicolon ends no sentence
+    assert spans("\nabcdefg", 4, 3)[0] == (0, 4)  # a newline at the start is no end
+    assert spans("abc", 1, 5) == [(0, 1), (1, 2), (2, 3)] and spans("abc", -1) == [(0, 3)]
+    assert spans("One. Two three", 8, 6)[0] == (0, 4) and spans("v1.2 x3.4yz", 8, 6)[0] == (0, 8)
+    text = "aaaa\nbb cccc dddd eeee"
+    ends = [e for _, e in spans(text, 8, 6)]
+    assert ends == sorted(ends) and ends[-1] == len(text)
+
+
+def test_structure_literal_cases():
+    text = "# Head\n\npara one\nstill\n\n\n- item\n| a | b |\n[link](http://a)\n![img](x.png)\n```py\ncode\n\n# no head\n```\ntail"
+    kinds = [(k, text[s:e]) for k, s, e in chunking.blocks(text)]
+    assert kinds == [
+        ("HEADING", "# Head\n\n"), ("PARA", "para one\nstill\n\n\n"), ("PARA", "- item\n| a | b |\n"), ("ATOMIC", "[link](http://a)\n"),
+        ("ATOMIC", "![img](x.png)\n"), ("CODE", "```py\ncode\n\n# no head\n```\n"), ("PARA", "tail"),
+    ]
+    assert [k for k, _, _ in chunking.blocks("x\n```\nopen\n\nfence")] == ["PARA", "CODE"]
+    parts = chunking.structure_aware("a" * 30 + "\n\n" + "b" * 30 + "\n\n" + "c" * 5, 40, 50, 20, 4)
+    assert [(s, e) for _, s, e, _ in parts] == [(0, 69)] or parts[1][3].startswith(("aa\n\n", "bb\n\n"))
+
+
+def test_paragraph_literal_cases():
+    said = lambda t, n: [c[3] for c in chunking.paragraphs(t, n)]
+    assert said("aaaa\n\nbbbb", 8) == ["aaaa\n\nbbbb"] and said("aaaaa\n\nbbbb", 8) == ["aaaaa", "bbbb"]
+    assert said("aaaaaa。bbbb\n\ncc", 10) == ["aaaaaa。", "bbbb", "cc"]  # the rest of a long paragraph stays alone
+    assert said("aaaaaa. bbbb", 10) == ["aaaaaa. bb", "bb"] and said(" \n\n ", 10) == []
+
+
+def test_index_rows_refuse_a_wrong_dimension(spark):
+    rows = spark.createDataFrame([("c", 1, 0, "x", [1.0, 2.0])], "collection string, doc_id long, chunk_index int, content string, embedding array<double>")
+    assert incremental.index_rows(rows, 2).count() == 1
+    with pytest.raises(Exception, match="not 3"):
+        incremental.index_rows(rows, 3).collect()
+
+
+def test_lookup_keeps_rows_whole(spark):
+    from skein.operators import reports
+
+    other = spark.createDataFrame([(1, "a", "z"), (1, "b", "y")], "k long, x string, y string")
+    assert [tuple(r) for r in reports.lookup(spark.createDataFrame([(1,), (2,)], "id long"), other, "id", "k", ["x", "y"]).orderBy("id").collect()] == [(1, "a", "z"), (2, None, None)]
+
+
+def test_empty_answers_are_no_hits(spark):
+    rows = spark.createDataFrame([("", "abc"), ("?!", "abc"), ("a-b", "x a_b y"), ("abc", None)], "golden string, text string")
+    assert [r["hit"] for r in evaluate.hits(rows, ratio=None).collect()] == [False, False, True, False]
+
+
+def test_approximate_search_of_clustered_vectors(spark):
+    """Where vectors form clusters, few pairs are candidates."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    centre = r.normal(size=(40, 16))
+    rows = spark.createDataFrame([(i, [float(x) for x in centre[i % 40] + 0.25 * r.normal(size=16)]) for i in range(1600)], "vec_id long, v array<double>")
+    asked = rows.where("vec_id % 20 = 0")
+    exact = {(x[0], x[1]) for x in vectors.top_k(rows, asked, 10).select("query_id", "chunk_id").collect()}
+    found = {(x[0], x[1]) for x in vectors.approximate_top_k(rows, asked, 10).select("query_id", "chunk_id").collect()}
+    centres, sample = vectors.centroids(rows, 80)
+    probes = vectors.probes_for(centres, sample, 10, 0.93)
+    sizes = {x["list"]: x["count"] for x in vectors.in_lists(rows, centres, 1).groupBy("list").count().collect()}
+    pairs = sum(sizes.get(x["list"], 0) for x in vectors.in_lists(asked, centres, probes).select("list").collect())
+    assert len(exact & found) / len(exact) >= 0.9 and pairs < 0.1 * 1600 * 80
+
+
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    from skein.streaming import streams
+
+    kind = "doc_id long, text string"
+    path, root = str(tmp_path / "in"), str(tmp_path / "root")
+    spark.createDataFrame([(1, "a\nb"), (2, "c")], kind).coalesce(1).write.parquet(path)
+    by_line = lambda df: chunking.by_lines(df, 1)
+    assert streams.document_stream(spark, path, by_line, root).count() == 3
+    spark.createDataFrame([(2, "d\ne"), (3, "f")], kind).coalesce(1).write.mode("append").parquet(path)
+    got = sorted((r["doc_id"], r["content"]) for r in streams.document_stream(spark, path, by_line, root).collect())
+    assert got == [(1, "a"), (1, "b"), (2, "d"), (2, "e"), (3, "f")]
+
+
 def test_urls_and_cjk_words_are_joined():
     assert chunking.repaired("see http://a.b/\nc/d\r\n- item") == "see http://a.b/c/d\n- item"
     assert chunking.repaired("中文\n字") == "中文字"
