@@ -19,6 +19,7 @@ the result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,9 @@ PATTERNS = {
 _CODE = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|0[0-9])"  # country code, or the beginning of an area code
 _WOMAN = rf"(?i)(?:^| )(?:{'|'.join(FEMALE_TITLES)})(?:$|[. ])"
 ANY = "|".join(PATTERNS.values())
+# What every entity contains: a digit, an @, or a form of address before a blank; first letters are looked at first.
+_BY_LETTER = [(letter, "|".join(t[1:] for t in group)) for letter, group in groupby(sorted(_WRITTEN_TITLES), key=lambda t: t[0])]
+_HINT = rf"[0-9@]|(?=[{''.join(letter for letter, _ in _BY_LETTER)}])(?:{'|'.join(f'{letter}(?:{rest})' for letter, rest in _BY_LETTER)})\.? "
 _STREAM = 128  # hexadecimal digits of a digest
 
 
@@ -234,9 +238,7 @@ def _surrogate(d: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """All matches in a text, in order; empty for most texts after a cheap look for what every entity contains."""
-    shortest = [t for t in _WRITTEN_TITLES if not any(o in t for o in _WRITTEN_TITLES if o != t)]
-    titled = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in shortest])
-    return F.when(text.rlike("[0-9@]") | titled, F.regexp_extract_all(text, F.concat(F.lit("("), pattern(text), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.concat(F.lit("("), pattern(text), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def pattern(text: Column) -> Column:
