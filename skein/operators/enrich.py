@@ -17,10 +17,25 @@ def rendered(template: Column, values: dict[str, Column]) -> Column:
     return F.regexp_replace(filled, r"\n{3,}", "\n\n")
 
 
-def requests(rows: DataFrame, tasks: dict[str, str], text_col: str = "text") -> DataFrame:
-    """One request per row and task, its prompt rendered with the row's text."""
+def requests(rows: DataFrame, tasks: dict[str, str], text_col: str = "text", enhanced_col: str | None = None, raw_tasks: tuple[str, ...] = ("rewrite",)) -> DataFrame:
+    """One request per row and task, its prompt rendered with the row's text; a blank template is the text itself, and rows without text ask for nothing.
+
+    With `enhanced_col`, tasks other than `raw_tasks` take that text where it isn't blank.
+    """
     table = F.array(*[F.struct(F.lit(k).alias("task"), F.lit(v).alias("template")) for k, v in tasks.items()])
-    return rows.withColumn("_t", F.explode(table)).withColumn("task", F.col("_t.task")).withColumn("prompt", rendered(F.col("_t.template"), {"text": F.col(text_col)})).drop("_t")
+    said = F.col(text_col)
+    if enhanced_col is not None:
+        said = F.when(~F.col("_t.task").isin(*raw_tasks) & F.col(enhanced_col).rlike(r"\S"), F.col(enhanced_col)).otherwise(said)
+    asked = rows.withColumn("_t", F.explode(table)).withColumn("_said", said).where(F.col("_said").rlike(r"\S"))
+    prompt = F.when(F.trim("_t.template") == "", F.col("_said")).otherwise(rendered(F.col("_t.template"), {"text": F.col("_said"), "content": F.col("_said")}))
+    return asked.withColumn("task", F.col("_t.task")).withColumn("prompt", prompt).drop("_t", "_said")
+
+
+def copied_metadata(chunk: Column, document: Column, attach: bool = True) -> Column:
+    """A chunk's metadata with its document's put over it, unless that is switched off; null maps are empty."""
+    empty = F.create_map().cast("map<string,string>")
+    own, given = F.coalesce(chunk, empty), F.coalesce(document, empty)
+    return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(given, k)), given) if attach else own
 
 
 def json_part(answer: Column) -> Column:

@@ -62,6 +62,14 @@ def weak_retrieval(rows: DataFrame, least: float = 0.4) -> DataFrame:
     return rows.groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n")).withColumn("weak", F.col("best") < least)
 
 
+def weak_gate(rows: DataFrame, questions: DataFrame, least: float = 0.4) -> DataFrame:
+    """What each of `questions` (query_id, has_tool) is answered from: TOOL (a tool's result, whatever the scores), KB, or nothing, because
+    no chunk was found (EMPTY) or the best score is below `least` (WEAK; chunks without a score count as weak)."""
+    best = rows.groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
+    outcome = F.when(F.col("has_tool"), "TOOL").when(F.col("n").isNull(), "EMPTY").when(F.coalesce(F.col("best") < least, F.lit(True)), "WEAK").otherwise("KB")
+    return questions.select("query_id", "has_tool").join(best, "query_id", "left").select("query_id", "best", F.coalesce("n", F.lit(0)).alias("n"), outcome.alias("outcome"))
+
+
 def context_blocks(rows: DataFrame, k: int, rules: DataFrame | None = None) -> DataFrame:
     """Per question the text of its first k chunks with their source, joined by newlines, after its numbered rules."""
     line = F.concat(F.lit("["), F.col("channel"), F.lit("] "), F.col("text"))
@@ -87,12 +95,23 @@ def prompt_plan(questions: DataFrame) -> DataFrame:
     return questions.withColumn("plan", plan).withColumn("prompt", F.when(own, F.col("template")).otherwise(plan))
 
 
-def references(rows: DataFrame, snippet: int = 200) -> DataFrame:
-    """Reference type, label and snippet of retrieved rows; images with a blank, absolute or climbing path are dropped."""
+# What a reference of each type is called.
+REFERENCE_LABELS = {"IMAGE": "设备图纸", "HYPERGRAPH": "推理路径", "TEXT": "文本引用"}
+
+
+def references(rows: DataFrame, snippet: int = 200, url_prefix: str = "/files") -> DataFrame:
+    """Reference type, label and snippet of retrieved rows; images with a blank, absolute or climbing path are dropped.
+
+    With image_path, an image's label tells its path, and url is where it is served, each part of the path encoded.
+    """
     kind = F.when(F.col("channel") == "IMAGE_SEMANTIC", "IMAGE").when(F.col("channel") == "HYPERGRAPH", "HYPERGRAPH").otherwise("TEXT")
     cut = F.when(F.length("text") > snippet, F.concat(F.substring("text", 1, snippet), F.lit("..."))).otherwise(F.col("text"))
-    typed = rows.withColumn("type", kind).withColumn("snippet", cut)
+    labels = F.create_map(*[F.lit(x) for pair in REFERENCE_LABELS.items() for x in pair])
+    typed = rows.withColumn("type", kind).withColumn("snippet", cut).withColumn("label", labels[F.col("type")])
     if "image_path" in rows.columns:
         path = F.coalesce(F.trim("image_path"), F.lit(""))
         typed = typed.where((F.col("type") != "IMAGE") | ~((path == "") | path.startswith("/") | path.rlike(r"^[A-Za-z]:") | path.contains("..")))
+        image = F.col("type") == "IMAGE"
+        encoded = F.concat_ws("/", F.transform(F.split("image_path", "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))))
+        typed = typed.withColumn("label", F.when(image, F.concat_ws(": ", "label", "image_path")).otherwise(F.col("label"))).withColumn("url", F.when(image, F.concat(F.lit(url_prefix + "/"), encoded)))
     return typed

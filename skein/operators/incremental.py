@@ -45,6 +45,46 @@ def enabled_diff(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return add.unionByName(index.select(key).join(wanted.select(key), key, "left_anti").withColumn("action", F.lit("remove")))
 
 
+def toggle_outcome(requests: DataFrame, chunks: DataFrame, documents: DataFrame, most: int = 500) -> DataFrame:
+    """What becomes of each request to enable or disable chunks of a document, and how many chunks it changes.
+
+    `requests` has request_id, doc_id, chunk_id and enable (one row per chunk asked for), `chunks` has chunk_id, doc_id and enabled, `documents` has doc_id,
+    status and enabled. A request is refused as a whole: for more than `most` ids, an unknown document, one that is being worked on, enabling in a
+    disabled document, ids that do not exist or come twice, chunks of another document, or if nothing would change.
+    """
+    known = chunks.select("chunk_id", F.col("doc_id").alias("_owner"), F.col("enabled").alias("_now"))
+    asked = requests.join(known, "chunk_id", "left")
+    per = asked.groupBy("request_id", "doc_id", "enable").agg(
+        F.count(F.lit(1)).alias("_asked"), F.count_distinct(F.when(F.col("_owner").isNotNull(), F.col("chunk_id"))).alias("_found"),
+        F.count_if(F.col("_owner") != F.col("doc_id")).alias("_others"), F.count_if(F.col("_now") != F.col("enable")).alias("changed"),
+    )
+    both = per.join(documents.select("doc_id", F.col("status").alias("_status"), F.col("enabled").alias("_on")), "doc_id", "left")
+    outcome = (
+        F.when(F.col("_asked") > most, "TOO_MANY").when(F.col("_on").isNull(), "NO_DOCUMENT").when(F.col("_status") == "RUNNING", "RUNNING")
+        .when((F.col("enable") == 1) & (F.col("_on") == 0), "DOCUMENT_DISABLED").when(F.col("_found") != F.col("_asked"), "UNKNOWN_CHUNK")
+        .when(F.col("_others") > 0, "OTHER_DOCUMENT").when(F.col("changed") == 0, "UNCHANGED").otherwise("DONE")
+    )
+    return both.select("request_id", "doc_id", "enable", outcome.alias("outcome"), F.when(outcome == "DONE", F.col("changed")).otherwise(F.lit(0)).cast("long").alias("changed"))
+
+
+def toggled(requests: DataFrame, chunks: DataFrame, documents: DataFrame, most: int = 500) -> DataFrame:
+    """The chunk rows that the accepted requests change, with the action on the index: add (to be embedded again from the stored text) or remove."""
+    accepted = toggle_outcome(requests, chunks, documents, most).where("outcome = 'DONE'").select("request_id")
+    wanted = requests.join(accepted, "request_id", "left_semi").select("chunk_id", "enable")
+    return chunks.join(wanted, "chunk_id").where("enabled <> enable").withColumn("action", F.when(F.col("enable") == 1, "add").otherwise("remove")).drop("enable")
+
+
+def fetch_status(known: DataFrame, fetched: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Whether each fetched file (etag, modified, hash) is new, changed, or to be skipped: by its header, if the entity tag or the time of change is the known one
+    (blank ones never are), else by an equal hash of its content. A skip by header does not look at the hash."""
+    kept = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    old = known.select(key, kept("etag").alias("_etag"), kept("modified").alias("_modified"), kept("hash").alias("_hash"), F.lit(1).alias("_known"))
+    both = fetched.join(old, key, "left")
+    same = lambda c, o: F.coalesce(kept(c) == F.col(o), F.lit(False))
+    status = F.when(same("etag", "_etag") | same("modified", "_modified"), "header").when(same("hash", "_hash"), "hash").when(F.col("_known").isNull(), "new").otherwise("changed")
+    return both.select(key, status.alias("status"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", content: str = "hash") -> DataFrame:
     """Status of every key of two snapshots: new, removed, same or changed."""
     both = old.select(key, F.col(content).alias("_o")).join(new.select(key, F.col(content).alias("_n")), key, "full_outer")

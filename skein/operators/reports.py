@@ -26,6 +26,11 @@ def keyword(df: DataFrame, word: str, columns: list[str]) -> DataFrame:
     return df.where(hit)
 
 
+def clamped(limit: int, least: int = 1, most: int = 20) -> int:
+    """A page size within its bounds."""
+    return max(least, min(limit, most))
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """The rows of one page; the order should end in a unique column."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

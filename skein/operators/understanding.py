@@ -66,16 +66,42 @@ def system_only(intents: DataFrame) -> DataFrame:
     return subs.groupBy("query_id").agg(F.bool_and("_one").alias("system_only"))
 
 
+def plain_name(name: Column) -> Column:
+    """A name in lower case without punctuation and blanks."""
+    return F.regexp_replace(F.lower(name), r"[\p{Punct}\s]+", "")
+
+
 def ambiguous(intents: DataFrame, ratio: float, least: float = 0.35) -> DataFrame:
-    """Per question the best group of equally named intents of different systems whose second score is near the first."""
-    name = F.lower(F.regexp_replace("name", r"\s+", ""))
-    rows = intents.where(F.col("score") >= least).withColumn("_name", name)
+    """Per question the best group of equally named intents of different systems whose second score is near the first.
+
+    If `intents` has a column sub, only questions of a single sub-question count.
+    """
+    rows = intents.where((F.col("score") >= least) & (F.trim("name") != "")).withColumn("_name", plain_name(F.col("name")))
+    if "sub" in intents.columns:
+        single = intents.groupBy("query_id").agg(F.min("sub").alias("_lo"), F.max("sub").alias("_hi")).where("_lo = _hi").select("query_id")
+        rows = rows.join(single, "query_id", "left_semi")
     groups = rows.groupBy("query_id", "_name").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"), F.count_distinct("system").alias("systems"), F.max("score").alias("top"))
-    close = groups.where((F.size("s") >= 2) & (F.element_at("s", 2) >= F.element_at("s", 1) * ratio) & (F.col("systems") >= 2))
+    close = groups.where((F.size("s") >= 2) & (F.element_at("s", 1) > 0) & (F.element_at("s", 2) >= F.element_at("s", 1) * ratio) & (F.col("systems") >= 2))
     best = Window.partitionBy("query_id").orderBy(F.desc("top"), "_name")
     return close.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("query_id", F.col("_name").alias("name"), "systems", "top")
 
 
+def guidance(found: DataFrame, intents: DataFrame, questions: DataFrame, systems: DataFrame, least: float = 0.35, options: int | None = None) -> DataFrame:
+    """The systems to offer for each ambiguous question (rows of `ambiguous`), best score first; none if the question names one of them.
+
+    `questions` has query_id and text, `systems` has system and system_name. A name of fewer than two characters, once plain, is never found in a question.
+    """
+    of = intents.where(F.col("score") >= least).select("query_id", plain_name(F.col("name")).alias("name"), "system", "score")
+    offered = of.join(found.select("query_id", "name"), ["query_id", "name"], "left_semi").groupBy("query_id", "name", "system").agg(F.max("score").alias("_top"))
+    ranked = offered.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_top"), "system"))).drop("_top")
+    kept = ranked if options is None else ranked.where(F.col("pos") <= options)
+    named = kept.join(systems.select("system", "system_name"), "system", "left").withColumn("system_name", F.coalesce(F.when(F.trim("system_name") != "", F.col("system_name")), F.col("system").cast("string")))
+    asked = named.join(questions.select("query_id", plain_name(F.col("text")).alias("_said")), "query_id", "left")
+    alias = plain_name(F.col("system_name"))
+    names = (F.length(alias) >= 2) & F.coalesce(F.contains("_said", alias), F.lit(False))
+    return asked.withColumn("_skip", F.max(names).over(Window.partitionBy("query_id"))).where(~F.col("_skip")).select("query_id", "name", "pos", "system", "system_name")
+
+
 def descendants(nodes: DataFrame, depth: int = 32) -> DataFrame:
     """(ancestor, code, steps) for every node and itself; nodes whose parent is missing are roots.
 
@@ -93,6 +119,15 @@ def descendants(nodes: DataFrame, depth: int = 32) -> DataFrame:
     raise ValueError(f"the tree is deeper than {depth} levels, or has a cycle")
 
 
+def owning_system(nodes: DataFrame, domain: int = 0, category: int = 1) -> DataFrame:
+    """(code, system): the nearest category at the top or under a domain, seen from the node upwards, itself included; else the root."""
+    above = nodes.select(F.col("code").alias("_p"), F.col("lvl").alias("_above"))
+    marked = nodes.join(above, F.col("parent") == F.col("_p"), "left")
+    root = F.col("_p").isNull()
+    ends = marked.where(root | ((F.col("lvl") == category) & (F.col("_above") == domain))).select(F.col("code").alias("ancestor"))
+    return descendants(nodes).join(ends, "ancestor").groupBy("code").agg(F.min_by("ancestor", "steps").alias("system"))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """code and its path `root > … > node`."""
     names = nodes.select(F.col("code").alias("ancestor"), "name")

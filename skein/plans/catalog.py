@@ -17,6 +17,7 @@ VIEW_SQL = {
     "session": "SELECT event_id AS session_id, user_id, ts AS create_time FROM events WHERE event_type = 'view'",
     "message": "SELECT conv_id, turn, conv_id * 1000 + turn AS id, role, text FROM conversations",
     "feedback": "SELECT event_id % 50 AS message_id, user_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS vote, ts AS submit_time, event_id FROM events WHERE event_type IN ('purchase', 'error')",
+    "vote_event": "SELECT CASE WHEN event_id % 7 = 0 THEN -event_id ELSE event_id END AS message_id, CASE WHEN event_id % 3 = 0 THEN user_id + 1 ELSE user_id END AS user_id, CAST((n + event_id) % 3 - 1 AS INTEGER) AS vote, ts + CASE WHEN n > 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS submit_time, event_id * 3 + n AS event_id FROM events, (SELECT unnest([0, 1, 2]) AS n)",
     "vec": "SELECT vec_id, label, embedding, sqrt(list_inner_product([CAST(x AS DOUBLE) FOR x IN embedding], [CAST(x AS DOUBLE) FOR x IN embedding])) AS norm FROM embeddings",
     "unit": "SELECT vec_id, label, CASE WHEN norm > 0 THEN [CAST(x AS DOUBLE) / norm FOR x IN embedding] ELSE [CAST(x AS DOUBLE) FOR x IN embedding] END AS v FROM vec",
     "cosine": "SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS query_label, c.label AS label, round(list_inner_product(q.v, c.v), 6) AS score FROM unit q JOIN unit c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id",

@@ -26,6 +26,12 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, sf_dir).select("conv_id", "turn", "id", "role", "text")
 
 
+@query("history_window_kept", WINDOW_SQL + "SELECT conv_id, turn, id, role, text FROM h WHERE conv_id % 11 <> 0")
+def history_window_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.messages(spark, sf_dir)
+    return memory.history_window(rows, 3, rows.where("conv_id % 11 <> 0").select("conv_id")).select("conv_id", "turn", "id", "role", "text")
+
+
 @query("latest_summary", "SELECT conv_id, id, text FROM message WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 def latest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.latest(t.messages(spark, sf_dir).where("role = 'assistant'"), ["conv_id"], "turn").select("conv_id", "id", "text")
@@ -61,6 +67,23 @@ def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.rollup(t.messages(spark, sf_dir))
 
 
+USER_ROLLUP_SQL = "SELECT conv_id % 10 AS user_id, conv_id, min(id) AS first_id, max(id) AS last_id, count(*) AS user_turns FROM message WHERE role = 'user' GROUP BY 1, 2"
+
+
+def _of_users(conversations: DataFrame) -> DataFrame:
+    return conversations.select((F.col("conv_id") % 10).alias("user_id"), "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role")
+
+
+@query("conversation_rollup_user", USER_ROLLUP_SQL)
+def conversation_rollup_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.rollup(_of_users(t.table(spark, sf_dir, "conversations")), ("user_id", "conv_id"))
+
+
+@query("rollup_stream", USER_ROLLUP_SQL)
+def rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.rollup_stream(spark, f"{sf_dir}/conversations.parquet", _of_users, ("user_id", "conv_id"))
+
+
 @query("conversation_list", "SELECT conv_id % 10 AS user_id, conv_id, max(id) AS last_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY max(id) DESC) AS pos FROM message WHERE role = 'user' GROUP BY conv_id")
 def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -70,8 +93,8 @@ def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LATEST_SQL = """
-WITH a AS (SELECT message_id FROM chat_message WHERE role = 'assistant'),
-f AS (SELECT f.* FROM feedback f WHERE message_id IN (SELECT message_id FROM a))
+WITH a AS (SELECT message_id, user_id FROM chat_message WHERE role = 'assistant'),
+f AS (SELECT f.* FROM feedback f WHERE (message_id, user_id) IN (SELECT message_id, user_id FROM a))
 SELECT message_id, user_id, vote, submit_time FROM f QUALIFY row_number() OVER (PARTITION BY message_id, user_id ORDER BY submit_time DESC, event_id) = 1"""
 
 
@@ -85,6 +108,20 @@ def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.feedback_stream(spark, f"{sf_dir}/events.parquet", t.chat_messages(spark, sf_dir)).withColumn("vote", F.col("vote").cast("int"))
 
 
+@query("feedback_owned", """
+SELECT v.message_id, v.user_id, v.vote, v.submit_time FROM vote_event v JOIN chat_message m ON m.message_id = v.message_id AND m.user_id = v.user_id AND m.role = 'assistant'
+WHERE v.vote <> 0 QUALIFY row_number() OVER (PARTITION BY v.message_id, v.user_id ORDER BY v.submit_time DESC, v.event_id) = 1""")
+def feedback_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.latest_votes(t.votes(spark, sf_dir), t.chat_messages(spark, sf_dir))
+
+
+@query("message_at_or_before", """
+SELECT s.session_id, s.user_id, max(m.message_id) AS message_id FROM session s LEFT JOIN chat_message m ON m.user_id = s.user_id AND m.role = 'assistant' AND m.create_time <= s.create_time GROUP BY 1, 2""")
+def message_at_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = t.chat_messages(spark, sf_dir).where("role = 'assistant'")
+    return memory.newest_before(answers, t.sessions(spark, sf_dir), ["user_id"], "create_time", "message_id").select("session_id", "user_id", "message_id")
+
+
 @query("messages_with_vote", """
 WITH v AS (SELECT message_id, user_id, vote FROM feedback QUALIFY row_number() OVER (PARTITION BY message_id, user_id ORDER BY submit_time DESC, event_id) = 1)
 SELECT m.id, m.conv_id, m.role, v.vote FROM message m LEFT JOIN v ON v.message_id = m.id AND v.user_id = m.conv_id % 50""")

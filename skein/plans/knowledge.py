@@ -119,6 +119,46 @@ def index_enabled_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.enabled_diff(old, new, "doc_id")
 
 
+TOGGLE_SQL = """
+WITH k AS (SELECT doc_id || ':' || chunk_index AS chunk_id, doc_id, chunk_index % 2 AS enabled FROM chunk),
+d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'RUNNING' ELSE 'SUCCESS' END AS status, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END AS enabled FROM documents),
+r AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 13 = 4 THEN -doc_id WHEN doc_id % 5 = 1 THEN doc_id + 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 2 THEN 'x' || chunk_id ELSE chunk_id END AS chunk_id, CAST(doc_id % 2 AS INTEGER) AS enable FROM k),
+p AS (SELECT request_id, r.doc_id, enable, count(*) AS asked, count(DISTINCT k.chunk_id) AS found, count(*) FILTER (k.doc_id <> r.doc_id) AS others, count(*) FILTER (k.enabled <> enable) AS changed FROM r LEFT JOIN k USING (chunk_id) GROUP BY 1, 2, 3),
+o AS (SELECT request_id, doc_id, enable, changed, CASE WHEN asked > 20 THEN 'TOO_MANY' WHEN d.enabled IS NULL THEN 'NO_DOCUMENT' WHEN status = 'RUNNING' THEN 'RUNNING' WHEN enable = 1 AND d.enabled = 0 THEN 'DOCUMENT_DISABLED' WHEN found <> asked THEN 'UNKNOWN_CHUNK' WHEN others > 0 THEN 'OTHER_DOCUMENT' WHEN changed = 0 THEN 'UNCHANGED' ELSE 'DONE' END AS outcome FROM p LEFT JOIN d USING (doc_id))
+"""
+
+
+def _toggles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests to turn all chunks of a document on or off, some of them wrong; the chunks; the documents."""
+    i = F.col("doc_id")
+    chunks = t.chunks(spark, sf_dir).select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", (F.col("chunk_index") % 2).alias("enabled"))
+    documents = _docs(spark, sf_dir).select("doc_id", F.when(i % 7 == 0, "RUNNING").otherwise("SUCCESS").alias("status"), F.when(i % 11 == 0, 0).otherwise(1).alias("enabled"))
+    asked = chunks.select(i.alias("request_id"), F.when(i % 13 == 4, -i).when(i % 5 == 1, i + 1).otherwise(i).alias("doc_id"), F.when(i % 5 == 2, F.concat(F.lit("x"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), (i % 2).cast("int").alias("enable"))
+    return asked, chunks, documents
+
+
+@query("toggle_outcome", TOGGLE_SQL + "SELECT request_id, doc_id, enable, outcome, CASE WHEN outcome = 'DONE' THEN changed ELSE 0 END AS changed FROM o")
+def toggle_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.toggle_outcome(*_toggles(spark, sf_dir), most=20)
+
+
+@query("toggled_chunks", TOGGLE_SQL + "SELECT k.chunk_id, k.doc_id, CASE WHEN o.enable = 1 THEN 'add' ELSE 'remove' END AS action FROM o JOIN r USING (request_id) JOIN k ON k.chunk_id = r.chunk_id WHERE outcome = 'DONE' AND k.enabled <> o.enable")
+def toggled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.toggled(*_toggles(spark, sf_dir), most=20).select("chunk_id", "doc_id", "action")
+
+
+@query("fetch_status", """
+SELECT n.doc_id, CASE WHEN o.doc_id IS NOT NULL AND (n.doc_id % 3 = 1 OR n.doc_id % 4 = 1) THEN 'header' WHEN n.hash = o.hash THEN 'hash' WHEN o.doc_id IS NULL THEN 'new' ELSE 'changed' END AS status
+FROM snap_new n LEFT JOIN snap_old o USING (doc_id)""")
+def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity tags are blank, kept or new by turns (of three), times of change kept for one document in four."""
+    old, new = t.snapshots(spark, sf_dir)
+    i = F.col("doc_id")
+    tag = lambda mark: F.when(i % 3 == 0, " ").when(i % 3 == 1, "kept").otherwise(mark)
+    time = lambda mark: F.when(i % 4 == 1, F.lit(" Mon, 1 Jan ")).when(i % 4 == 2, mark)
+    return incremental.fetch_status(old.withColumns({"etag": tag("a"), "modified": time("x")}), new.withColumns({"etag": tag("b"), "modified": time("y")}))
+
+
 @query("snapshot_diff", "SELECT doc_id, CASE WHEN o.hash IS NULL THEN 'new' WHEN n.hash IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'same' ELSE 'changed' END AS status FROM snap_old o FULL JOIN snap_new n USING (doc_id)")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.snapshot_diff(*t.snapshots(spark, sf_dir))
@@ -149,17 +189,29 @@ def schedule_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.schedule_state(t.table(spark, sf_dir, "events").select(F.col("user_id").alias("schedule_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("at"), outcome.alias("outcome"), error.alias("error")))
 
 
-@query("span_fold", """
+SPAN_SQL = """
 WITH s AS (SELECT event_id // 2 AS trace_id, event_id // 2 AS node_id, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'finish' END AS phase, ts AS tm, CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'SUCCESS' END END AS status FROM events WHERE event_id % 9 <> 1)
-SELECT trace_id, min(CASE WHEN phase = 'start' THEN tm END) AS start_time, max(CASE WHEN phase = 'finish' THEN tm END) AS end_time, coalesce(max(CASE WHEN phase = 'finish' THEN status END), 'RUNNING') AS status FROM s GROUP BY trace_id, node_id""")
-def span_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT trace_id, min(CASE WHEN phase = 'start' THEN tm END) AS start_time, max(CASE WHEN phase = 'finish' THEN tm END) AS end_time, coalesce(max(CASE WHEN phase = 'finish' THEN status END), 'RUNNING') AS status FROM s GROUP BY trace_id, node_id"""
+
+
+def _span_events(events: DataFrame) -> DataFrame:
+    """Starts and finishes by turns; as a fixture of spans that have not ended or whose start is lost, one event in nine is left out."""
     half = F.expr("event_id div 2")
     start = F.col("event_id") % 2 == 0
-    events = t.table(spark, sf_dir, "events").where("event_id % 9 <> 1").select(
+    return events.where("event_id % 9 <> 1").select(
         half.alias("trace_id"), half.alias("node_id"), F.when(start, "start").otherwise("finish").alias("phase"), F.col("ts").alias("at"),
         F.when(~start, F.when(F.col("event_type") == "error", "ERROR").otherwise("SUCCESS")).alias("status"), F.lit(None).cast("string").alias("error"),
     )
-    return incremental.spans(events).select("trace_id", "start_time", "end_time", "status")
+
+
+@query("span_fold", SPAN_SQL)
+def span_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.spans(_span_events(t.table(spark, sf_dir, "events"))).select("trace_id", "start_time", "end_time", "status")
+
+
+@query("span_stream", SPAN_SQL)
+def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.span_stream(spark, f"{sf_dir}/events.parquet", _span_events).select("trace_id", "start_time", "end_time", "status")
 
 
 @query("image_meta_join", "SELECT page_id, coalesce(u, '') AS source_url, coalesce(l, '') AS license FROM pages LEFT JOIN (SELECT item_id, 'u' || item_id AS u, CASE WHEN item_id % 2 = 0 THEN 'CC' END AS l FROM benchmark) ON item_id = page_id")
@@ -181,7 +233,7 @@ def doc_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_search_with_kb", "SELECT doc_id, source, kb_docs FROM (SELECT doc_id, source FROM documents WHERE contains(text, 'License') ORDER BY doc_id DESC LIMIT 20) LEFT JOIN (SELECT source, count(*) AS kb_docs FROM documents GROUP BY 1) USING (source)")
 def doc_search_with_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.keyword(_docs(spark, sf_dir), "License", ["text"]).orderBy(F.desc("doc_id")).limit(max(1, min(20, 50)))
+    found = reports.keyword(_docs(spark, sf_dir), "License", ["text"]).orderBy(F.desc("doc_id")).limit(reports.clamped(50))
     kb = _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("kb_docs"))
     return reports.lookup(found.select("doc_id", "source"), kb, "source", "source", ["kb_docs"]).select("doc_id", "source", "kb_docs")
 
@@ -215,6 +267,24 @@ def enhance_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.requests(_docs(spark, sf_dir).select("doc_id", "text"), {"keywords": "Keywords of: {{text}}", "questions": "Questions on {text}"}).select("doc_id", "task", "prompt")
 
 
+@query("enhance_requests_fallback", """
+WITH e AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN upper(lang) || ' better' WHEN doc_id % 3 = 1 THEN ' ' END AS enhanced FROM documents WHERE trim(text) <> '')
+SELECT doc_id, task, CASE task WHEN 'rewrite' THEN 'Rewrite: ' || text WHEN 'keywords' THEN 'Keywords of: ' || CASE WHEN trim(enhanced) <> '' THEN enhanced ELSE text END ELSE CASE WHEN trim(enhanced) <> '' THEN enhanced ELSE text END END AS prompt FROM e, (SELECT unnest(['rewrite', 'keywords', 'metadata']) AS task)""")
+def enhance_requests_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enhanced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.lit(" better"))).when(F.col("doc_id") % 3 == 1, " ")
+    rows = _docs(spark, sf_dir).select("doc_id", "text", enhanced.alias("enhanced"))
+    return enrich.requests(rows, {"rewrite": "Rewrite: {{text}}", "keywords": "Keywords of: {{content}}", "metadata": ""}, enhanced_col="enhanced").select("doc_id", "task", "prompt")
+
+
+@query("chunk_metadata_copy", "SELECT doc_id, chunk_index, 'lang=' || collection || ',line=' || chunk_index || ',source=' || kb_id AS metadata FROM chunk")
+def chunk_metadata_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.create_map(F.lit("line"), F.col("chunk_index").cast("string"), F.lit("source"), F.lit("chunk"))
+    given = F.create_map(F.lit("source"), "kb_id", F.lit("lang"), "collection")
+    entries = F.array_sort(F.map_entries(enrich.copied_metadata(own, given)))
+    rows = t.chunks(spark, sf_dir).withColumn("metadata", F.concat_ws(",", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]))))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "metadata")
+
+
 @query("enrich_requests", "SELECT doc_id, chunk_index, 'summary' AS task, 'Summary: ' || content AS prompt FROM chunk")
 def enrich_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrich.requests(t.chunks(spark, sf_dir), {"summary": "Summary: {{text}}"}, "content")

@@ -103,6 +103,15 @@ def weak_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.weak_retrieval(fusion.dedup(_channels(spark, sf_dir)))
 
 
+@query("weak_gate", """
+WITH r AS (SELECT query_id, max(CASE WHEN chunk_id % 4 <> 0 THEN score END) AS best, count(*) AS n FROM deduped WHERE score >= 0.35 GROUP BY query_id)
+SELECT vec_id AS query_id, best, coalesce(n, 0) AS n, CASE WHEN vec_id % 60 = 0 THEN 'TOOL' WHEN n IS NULL THEN 'EMPTY' WHEN best >= 0.42 THEN 'KB' ELSE 'WEAK' END AS outcome FROM embeddings LEFT JOIN r ON query_id = vec_id WHERE vec_id % 20 = 0""")
+def weak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.dedup(_channels(spark, sf_dir)).where("score >= 0.35").withColumn("score", F.when(F.col("chunk_id") % 4 != 0, F.col("score")))
+    questions = t.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 60 == 0).alias("has_tool"))
+    return fusion.weak_gate(rows, questions, 0.42)
+
+
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = fusion.first_n(_fused(spark, sf_dir), 10)
     return top.withColumn("text", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")))
@@ -142,11 +151,11 @@ def prompt_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("reference_rows", """
 WITH r AS (SELECT query_id, chunk_id, channel, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first_pos) AS rank FROM fused QUALIFY rank <= 10)
-SELECT r.query_id, r.chunk_id, 'TEXT' AS type, CASE WHEN length(d.text) > 200 THEN substring(d.text, 1, 200) || '...' ELSE d.text END AS snippet FROM r JOIN documents d ON d.doc_id = r.chunk_id""")
+SELECT r.query_id, r.chunk_id, 'TEXT' AS type, '文本引用' AS label, CASE WHEN length(d.text) > 200 THEN substring(d.text, 1, 200) || '...' ELSE d.text END AS snippet FROM r JOIN documents d ON d.doc_id = r.chunk_id""")
 def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     top = fusion.first_n(_fused(spark, sf_dir), 10).join(docs, "chunk_id")
-    return fusion.references(top).select("query_id", "chunk_id", "type", "snippet")
+    return fusion.references(top).select("query_id", "chunk_id", "type", "label", "snippet")
 
 
 @query("hyperedge_postings", "SELECT edge_id, entity FROM posting")

@@ -72,6 +72,21 @@ def intent_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.ambiguous(rows, 0.3, 0.01)
 
 
+@query("intent_guidance", f"""
+WITH {GROUPED_SQL}, i AS (SELECT *, 'topic' || intent % 3 AS name, intent % 2 AS system FROM g WHERE score >= 0.01),
+c AS (SELECT query_id, name, list_reverse_sort(list(score)) AS s, count(DISTINCT system) AS systems, max(score) AS top FROM i GROUP BY 1, 2),
+f AS (SELECT query_id, name FROM c WHERE len(s) >= 2 AND s[2] >= s[1] * 0.3 AND systems >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY top DESC, name) = 1),
+o AS (SELECT query_id, name, system, max(score) AS top FROM i JOIN f USING (query_id, name) GROUP BY 1, 2, 3)
+SELECT query_id, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY top DESC, system) AS INTEGER) AS pos, system, CASE WHEN system = 0 THEN 'The Vision' ELSE 'Zebra Works' END AS system_name
+FROM o WHERE query_id NOT IN (SELECT doc_id FROM documents WHERE contains(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~\\s]+', '', 'g'), 'thevision'))""")
+def intent_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _grouped(spark, sf_dir).withColumn("name", F.concat(F.lit("Topic "), (F.col("intent") % 3).cast("string"))).withColumn("system", F.col("intent") % 2)
+    found = u.ambiguous(rows, 0.3, 0.01)
+    named = rows.select("system").distinct().withColumn("system_name", F.when(F.col("system") == 0, "The Vision").otherwise("Zebra Works"))
+    questions = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return u.guidance(found, rows, questions, named, 0.01)
+
+
 @query("question_split", """
 WITH s AS (SELECT conv_id, turn, text, [trim(p) || '?' FOR p IN regexp_split_to_array(text, '[?？。;；\\n]+') IF trim(p) <> ''] AS parts FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, turn, CASE WHEN len(parts) > 0 THEN parts ELSE [text] END AS parts FROM s)
@@ -107,6 +122,11 @@ def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.descendants(t.taxonomy(spark, sf_dir))
 
 
+@query("tree_system", TREE_SQL + ", e AS (SELECT c.code FROM tree c LEFT JOIN tree p ON p.code = c.parent WHERE p.code IS NULL OR (c.lvl = 1 AND p.lvl = 0)) SELECT d.code, min_by(d.ancestor, d.steps) AS system FROM d JOIN e ON e.code = d.ancestor GROUP BY d.code")
+def tree_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return u.owning_system(t.taxonomy(spark, sf_dir))
+
+
 @query("tree_cascade_check", TREE_SQL + ", ch AS (SELECT code FROM tree WHERE lvl = 0 OR (lvl = 1 AND name LIKE '%1%')) SELECT d.ancestor AS code, d.code AS child FROM d WHERE steps > 0 AND ancestor IN (SELECT code FROM ch) AND d.code NOT IN (SELECT code FROM ch) AND d.code IN (SELECT code FROM tree WHERE enabled = 1)")
 def tree_cascade_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = t.taxonomy(spark, sf_dir)

@@ -51,6 +51,16 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.select((F.col("event_id") % 50).alias("message_id"), "user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("vote"), F.col("ts").alias("submit_time"), "event_id")
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three votes on each message, one in three by a stranger, one in seven on a message that doesn't exist; the last two come at the same time."""
+    rows = table(spark, sf_dir, "events").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    e = F.col("event_id")
+    return rows.select(
+        F.when(e % 7 == 0, -e).otherwise(e).alias("message_id"), F.when(e % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        ((F.col("n") + e) % 3 - 1).cast("int").alias("vote"), (F.col("ts") + F.when(F.col("n") > 0, F.expr("INTERVAL 1 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))).alias("submit_time"), (e * 3 + F.col("n")).alias("event_id"),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators import incremental, memory
 from skein.sources.snapshots import shared_folder
 
 
@@ -65,14 +66,15 @@ def _root(spark: SparkSession, root: str | None) -> str:
 
 
 def feedback_stream(spark: SparkSession, path: str, messages: DataFrame, root: str | None = None) -> DataFrame:
-    """Latest vote per message and user, strictly later votes replacing earlier ones, from an event stream."""
+    """Latest vote per message and user, strictly later votes replacing earlier ones, from an event stream; `messages` as in latest_votes."""
     events = file_stream(spark, path).where(F.col("event_type").isin("purchase", "error"))
     votes = events.select((F.col("event_id") % 50).alias("message_id"), "user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("vote"), F.col("ts").alias("submit_time"), "event_id")
-    valid = messages.where("role = 'assistant'").select("message_id").distinct()
+    on = [c for c in ("message_id", "user_id") if c in messages.columns]
+    valid = messages.where("role = 'assistant'").select(*on).distinct()
     order = Window.partitionBy("message_id", "user_id").orderBy(F.desc("submit_time"), "event_id")
     root = _root(spark, root)
     state = FoldedTable(spark, root, lambda df: df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k"))
-    run_to_end(votes, lambda rows, n: state.step(rows.join(valid, "message_id", "left_semi"), n), root)
+    run_to_end(votes, lambda rows, n: state.step(rows.join(valid, on, "left_semi"), n), root)
     empty = spark.createDataFrame([], "message_id long, user_id long, vote int, submit_time timestamp_ntz, event_id long")
     return state.read(empty).select("message_id", "user_id", "vote", "submit_time")
 
@@ -96,3 +98,23 @@ def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame],
     run_to_end(docs, lambda rows, n: state.step(chunk(rows.dropDuplicates(["doc_id"])).withColumn("_batch", F.lit(n)), n), root)
     empty = chunk(spark.createDataFrame([], "doc_id long, text string")).withColumn("_batch", F.lit(0))
     return state.read(empty).drop("_batch")
+
+
+def rollup_stream(spark: SparkSession, path: str, messages: Callable[[DataFrame], DataFrame], key: tuple[str, ...] = ("conv_id",), root: str | None = None) -> DataFrame:
+    """The roll-up of conversations from a message stream: a batch's first, last and number of user messages go into the conversation's row."""
+    said = messages(file_stream(spark, path))
+    root = _root(spark, root)
+    state = FoldedTable(spark, root, lambda df: df.groupBy(*key).agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("user_turns").alias("user_turns")))
+    run_to_end(said, lambda rows, n: state.step(memory.rollup(rows, key), n), root)
+    return state.read(memory.rollup(messages(spark.read.parquet(path).limit(0)), key))
+
+
+def span_stream(spark: SparkSession, path: str, events: Callable[[DataFrame], DataFrame], error_chars: int = 1000, root: str | None = None) -> DataFrame:
+    """Spans folded from a stream of start and finish events, in whatever order they come; one without a finish yet is RUNNING."""
+    log = events(file_stream(spark, path))
+    root = _root(spark, root)
+
+    ended = F.max_by("status", F.col("status") != "RUNNING").alias("status")
+    state = FoldedTable(spark, root, lambda df: df.groupBy("trace_id", "node_id").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.max("error").alias("error"), ended))
+    run_to_end(log, lambda rows, n: state.step(incremental.spans(rows, error_chars), n), root)
+    return state.read(incremental.spans(events(spark.read.parquet(path).limit(0)), error_chars))

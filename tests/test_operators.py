@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, evaluate, fusion, hypergraph, incremental, memory, metrics, understanding, vectors
+from skein.operators import chunking, enrich, evaluate, fusion, hypergraph, incremental, memory, metrics, understanding, vectors
 from skein.plans import retrieval
 from skein.sources import tables
+from skein.streaming import streams
 
 
 def hits(spark, rows):
@@ -281,3 +282,85 @@ def test_snapshot_table_and_json_lines(spark, tmp_path):
     lines.write_text('{"question": "q", "answer": "a"}\n\n{"question": "q"}\nnot json\n')
     assert [r["content"] for r in jsonl.faq(spark, str(lines)).collect()] == ["q\na"]
     assert jsonl.binary_files(spark, str(tmp_path), "*.jsonl").first()["mime"] == "application/octet-stream"
+
+
+def test_votes_count_only_on_ones_own_answers(spark):
+    messages = spark.createDataFrame([(1, 7, "assistant"), (2, 7, "user")], "message_id long, user_id long, role string")
+    votes = spark.createDataFrame([(1, 7, 1, 5, 1), (1, 8, -1, 9, 2), (2, 7, 1, 5, 3), (1, 7, -1, 5, 4), (1, 7, 0, 6, 5)], "message_id long, user_id long, vote int, submit_time long, event_id long")
+    assert [tuple(r) for r in memory.latest_votes(votes, messages).collect()] == [(1, 7, 1, 5)]
+    assert memory.latest_votes(votes, messages.drop("user_id")).count() == 2
+
+
+def test_newest_message_at_or_before_a_time(spark):
+    messages = spark.createDataFrame([(1, 10, 100), (1, 20, 101), (2, 5, 102)], "conv long, at long, id long")
+    moments = spark.createDataFrame([(1, 20, "a"), (1, 19, "b"), (1, 9, "c"), (3, 50, "d")], "conv long, at long, tag string")
+    got = {r["tag"]: r["id"] for r in memory.newest_before(messages, moments, ["conv"], "at", "id").collect()}
+    assert got == {"a": 101, "b": 100, "c": None, "d": None}
+
+
+def test_ambiguity_needs_a_single_sub_question_and_guidance_stops_at_a_named_system(spark):
+    kind = "query_id long, sub int, name string, system string, score double"
+    rows = spark.createDataFrame([(q, 0, n, s, x) for q in (1, 2, 3) for n, s, x in (("Re-set ", "a", 0.9), ("reset!", "b", 0.8), (" ", "a", 0.9))] + [(3, 1, "other", "a", 0.9), (4, 0, "zero", "a", 0.0), (4, 0, "zero", "b", 0.0)], kind)
+    found = understanding.ambiguous(rows, 0.8, 0.0)
+    assert sorted((r["query_id"], r["name"], r["systems"]) for r in found.collect()) == [(1, "reset", 2), (2, "reset", 2)]
+    questions = spark.createDataFrame([(1, "How do I reset it?"), (2, "reset the PUMP-control x")], "query_id long, text string")
+    systems = spark.createDataFrame([("a", "Pump Control"), ("b", "X")], "system string, system_name string")
+    got = understanding.guidance(found, rows, questions, systems, 0.0).orderBy("pos").collect()
+    assert [(r["query_id"], r["system_name"]) for r in got] == [(1, "Pump Control"), (1, "X")]
+    assert understanding.guidance(found, rows, questions, systems, 0.0, options=1).count() == 1
+
+
+def test_owning_system_is_the_nearest_category_under_a_domain_or_the_root(spark):
+    nodes = spark.createDataFrame([("d", None, 0), ("c", "d", 1), ("k", "c", 1), ("t", "k", 2), ("o", "gone", 2), ("p", "o", 2), ("u", "d", 2)], "code string, parent string, lvl int")
+    assert {r["code"]: r["system"] for r in understanding.owning_system(nodes).collect()} == {"d": "d", "c": "c", "k": "c", "t": "c", "o": "o", "p": "o", "u": "d"}
+
+
+def test_weak_gate(spark):
+    rows = spark.createDataFrame([(1, 0.39), (2, 0.4), (3, None), (5, 0.1)], "query_id long, score double")
+    questions = spark.createDataFrame([(q, q > 4) for q in range(1, 7)], "query_id long, has_tool boolean")
+    assert [r["outcome"] for r in fusion.weak_gate(rows, questions).orderBy("query_id").collect()] == ["WEAK", "KB", "WEAK", "EMPTY", "TOOL", "TOOL"]
+
+
+def test_toggles_are_refused_whole(spark):
+    chunks = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 3, 0), (5, 4, 0)], "chunk_id long, doc_id long, enabled int")
+    documents = spark.createDataFrame([(1, "SUCCESS", 1), (2, "SUCCESS", 1), (3, "RUNNING", 1), (4, "SUCCESS", 0)], "doc_id long, status string, enabled int")
+    asked = {"a": (1, [1, 2], 1), "b": (1, [1, 1], 1), "c": (1, [1, 3], 1), "d": (1, [1, 9], 1), "e": (3, [4], 1), "f": (4, [5], 1), "g": (4, [5], 0), "h": (7, [1], 1), "i": (1, [1, 2, 3, 4], 1)}
+    requests = spark.createDataFrame([(r, d, c, on) for r, (d, ids, on) in asked.items() for c in ids], "request_id string, doc_id long, chunk_id long, enable int")
+    got = {r["request_id"]: (r["outcome"], r["changed"]) for r in incremental.toggle_outcome(requests, chunks, documents, most=3).collect()}
+    refused = {"b": "UNKNOWN_CHUNK", "c": "OTHER_DOCUMENT", "d": "UNKNOWN_CHUNK", "e": "RUNNING", "f": "DOCUMENT_DISABLED", "g": "UNCHANGED", "h": "NO_DOCUMENT", "i": "TOO_MANY"}
+    assert got == {"a": ("DONE", 1)} | {k: (v, 0) for k, v in refused.items()}
+    assert [(r["chunk_id"], r["action"]) for r in incremental.toggled(requests, chunks, documents, most=3).collect()] == [(1, "add")]
+
+
+def test_a_kept_tag_or_time_goes_before_the_hash(spark):
+    kind = "doc_id long, etag string, modified string, hash string"
+    known = spark.createDataFrame([(1, "t", None, "h"), (2, None, "m", "h"), (3, "", " ", "h"), (4, "t", "m", "h")], kind)
+    fetched = spark.createDataFrame([(1, " t", "x", "other"), (2, "y", "m", "other"), (3, "", " ", "h"), (4, "u", "n", "i"), (5, "t", "m", "h")], kind)
+    assert [r["status"] for r in incremental.fetch_status(known, fetched).orderBy("doc_id").collect()] == ["header", "header", "hash", "changed", "new"]
+
+
+def test_requests_fall_back_to_the_text(spark):
+    rows = spark.createDataFrame([(1, "raw", "fine"), (2, "raw", " "), (3, " ", None)], "id long, text string, better string")
+    got = {(r["id"], r["task"]): r["prompt"] for r in enrich.requests(rows, {"rewrite": "R {{text}}", "keywords": ""}, enhanced_col="better").collect()}
+    assert got == {(1, "rewrite"): "R raw", (1, "keywords"): "fine", (2, "rewrite"): "R raw", (2, "keywords"): "raw"}
+    chunk, document = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))
+    one = spark.range(1).select(enrich.copied_metadata(chunk, document).alias("m"), enrich.copied_metadata(chunk, document, attach=False).alias("n"), enrich.copied_metadata(chunk, F.lit(None).cast("map<string,string>")).alias("o")).first()
+    assert one["m"] == {"a": "1", "b": "3"} and one["n"] == one["o"] == {"a": "1", "b": "2"}
+
+
+def test_reference_labels_and_urls(spark):
+    rows = spark.createDataFrame([("IMAGE_SEMANTIC", "x", "a b/c#.png"), ("HYPERGRAPH", "y", None)], "channel string, text string, image_path string")
+    got = fusion.references(rows).collect()
+    assert (got[0]["label"], got[0]["url"]) == (fusion.REFERENCE_LABELS["IMAGE"] + ": a b/c#.png", "/files/a%20b/c%23.png")
+    assert (got[1]["label"], got[1]["url"]) == (fusion.REFERENCE_LABELS["HYPERGRAPH"], None)
+
+
+def test_rollup_and_spans_of_a_stream_that_comes_in_parts(spark, tmp_path):
+    path, root = str(tmp_path / "in"), str(tmp_path / "root")
+    kind = "trace_id long, node_id long, phase string, at long, status string, error string"
+    spark.createDataFrame([(1, 1, "start", 5, None, None), (1, 2, "finish", 9, "ERROR", "e" * 9)], kind).coalesce(1).write.parquet(path)
+    first = streams.span_stream(spark, path, lambda df: df, error_chars=3, root=root).orderBy("node_id").collect()
+    assert [(r["status"], r["start_time"], r["end_time"], r["error"]) for r in first] == [("RUNNING", 5, None, None), ("ERROR", None, 9, "eee")]
+    spark.createDataFrame([(1, 1, "finish", 8, "SUCCESS", None), (1, 2, "start", 7, None, None)], kind).coalesce(1).write.mode("append").parquet(path)
+    later = streams.span_stream(spark, path, lambda df: df, error_chars=3, root=root).orderBy("node_id").collect()
+    assert [(r["status"], r["start_time"], r["end_time"]) for r in later] == [("SUCCESS", 5, 8), ("ERROR", 7, 9)]
