@@ -8,7 +8,8 @@ its two l. Prefixes are joined by shingle, pairs counted, and whole sets compare
 
 Equal sets are one node from the start. So that a large group of near copies does not bring all its pairs, links are found in
 two rounds: first every node is compared with one partner, the holder of its prefix shingles that has them earliest (in a
-group of edited copies, the least edited one); linked nodes are merged. Then the join runs over all shingles that nodes of different
+group of edited copies, the least edited one); linked nodes are merged, and a node that did not link is compared once more, with the
+centre of the other component it shares most with, which links it or tells how far it is from that component's nodes. Then the join runs over all shingles that nodes of different
 components share, and only between such components, which loses no link that could join two of them.
 
 Edge cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle
@@ -193,18 +194,30 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # Round 1: each node with the one that holds most of its shingles earliest.
     overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
     hopeful = (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent) & (F.col("at") <= F.col("n") - overlap) & (F.col("first_at") <= F.col("first_n") - overlap)
-    tally = common.where("node <> first").where(hopeful).groupBy("node", "first").agg(F.count(F.lit(1)).alias("k"))
+    tally = saved(common.where("node <> first").where(hopeful).groupBy("node", "first").agg(F.count(F.lit(1)).alias("k")))
     chosen = saved(tally.groupBy("node").agg(F.max_by("first", "k").alias("pivot")).select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
     measured = saved(_verified(chosen.select("a", "b").distinct(), docs, holders, id_col, text_col, size, percent))
     linked = measured.where("link").select("a", "b")
     merged = saved(components(linked))
-    # The distance is a metric: two nodes with the same pivot link only if their distances to it are alike.
+
+    # Once more, for nodes that did not link: with the centre (what most of its nodes have linked with) of the component they share most with.
+    compared = chosen.join(measured, ["a", "b"])
+    centres = compared.where("link").join(merged, "node").groupBy("component", "pivot").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max_by("pivot", "k").alias("centre"))
+    part_of = lambda n: merged.select(F.col("node").alias(n), F.col("component").alias(f"{n}_component"))
+    apart = tally.join(compared.where("not link").select("node", "pivot"), "node").join(part_of("node"), "node", "left").join(part_of("first"), "first", "left")
+    shared = apart.withColumn("component", F.coalesce("first_component", "first")).where(F.col("component") != F.coalesce("node_component", "node")).groupBy("node", "pivot", "component").agg(F.sum("k").alias("k"))
+    others = shared.join(centres, "component", "left").withColumn("centre", F.coalesce("centre", "component")).where("centre <> pivot").groupBy("node").agg(F.max_by("centre", "k").alias("pivot"))
+    again = saved(others.select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+    measured_again = saved(_verified(again.select("a", "b").distinct(), docs, holders, id_col, text_col, size, percent))
+    merged = saved(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(measured_again.where("link").select("a", "b"))))
+    # The distance is a metric: two nodes that were compared with the same one link only if their distances to it are alike.
     pivots = chosen.select(F.col("pivot").alias("node")).distinct()
     own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))
-    placed = saved(own.unionByName(chosen.join(measured, ["a", "b"]).select("node", "pivot", "distance").join(pivots, "node", "left_anti")))
+    placed = saved(own.unionByName(compared.select("node", "pivot", "distance").join(pivots, "node", "left_anti")))
+    placed_again = again.join(measured_again, ["a", "b"]).select("node", F.col("pivot").alias("other_pivot"), F.col("distance").alias("other_distance"))
 
     # Round 2: shingles that several components share, between different components alone.
-    rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left")
+    rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left").join(placed_again, "node", "left")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
     kinds = saved(rows.groupBy("item", "part").agg(F.count(F.lit(1)).alias("held"), F.max(F.col("n") - F.col("at") + F.col("rank")).alias("room"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.when((F.min("pivot") == F.max("pivot")) & (F.count("pivot") == F.count(F.lit(1))), F.min("pivot")).alias("pivot")))
@@ -216,15 +229,16 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # Two components need as many common shingles as the least that any two of their nodes ask for.
     enough = meets.groupBy("one", "other").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("p_matches", "q_matches")).alias("asked")).where("k >= asked").select("one", "other")
     meets = meets.select("item", "p", "q", "q_room", "q_n", "q_lo", "q_hi", "q_pivot", "one", "other").join(enough, ["one", "other"]).drop("one", "other")
-    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "rank", "pivot", "distance")])
+    side = lambda s, part: rows.select("item", F.col("part").alias(part), *[F.col(c).alias(s + c) for c in ("node", "n", "matches", "at", "rank", "pivot", "distance", "other_pivot", "other_distance")])
     asked, rank = F.least("x_matches", "y_matches"), F.least("x_rank", "y_rank")
     reach = 1 - percent / 100 + 1e-9
     overlap = _least_overlap(F.col("x_n"), F.col("y_n"), percent)
+    alike = lambda x, y: F.coalesce((F.col(f"{x}pivot") != F.col(f"{y}pivot")) | (F.abs(F.col(f"{x}distance") - F.col(f"{y}distance")) <= reach), F.lit(True))
     near = (
         (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
         & (F.col("x_at") <= F.col("x_n") - overlap + asked - 1) & (F.col("y_at") <= F.col("y_n") - overlap + asked - 1)
         & (F.col("x_at") - rank <= F.col("x_n") - overlap) & (F.col("y_at") - rank <= F.col("y_n") - overlap)
-        & F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= reach), F.lit(True))
+        & alike("x_", "y_") & alike("x_other_", "y_") & alike("x_", "y_other_") & alike("x_other_", "y_other_")
     )
     most = _least_overlap(F.col("x_n"), F.col("q_n"), percent)
     fits = (
