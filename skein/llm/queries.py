@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, pii, quality, sharding, topk
+from skein.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, licenses, packing, pii, quality, sharding, topk
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -54,6 +54,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licence_query(documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.LICENCE_SQL, "op10_topk": topk.TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.LICENCE_SQL, "op10_topk": topk.TOPK_SQL, "op11_decontamination": decontamination.DECONTAMINATION_SQL}
