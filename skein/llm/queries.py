@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, licenses, packing, pii, quality, sharding, topk
+from skein.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, licenses, negatives, packing, pii, quality, repair, sharding, topk
 from skein.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -70,6 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
     "op11_decontamination": op11_decontamination,
+    "op12_negatives": op12_negatives,
+    "op13_repair": op13_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.LICENCE_SQL, "op10_topk": topk.TOPK_SQL, "op11_decontamination": decontamination.DECONTAMINATION_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": licenses.LICENCE_SQL,
+    "op10_topk": topk.TOPK_SQL,
+    "op11_decontamination": decontamination.DECONTAMINATION_SQL,
+    "op12_negatives": negatives.NEGATIVES_SQL,
+    "op13_repair": repair.REPAIR_SQL,
+}
