@@ -108,13 +108,22 @@ def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.feedback_stream(spark, f"{sf_dir}/events.parquet", t.chat_messages(spark, sf_dir)).withColumn("vote", F.col("vote").cast("int"))
 
 
-@query("feedback_owned", """
+OWNED_SQL = """
 SELECT v.message_id, v.user_id, v.vote, v.submit_time FROM vote_event v JOIN chat_message m ON m.message_id = v.message_id AND m.user_id = v.user_id AND m.role = 'assistant'
-WHERE v.vote <> 0 QUALIFY row_number() OVER (PARTITION BY v.message_id, v.user_id ORDER BY v.submit_time DESC, v.event_id) = 1""")
+WHERE v.vote <> 0 QUALIFY row_number() OVER (PARTITION BY v.message_id, v.user_id ORDER BY v.submit_time DESC, v.event_id) = 1"""
+
+
+@query("feedback_owned", OWNED_SQL)
 def feedback_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.latest_votes(t.votes(spark, sf_dir), t.chat_messages(spark, sf_dir))
 
 
+@query("feedback_owned_stream", OWNED_SQL)
+def feedback_owned_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return streams.owned_votes(t.votes_of(streams.file_stream(spark, path)), t.chat_messages_of(streams.file_stream(spark, path)))
+
+
 @query("message_at_or_before", """
 SELECT s.session_id, s.user_id, max(m.message_id) AS message_id FROM session s LEFT JOIN chat_message m ON m.user_id = s.user_id AND m.role = 'assistant' AND m.create_time <= s.create_time GROUP BY 1, 2""")
 def message_at_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:

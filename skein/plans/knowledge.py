@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,24 @@ def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.span_stream(spark, f"{sf_dir}/events.parquet", _span_events).select("trace_id", "start_time", "end_time", "status")
 
 
+STALE_SQL = SPAN_SQL.replace("coalesce(max(CASE WHEN phase = 'finish' THEN status END), 'RUNNING')", "coalesce(max(CASE WHEN phase = 'finish' THEN status END), CASE WHEN min(CASE WHEN phase = 'start' THEN tm END) < (SELECT max(tm) FROM s) - INTERVAL 40 MINUTES THEN 'FAILED' ELSE 'RUNNING' END)")
+
+
+@query("span_timeout_stream", STALE_SQL)
+def span_timeout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that have not ended after 30 minutes have failed, seen from 10 minutes before the newest event."""
+    found = streams.span_stream(spark, f"{sf_dir}/events.parquet", _span_events, timeout=timedelta(minutes=30), late=timedelta(minutes=10))
+    return found.select("trace_id", "start_time", "end_time", "status")
+
+
+@query("span_timeout", STALE_SQL)
+def span_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _span_events(t.table(spark, sf_dir, "events"))
+    now = rows.agg(F.max("at") - F.expr("INTERVAL 10 MINUTES")).scalar()
+    spans = incremental.spans(rows).withColumn("update_time", F.col("start_time"))
+    return incremental.stuck(spans, now, 30).select("trace_id", "start_time", "end_time", "status")
+
+
 @query("image_meta_join", "SELECT page_id, coalesce(u, '') AS source_url, coalesce(l, '') AS license FROM pages LEFT JOIN (SELECT item_id, 'u' || item_id AS u, CASE WHEN item_id % 2 = 0 THEN 'CC' END AS l FROM benchmark) ON item_id = page_id")
 def image_meta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("image_path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), "item_id").select("image_path", "line", F.when(F.col("line") == 2, F.concat(F.lit("u"), F.col("image_path"))).otherwise("old").alias("source_url"), F.when(F.col("item_id") % 2 == 0, "CC").alias("license"))

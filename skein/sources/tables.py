@@ -30,9 +30,13 @@ def trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_messages_of(table(spark, sf_dir, "events"))
+
+
+def chat_messages_of(events: DataFrame) -> DataFrame:
     assistant = F.col("event_type").isin("purchase", "error")
     no_doc = assistant & (F.get_json_object("props", "$.k") == "0")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("message_id"), "user_id", F.col("ts").alias("create_time"),
         F.when(assistant, "assistant").otherwise("user").alias("role"), F.when(no_doc, 1).otherwise(0).alias("no_doc"),
     )
@@ -52,8 +56,12 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return votes_of(table(spark, sf_dir, "events"))
+
+
+def votes_of(events: DataFrame) -> DataFrame:
     """Three votes on each message, one in three by a stranger, one in seven on a message that doesn't exist; the last two come at the same time."""
-    rows = table(spark, sf_dir, "events").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = events.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     e = F.col("event_id")
     return rows.select(
         F.when(e % 7 == 0, -e).otherwise(e).alias("message_id"), F.when(e % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs; each ends with the same rows as its batch twin over the same files.
+"""Structured Streaming jobs; each ends with the same rows as its batch twin over the same files, as far as no rows come later than its watermark, if it has one.
 
 With a `root` of its own a job can be stopped and run again: progress and state lie there. Without one it starts anew in the shared folder.
 """
@@ -6,12 +6,15 @@ With a `root` of its own a job can be stopped and run again: progress and state
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skein.operators import incremental, memory
+from skein.operators import memory
 from skein.sources.snapshots import shared_folder
 
 
@@ -25,44 +28,83 @@ def file_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFra
     return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
-    """Drive a stream over all available input, batch by batch; its progress is kept under `root`, so a later run goes on where this one ended."""
-    started = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> int:
+    """Drive a stream over all available input, batch by batch; its progress is kept under `root`, so a later run goes on where this one ended.
+
+    Returns how many rows the stream's stateful operators have dropped for being later than the watermark.
+    """
+    spark = stream.sparkSession
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    # Keyed state lies in RocksDB on the executors, with its changes in the shared folder; heaps do not hold it.
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        started = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
     started.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in started.recentProgress for o in p["stateOperators"])
 
 
-class FoldedTable:
-    """A table under `root` that each batch folds into.
+class ChangeTable:
+    """A table under `root` to which every batch adds what it changes; `fold` makes the table of all changes.
 
-    The state after batch n is the folder `state/n`, and a batch folds the newest state before it: a repeated batch repeats its result, and a restarted
-    stream goes on. Older states than the last two are deleted.
+    The changes of batch n are the folder `changes/n`, so a repeated batch writes the same folder again. Every `fold_every` batches all are folded into
+    `folded/n`; readers take the newest whole fold and the changes after it. Only touched rows are written by a batch; the rest is
+    written once in so many batches. Folds older than the last two go, and the changes they hold.
     """
 
-    def __init__(self, spark: SparkSession, root: str, fold: Callable[[DataFrame], DataFrame]):
-        self.spark, self.root, self.fold = spark, root, fold
+    def __init__(self, spark: SparkSession, root: str, fold: Callable[[DataFrame], DataFrame], fold_every: int = 50):
+        self.spark, self.root, self.fold, self.fold_every = spark, root, fold, fold_every
 
-    def _states(self) -> list[int]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str):  # noqa: ANN202
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def numbers(self, kind: str) -> list[int]:
+        """Of the whole folders of a kind: their batches."""
+        fs, where = self._path(kind)
         found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
-        whole = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()) for p in whole)
+        return sorted(int(p.getName()) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _rows(self, schema: T.StructType) -> DataFrame | None:
+        folds = self.numbers("folded")
+        since = folds[-1] if folds else -1
+        paths = [f"{self.root}/folded/{n}" for n in folds[-1:]] + [f"{self.root}/changes/{n}" for n in self.numbers("changes") if n > since]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
 
     def step(self, rows: DataFrame, batch: int) -> None:
-        known = [n for n in self._states() if n < batch]
-        merged = rows if not known else self.spark.read.schema(rows.schema).parquet(f"{self.root}/state/{known[-1]}").unionByName(rows)
-        self.fold(merged).write.mode("overwrite").parquet(f"{self.root}/state/{batch}")
-        for n in known[:-1]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/{n}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        rows.write.mode("overwrite").parquet(f"{self.root}/changes/{batch}")
+        folds = self.numbers("folded")
+        if batch - (folds[-1] if folds else -1) < self.fold_every:
+            return
+        self.fold(self._rows(rows.schema)).write.mode("overwrite").parquet(f"{self.root}/folded/{batch}")
+        gone = [("folded", n) for n in folds[:-1]] + [("changes", n) for n in self.numbers("changes") if folds and n <= folds[-1]]
+        for kind, n in gone:
+            fs, where = self._path(f"{kind}/{n}")
+            fs.delete(where, True)
 
     def read(self, empty: DataFrame) -> DataFrame:
-        states = self._states()
-        return empty if not states else self.spark.read.schema(empty.schema).parquet(f"{self.root}/state/{states[-1]}")
+        rows = self._rows(empty.schema)
+        return empty if rows is None else self.fold(rows)
 
 
 def _root(spark: SparkSession, root: str | None) -> str:
-    return root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """The given folder, or one of its own that goes when the application ends."""
+    if root:
+        return root
+    made = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(made)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return made
+
+
+VOTE = "message_id long, user_id long, vote int, submit_time timestamp_ntz, event_id long"
+
+
+def _latest_vote(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("message_id", "user_id").orderBy(F.desc("submit_time"), "event_id")
+    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def feedback_stream(spark: SparkSession, path: str, messages: DataFrame, root: str | None = None) -> DataFrame:
@@ -71,21 +113,43 @@ def feedback_stream(spark: SparkSession, path: str, messages: DataFrame, root: s
     votes = events.select((F.col("event_id") % 50).alias("message_id"), "user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("vote"), F.col("ts").alias("submit_time"), "event_id")
     on = [c for c in ("message_id", "user_id") if c in messages.columns]
     valid = messages.where("role = 'assistant'").select(*on).distinct()
-    order = Window.partitionBy("message_id", "user_id").orderBy(F.desc("submit_time"), "event_id")
     root = _root(spark, root)
-    state = FoldedTable(spark, root, lambda df: df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k"))
+    state = ChangeTable(spark, root, _latest_vote)
     run_to_end(votes, lambda rows, n: state.step(rows.join(valid, on, "left_semi"), n), root)
-    empty = spark.createDataFrame([], "message_id long, user_id long, vote int, submit_time timestamp_ntz, event_id long")
-    return state.read(empty).select("message_id", "user_id", "vote", "submit_time")
+    return state.read(spark.createDataFrame([], VOTE)).select("message_id", "user_id", "vote", "submit_time")
+
+
+def owned_votes(votes: DataFrame, messages: DataFrame, wait: str = "2 hours", late: str = "1 hour", root: str | None = None) -> DataFrame:
+    """Latest vote per message from two streams: votes (message_id, user_id, vote, submit_time, event_id) and messages (message_id, user_id, role, create_time).
+
+    A vote of 1 or -1 counts if its message is an assistant's and the voter's own; either may come first. Each side waits in keyed state for the other as long as their
+    times can lie within `wait` of each other, then it goes; rows later than `late` behind the newest are dropped. With those limits kept, the rows are those of latest_votes.
+    """
+    spark = votes.sparkSession
+    said = messages.where("role = 'assistant'").select(F.col("message_id").alias("_message"), F.col("user_id").alias("_user"), F.col("create_time").cast("timestamp").alias("_said")).withWatermark("_said", late)
+    cast = votes.where(F.col("vote").isin(1, -1)).select("message_id", "user_id", "vote", "submit_time", "event_id", F.col("submit_time").cast("timestamp").alias("_cast")).withWatermark("_cast", late)
+    near = F.expr(f"_cast >= _said - INTERVAL {wait} AND _cast <= _said + INTERVAL {wait}")
+    met = cast.join(said, (F.col("message_id") == F.col("_message")) & (F.col("user_id") == F.col("_user")) & near)
+    root = _root(spark, root)
+    state = ChangeTable(spark, root, _latest_vote)
+    columns = [f.name for f in T._parse_datatype_string(VOTE)]
+    run_to_end(met.select(*columns), lambda rows, n: state.step(_latest_vote(rows), n), root)
+    return state.read(spark.createDataFrame([], met.select(*columns).schema)).select("message_id", "user_id", "vote", "submit_time")
+
 
+def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour", root: str | None = None, on_late: Callable[[int], None] | None = None) -> DataFrame:
+    """Tumbling-hour counts and sums with a watermark: each batch adds the windows it changes.
 
-def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour", root: str | None = None) -> DataFrame:
-    """Tumbling-hour counts and sums with a watermark: changed windows of each batch replace their earlier state in a table."""
+    A window is closed once an event more than `late` after its end has come. Rows of closed windows are dropped, so only without such rows do the counts equal those of the
+    whole table; how many groups of rows (of a window and task) were dropped goes to `on_late`.
+    """
     events = file_stream(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     counted = events.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "n", "total")
     root = _root(spark, root)
-    state = FoldedTable(spark, root, lambda df: df.groupBy("hour").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")))
-    run_to_end(counted, state.step, root, mode="update")
+    state = ChangeTable(spark, root, lambda df: df.groupBy("hour").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")))
+    dropped = run_to_end(counted, state.step, root, mode="update")
+    if on_late:
+        on_late(dropped)
     return state.read(spark.createDataFrame([], "hour timestamp, n long, total double"))
 
 
@@ -94,7 +158,7 @@ def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame],
     docs = file_stream(spark, path).select("doc_id", "text")
     newest = F.max("_batch").over(Window.partitionBy("doc_id"))
     root = _root(spark, root)
-    state = FoldedTable(spark, root, lambda df: df.withColumn("_new", newest).where("_batch = _new").drop("_new"))
+    state = ChangeTable(spark, root, lambda df: df.withColumn("_new", newest).where("_batch = _new").drop("_new"))
     run_to_end(docs, lambda rows, n: state.step(chunk(rows.dropDuplicates(["doc_id"])).withColumn("_batch", F.lit(n)), n), root)
     empty = chunk(spark.createDataFrame([], "doc_id long, text string")).withColumn("_batch", F.lit(0))
     return state.read(empty).drop("_batch")
@@ -104,17 +168,91 @@ def rollup_stream(spark: SparkSession, path: str, messages: Callable[[DataFrame]
     """The roll-up of conversations from a message stream: a batch's first, last and number of user messages go into the conversation's row."""
     said = messages(file_stream(spark, path))
     root = _root(spark, root)
-    state = FoldedTable(spark, root, lambda df: df.groupBy(*key).agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("user_turns").alias("user_turns")))
+    state = ChangeTable(spark, root, lambda df: df.groupBy(*key).agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("user_turns").alias("user_turns")))
     run_to_end(said, lambda rows, n: state.step(memory.rollup(rows, key), n), root)
     return state.read(memory.rollup(messages(spark.read.parquet(path).limit(0)), key))
 
 
-def span_stream(spark: SparkSession, path: str, events: Callable[[DataFrame], DataFrame], error_chars: int = 1000, root: str | None = None) -> DataFrame:
-    """Spans folded from a stream of start and finish events, in whatever order they come; one without a finish yet is RUNNING."""
+def _whole(column: Column, kind: T.DataType) -> Column:
+    """A time as a number that orders alike: microseconds for time stamps."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)
+    return F.unix_micros(column) if isinstance(kind, T.TimestampType) else column.cast("long")
+
+
+def _timed(column: Column, kind: T.DataType) -> Column:
+    """The time that `_whole` gave the number of."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", column, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.timestamp_micros(column) if isinstance(kind, T.TimestampType) else column.cast(kind)
+
+
+class _OpenSpans(StatefulProcessor):
+    """One value per span: what its events have said so far. With a timeout, an event-time timer marks a span that has not ended as failed."""
+
+    def __init__(self, error_chars: int, timeout_ms: int | None):
+        self.error_chars, self.timeout_ms = error_chars, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "start long, end long, status string, error string, failed boolean, changes long, timer long")
+
+    def _row(self, key: tuple, v: list) -> Row:
+        start, end, status, error, failed, changes, _ = v
+        return Row(trace_id=key[0], node_id=key[1], start=start, end=end, error=error, status=status or ("FAILED" if failed else "RUNNING"), changes=changes)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        old = list(self.span.get()) if self.span.exists() else [None, None, None, None, False, 0, None]
+        start, end, status, error, failed, changes, timer = old
+        most = lambda a, b: a if b is None else b if a is None else max(a, b)
+        for r in rows:
+            if r.phase == "start" and r.at is not None:
+                start = r.at if start is None else min(start, r.at)
+            elif r.phase == "finish":
+                end, status, error = most(end, r.at), most(status, r.status), most(error, r.error)
+        error = error[: self.error_chars] if error is not None else None
+        if self.timeout_ms is not None:
+            wanted = None if status is not None or start is None or failed else start // 1000 + self.timeout_ms + 1
+            if wanted != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if wanted is not None:
+                    self.handle.registerTimer(wanted)
+                timer = wanted
+        if [start, end, status, error] != old[:4] or not changes:
+            new = [start, end, status, error, failed, changes + 1, timer]
+            self.span.update(tuple(new))
+            yield self._row(key, new)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        start, end, status, error, _, changes, _ = self.span.get()
+        new = [start, end, status, error, True, changes + 1, None]
+        self.span.update(tuple(new))
+        yield self._row(key, new)
+
+    def close(self) -> None:
+        pass
+
+
+def span_stream(spark: SparkSession, path: str, events: Callable[[DataFrame], DataFrame], error_chars: int = 1000, root: str | None = None, timeout: timedelta | None = None, late: timedelta = timedelta(minutes=10)) -> DataFrame:
+    """Spans folded from a stream of start and finish events, in whatever order they come; one without a finish yet is RUNNING.
+
+    Each span has a value of keyed state, and a batch writes only the spans that it changes: a repeated event writes nothing. With a `timeout` (ten minutes at least), events need a
+    time stamp; a span that started more than `timeout` before the watermark, which is `late` behind the newest event, and has not ended is FAILED until a finish comes. Events behind the watermark
+    are dropped. The rows are those of spans(), and with a timeout of spans() and stuck() at the watermark.
+    """
     log = events(file_stream(spark, path))
+    kinds = {f.name: f.dataType for f in log.schema}
+    rows = log.select("trace_id", "node_id", "phase", _whole(F.col("at"), kinds["at"]).alias("at"), "status", "error")
+    if timeout is not None:
+        rows = rows.withColumn("_at", F.timestamp_micros("at")).withWatermark("_at", f"{int(late.total_seconds() * 1000)} milliseconds")
+        timeout = max(timeout, timedelta(minutes=10))
+    key = ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("trace_id", "node_id"))
+    folder = _OpenSpans(error_chars, None if timeout is None else int(timeout.total_seconds() * 1000))
+    changed = rows.groupBy("trace_id", "node_id").transformWithState(folder, f"{key}, start long, end long, error string, status string, changes long", "update", "none" if timeout is None else "eventTime")
     root = _root(spark, root)
-
-    ended = F.max_by("status", F.col("status") != "RUNNING").alias("status")
-    state = FoldedTable(spark, root, lambda df: df.groupBy("trace_id", "node_id").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.max("error").alias("error"), ended))
-    run_to_end(log, lambda rows, n: state.step(incremental.spans(rows, error_chars), n), root)
-    return state.read(incremental.spans(events(spark.read.parquet(path).limit(0)), error_chars))
+    last = lambda df: df.groupBy("trace_id", "node_id").agg(F.max_by(F.struct("start", "end", "error", "status", "changes"), "changes").alias("s")).select("trace_id", "node_id", "s.*")
+    state = ChangeTable(spark, root, last)
+    run_to_end(changed, lambda rows, n: state.step(last(rows), n), root, mode="update")
+    found = state.read(spark.createDataFrame([], changed.schema))
+    return found.select("trace_id", "node_id", _timed(F.col("start"), kinds["at"]).alias("start_time"), _timed(F.col("end"), kinds["at"]).alias("end_time"), "error", "status")
