@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.snapshots import saved
+
 
 def term_rules(mappings: DataFrame, most: int = 5000) -> list[tuple[str, str]]:
     """Enabled exact rules in the order of use: priority falling with nulls first, longer terms first. Rules are a small table."""
@@ -102,37 +104,68 @@ def guidance(found: DataFrame, intents: DataFrame, questions: DataFrame, systems
     return asked.withColumn("_skip", F.max(names).over(Window.partitionBy("query_id"))).where(~F.col("_skip")).select("query_id", "name", "pos", "system", "system_name")
 
 
-def descendants(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(ancestor, code, steps) for every node and itself; nodes whose parent is missing are roots.
+def lifted(nodes: DataFrame, value: Column, merge: Callable[[Column, Column], Column], stop: Column | None = None) -> DataFrame:
+    """(code, value) of every node, its own value merged with those of the nodes above it, up to the first where `stop` holds, that one included.
 
-    Levels are joined one by one and the loop ends with the first empty one; a tree has as many levels as its depth.
+    Pointers double: in every round a node takes over what the node it points to has gathered, and points where that one points, so a path of n nodes takes log2(n) rounds,
+    each a join by the pointer, and finished nodes are joined no more. Parents that are no nodes end a path; a cycle is an error, found when pointers are left after as
+    many rounds as a path of all nodes would take.
+    """
+    known = nodes.select(F.col("code").alias("_p"), F.lit(True).alias("_is"))
+    linked = nodes.where("parent is not null").join(known, F.col("parent") == F.col("_p")).select("code", F.col("parent").alias("jump"))
+    if stop is not None:
+        linked = linked.join(nodes.where(stop).select("code"), "code", "left_anti")
+    start = saved(nodes.select("code", value.alias("value")).join(linked, "code", "left"))
+    parts, still = [start.where("jump is null")], start.where("jump is not null")
+    for _ in range(_rounds(nodes) + 1):
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, parts).select("code", "value")
+        above = reduce(DataFrame.unionByName, [*parts, still]).select(F.col("code").alias("jump"), F.col("value").alias("_value"), F.col("jump").alias("_jump"))
+        now = saved(still.join(above, "jump").select("code", merge(F.col("value"), F.col("_value")).alias("value"), F.col("_jump").alias("jump")))
+        parts.append(now.where("jump is null"))
+        still = now.where("jump is not null")
+    raise ValueError("the tree has a cycle")
+
+
+def _rounds(nodes: DataFrame) -> int:
+    """How often a pointer doubles until it is longer than a path of all nodes."""
+    return max(1, nodes.count()).bit_length()
+
+
+def descendants(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, code, steps) for every node and itself, or for the ancestors with a code in `of`; nodes whose parent is missing are roots.
+
+    Pairs of fewer than 2**k steps and the pointers 2**k steps up give those of fewer than 2**(k + 1), so a tree of depth n takes log2(n) rounds, and each pair is made once. A cycle is an error,
+    found when pointers are left that are longer than a path of all nodes.
     """
-    links = nodes.select("code", "parent")
-    now = links.select(F.col("code").alias("ancestor"), "code", F.lit(0).alias("steps"))
-    out = now
-    for step in range(1, depth + 1):
-        below = links.select(F.col("code").alias("_child"), F.col("parent").alias("code"))
-        now = now.join(below, "code").select("ancestor", F.col("_child").alias("code"), F.lit(step).alias("steps"))
-        if now.isEmpty():
+    chosen = nodes.select("code") if of is None else nodes.select("code").join(of.select("code").distinct(), "code", "left_semi")
+    jumps = saved(nodes.where("parent is not null").join(nodes.select(F.col("code").alias("parent")), "parent").select("code", F.col("parent").alias("jump")))
+    out = chosen.select(F.col("code").alias("ancestor"), "code", F.lit(0).alias("steps"))
+    for k in range(_rounds(nodes) + 1):
+        if jumps.isEmpty():
             return out
-        out = out.unionByName(now)
-    raise ValueError(f"the tree is deeper than {depth} levels, or has a cycle")
+        above = jumps.select(F.col("code").alias("jump"), F.col("jump").alias("_jump"))
+        longer = saved(jumps.join(above, "jump").select("code", F.col("_jump").alias("jump")))
+        below = jumps.join(out.withColumnRenamed("code", "jump"), "jump").select("ancestor", "code", (F.col("steps") + (1 << k)).alias("steps"))
+        # The next round reads the pairs twice: they are saved unless this is the last.
+        out = out.unionByName(below if longer.isEmpty() else saved(below))
+        jumps = longer
+    raise ValueError("the tree has a cycle")
 
 
 def owning_system(nodes: DataFrame, domain: int = 0, category: int = 1) -> DataFrame:
     """(code, system): the nearest category at the top or under a domain, seen from the node upwards, itself included; else the root."""
     above = nodes.select(F.col("code").alias("_p"), F.col("lvl").alias("_above"))
     marked = nodes.join(above, F.col("parent") == F.col("_p"), "left")
-    root = F.col("_p").isNull()
-    ends = marked.where(root | ((F.col("lvl") == category) & (F.col("_above") == domain))).select(F.col("code").alias("ancestor"))
-    return descendants(nodes).join(ends, "ancestor").groupBy("code").agg(F.min_by("ancestor", "steps").alias("system"))
+    ends = F.col("_p").isNull() | ((F.col("lvl") == category) & (F.col("_above") == domain))
+    own = saved(marked.select("code", "parent", ends.alias("_end")))
+    return lifted(own, F.when(F.col("_end"), F.col("code")), F.coalesce, F.col("_end")).withColumnRenamed("value", "system")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """code and its path `root > … > node`."""
-    names = nodes.select(F.col("code").alias("ancestor"), "name")
-    line = descendants(nodes).join(names, "ancestor").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("steps", "name")), asc=False).alias("_p"))
-    return line.select("code", F.concat_ws(" > ", F.transform("_p", lambda p: p["name"])).alias("path"), F.size("_p").alias("depth"))
+    line = lifted(nodes, F.array("name"), lambda own, above: F.concat(above, own))
+    return line.select("code", F.concat_ws(" > ", "value").alias("path"), F.size("value").alias("depth"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -141,7 +174,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 def cascade_violations(nodes: DataFrame, chosen: DataFrame, only_enabled: bool) -> DataFrame:
     """(code, child): descendants of chosen nodes that aren't chosen (and, to disable, are enabled): each refuses the change."""
-    below = descendants(nodes).where("steps > 0").join(chosen.select(F.col("code").alias("ancestor")), "ancestor", "left_semi")
+    below = descendants(nodes, chosen).where("steps > 0")
     open_ones = nodes.where("enabled = 1") if only_enabled else nodes
     return below.join(open_ones.select("code"), "code", "left_semi").join(chosen.select("code"), "code", "left_anti").select(F.col("ancestor").alias("code"), F.col("code").alias("child"))
 
