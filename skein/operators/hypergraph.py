@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import terms
+
 SLOTS = ["equipment", "condition", "parameter", "fault", "sop_doc"]
 
 
@@ -44,8 +46,8 @@ def described(edges: DataFrame) -> DataFrame:
 
 
 def extract_entities(texts: DataFrame, text_col: str, patterns: list[str], words: list[str]) -> DataFrame:
-    """Distinct entities of each text, one row each: matches of the patterns and the words it contains."""
+    """Distinct entities of each text, one row each: matches of the patterns and the words it contains, all of which are looked for in one pass."""
     text = F.col(text_col)
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]
-    held = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)) if words else F.array().cast("array<string>")
-    return texts.withColumn("entity", F.explode(F.array_distinct(reduce(lambda a, b: F.concat(a, b), [*found, held]))))
+    known = terms.held(text, words) if words else F.array().cast("array<string>")
+    return texts.withColumn("entity", F.explode(F.array_distinct(reduce(lambda a, b: F.concat(a, b), [*found, known]))))

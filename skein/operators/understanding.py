@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import terms
 from skein.sources.snapshots import saved
 
 
@@ -24,14 +24,8 @@ def term_rules(mappings: DataFrame, most: int = 5000) -> list[tuple[str, str]]:
 
 
 def normalized_terms(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Each rule's term replaced from left to right; where its target already stands, it is passed over whole."""
-
-    def apply(column: Column, rule: tuple[str, str]) -> Column:
-        source, target = rule
-        standing = f"(?={re.escape(source)}){re.escape(target)}|" if target else ""
-        return F.regexp_replace(column, standing + re.escape(source), re.sub(r"([\\$])", r"\\\1", target))
-
-    return reduce(apply, rules, text)
+    """Each rule's term replaced from left to right, rule after rule; where its target already stands, it is passed over whole. All rules are looked for in one pass."""
+    return terms.replaced(text, rules)
 
 
 def sub_questions(text: Column) -> Column:
