@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import ranking
+from skein.sources.snapshots import saved
+
 
 def stratified_sample(rows: DataFrame, category: str, id_col: str, per_category: int, seed: int) -> DataFrame:
     """At most `per_category` rows of each category, in the order of a seeded hash."""
@@ -22,12 +25,15 @@ def long_words(text: Column, least: int = 7) -> Column:
 
 def rank_by_shared_words(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The k documents that share most long words with each item."""
-    asked = items.select("item_id", F.explode(long_words(F.col("golden"))).alias("word"))
-    held = docs.select("doc_id", F.explode(long_words(F.col("text"))).alias("word"))
-    # Only words that some item asks for are shuffled on.
-    shared = held.join(asked, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    index = saved(ranking.inverted(docs, "doc_id", long_words(F.col("text"))))
+    found = ranking.search(index, items, k, "item_id", long_words(F.col("golden")), bm25=False)
+    return found.select("item_id", "doc_id", F.col("score").cast("long").alias("shared"), "rank")
+
+
+def rank_by_bm25(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k documents that match each item best by BM25 over all words of all scripts."""
+    index = saved(ranking.inverted(docs, "doc_id", ranking.words(F.col("text"))))
+    return ranking.search(index, items, k, "item_id", ranking.words(F.col("golden")))
 
 
 # Marks that don't count when answers are compared, beside white space.
@@ -35,8 +41,7 @@ MARKS = "，。！？、；：（）[]{}《》.,;:!?()<>/\\|_-—\"\"''\u3000"
 
 
 def plain(text: Column) -> Column:
-    marks = "".join(sorted({"\\" + c if c in "[]\\^-&" else c for c in MARKS}))
-    return F.regexp_replace(text, rf"[\s{marks}]+", "")
+    return F.translate(text, " \t\n\x0b\f\r" + MARKS, "")
 
 
 def hits(rows: DataFrame, ratio: float | None = 0.6) -> DataFrame:

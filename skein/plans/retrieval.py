@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import evaluate, fusion, hypergraph, vectors
 from skein.plans.catalog import query
 from skein.sources import tables as t
+from skein.sources.snapshots import spread
 
 WEIGHTS = {"INTENT_DIRECTED": 1.0, "VECTOR_GLOBAL": 0.8}
 
@@ -187,6 +188,7 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
+MARKS_SQL = "[\\s\\x0B，。！？、；：（）\\[\\]{}《》.,;:!?()<>/\\\\|_\\-—\"''\u3000]+"
 EVAL_SQL = """
 WITH q AS (SELECT item_id, item_id % 4 AS scene, text AS golden, list_distinct([w FOR w IN string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ') IF length(w) >= 7]) AS words FROM benchmark),
 qw AS (SELECT item_id, unnest(words) AS word FROM q),
@@ -196,14 +198,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, do
 h AS (SELECT r.item_id, r.doc_id, r.rank, contains(regexp_replace(d.text, '{marks}', '', 'g'), regexp_replace(q.golden, '{marks}', '', 'g')) AND regexp_replace(q.golden, '{marks}', '', 'g') <> '' AS hit FROM r JOIN q USING (item_id) JOIN documents d USING (doc_id)),
 m AS (SELECT q.item_id, q.scene, coalesce(max(CASE WHEN hit AND rank <= 1 THEN 1 END), 0) AS hit1, coalesce(max(CASE WHEN hit AND rank <= 3 THEN 1 END), 0) AS hit3, coalesce(max(CASE WHEN hit AND rank <= 5 THEN 1 END), 0) AS hit5,
       coalesce(round(1.0 / min(CASE WHEN hit THEN rank END), 6), 0.0) AS rr FROM q LEFT JOIN h USING (item_id) GROUP BY q.item_id, q.scene)
-""".replace("{marks}", "[\\s\\x0B，。！？、；：（）\\[\\]{}《》.,;:!?()<>/\\\\|_\\-—\"''\u3000]+")
+""".replace("{marks}", MARKS_SQL)
 
 
 def eval_retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Evaluation items, and documents ranked per item by the number of shared long words."""
     items = t.table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("scene"), F.col("text").alias("golden"))
     docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return items, evaluate.rank_by_shared_words(items, docs, 10).join(docs, "doc_id")
+    return items, evaluate.rank_by_shared_words(items, docs, 10).join(spread(docs), "doc_id")
 
 
 @query("eval_hits", EVAL_SQL + "SELECT item_id, doc_id, rank, hit FROM h")
@@ -275,3 +277,36 @@ def eval_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = t.table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("faithfulness"), F.when(F.col("event_type") == "never", F.col("value")).alias("relevancy"))
     return evaluate.judge_summary(scores, ["faithfulness", "relevancy"])
+
+
+BM25_SQL = r"""
+WITH dw AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents),
+qw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+')) AS word FROM benchmark),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM dw GROUP BY 1, 2),
+len AS (SELECT doc_id, count(*) AS len FROM dw GROUP BY 1),
+whole AS (SELECT count(*) AS n, (SELECT count(*) FROM dw) / count(*) AS mean FROM documents),
+idf AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, whole GROUP BY word, n),
+s AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qw JOIN tf USING (word) JOIN idf USING (word) JOIN len USING (doc_id), whole GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)
+"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = t.table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("scene"), F.col("text").alias("golden"))
+    return items, evaluate.rank_by_bm25(items, t.table(spark, sf_dir, "documents").select("doc_id", "text"), 10)
+
+
+@query("eval_bm25", BM25_SQL + "SELECT item_id, doc_id, rank, score FROM r")
+def eval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir)[1].select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("eval_bm25_summary", BM25_SQL + r""", q AS (SELECT item_id, item_id % 4 AS scene, text AS golden FROM benchmark),
+h AS (SELECT r.item_id, r.rank, contains(regexp_replace(d.text, '{marks}', '', 'g'), regexp_replace(q.golden, '{marks}', '', 'g')) AND regexp_replace(q.golden, '{marks}', '', 'g') <> '' AS hit FROM r JOIN q USING (item_id) JOIN documents d USING (doc_id)),
+m AS (SELECT q.item_id, q.scene, coalesce(max(CASE WHEN hit AND rank <= 1 THEN 1 END), 0) AS hit1, coalesce(max(CASE WHEN hit AND rank <= 3 THEN 1 END), 0) AS hit3, coalesce(max(CASE WHEN hit AND rank <= 5 THEN 1 END), 0) AS hit5,
+      coalesce(round(1.0 / min(CASE WHEN hit THEN rank END), 6), 0.0) AS rr FROM q LEFT JOIN h USING (item_id) GROUP BY q.item_id, q.scene)
+SELECT scene, count(*) AS n, round(avg(hit1), 4) AS hit1, round(avg(hit3), 4) AS hit3, round(avg(hit5), 4) AS hit5, round(avg(rr), 4) AS mrr FROM m GROUP BY GROUPING SETS ((), (scene))""".replace("{marks}", MARKS_SQL))
+def eval_bm25_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, found = _bm25(spark, sf_dir)
+    docs = spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return evaluate.summary(evaluate.rank_metrics(items, evaluate.hits(found.join(docs, "doc_id").join(items, "item_id"), ratio=None)))

@@ -33,6 +33,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where the input has fewer partitions than cores, as a small file has; a larger input is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class SnapshotTable:
     """A Parquet table under `root`: snapshots in folders of their own; the pointer with the highest number names the current one.
 
