@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators import evaluate, fusion, hypergraph, vectors
+from skein.operators import evaluate, fusion, hypergraph, quantised, vectors
 from skein.plans.catalog import query
 from skein.sources import tables as t
 from skein.sources.snapshots import spread
@@ -43,6 +43,11 @@ def vec_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.approximate_top_k(t.vectors(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
+@query("vec_topk_quantised")
+def vec_topk_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.quantised_top_k(t.vectors(spark, sf_dir), questions(spark, sf_dir), 10).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("channel_global", "SELECT query_id, chunk_id, label AS collection, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, chunk_id) AS pos FROM cosine QUALIFY pos <= 15")
 def channel_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.vectors(spark, sf_dir)
