@@ -172,7 +172,7 @@ def paragraphs(text: str, most: int = 2000) -> list[tuple[int, int, int, str]]:
         now, length = [], 0
 
     at = 0
-    for gap in [*re.finditer(r"\n\s*\n", text), None]:
+    for gap in [*re.finditer(r"\n[ \t\n\x0b\f\r]*\n", text), None]:
         start, end = _trimmed(text, at, gap.start() if gap else len(text))
         at = gap.end() if gap else len(text)
         if start == end:

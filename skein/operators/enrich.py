@@ -102,7 +102,3 @@ def faqs(answers: DataFrame, source_col: str = "doc_id") -> DataFrame:
     body = F.regexp_extract("answer", r"(?s)(\[\s*\{.*\}\s*\])", 1)
     rows = F.from_json(body, "array<struct<question:string,answer:string,category:string>>")
     return answers.select(F.col(source_col).alias("source_doc"), F.explode(rows).alias("f")).select("source_doc", "f.question", F.col("f.answer").alias("said"), "f.category")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

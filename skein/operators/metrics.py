@@ -41,13 +41,14 @@ def overview(frames: dict[str, DataFrame], now: str, hours: int, at: str = "crea
 
 
 def nearest_rank(rows: DataFrame, value: Column, share: float) -> DataFrame:
-    """One row with `p`, the smallest value that at least `share` of the non-null values do not exceed; null without values.
+    """One row with `p`, the smallest value that at least `share` of the values do not exceed, nulls and not-a-numbers left out; null without values.
 
     Equal values are counted first, so that only distinct values are ordered, by a running sum over ranges of them.
     """
-    counts = rows.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    part = F.floor(F.log2(F.col("v").cast("double") + 1) * 64).cast("int")  # ranges of values, a few thousand at most
-    parts = counts.where("v >= 0").groupBy(part.alias("part")).agg(F.sum("n").alias("m"))
+    counts = rows.where(value.isNotNull() & ~F.isnan(value.cast("double"))).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.floor(F.log2(F.abs(F.col("v").cast("double")) + 1) * 64).cast("int")
+    part = F.when(F.col("v") < 0, -size).otherwise(size)  # ranges of values in their order, by sign and magnitude: a few thousand at most
+    parts = counts.groupBy(part.alias("part")).agg(F.sum("n").alias("m"))
     order = Window.orderBy("part")
     placed = parts.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     here = placed.where(F.col("upto") >= F.ceil(F.col("all") * share)).orderBy("part").limit(1).select("part", (F.col("upto") - F.col("m")).alias("before"), F.ceil(F.col("all") * share).alias("rank"))
@@ -116,9 +117,9 @@ def waterfall(nodes: DataFrame) -> DataFrame:
     return placed.withColumn("width_pct", F.round(F.greatest(F.lit(0.8), F.least(F.col("duration_ms") * 100 / F.col("_span"), 100 - F.col("left_pct"))), 4)).drop("_at", "_first", "_span")
 
 
-def band(value: Column, good: float, warning: float, high_is_bad: bool = True, closed: bool = False) -> Column:
-    """good / warning / bad by two thresholds; null is warning. `closed` counts the threshold itself as the better band."""
-    better = (lambda a, b: a <= b if closed else a < b) if high_is_bad else (lambda a, b: a >= b)
+def band(value: Column, good: float, warning: float, high_is_bad: bool = True) -> Column:
+    """good / warning / bad by two thresholds; null is warning."""
+    better = (lambda a, b: a < b) if high_is_bad else (lambda a, b: a >= b)
     return F.when(value.isNull(), "warning").when(better(value, good), "good").when(better(value, warning), "warning").otherwise("bad")
 
 

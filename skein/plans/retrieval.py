@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import evaluate, fusion, hypergraph, quantised, vectors
 from skein.plans.catalog import query
 from skein.sources import tables as t
-from skein.sources.snapshots import spread
+from skein.sources.snapshots import saved, spread
 
 WEIGHTS = {"INTENT_DIRECTED": 1.0, "VECTOR_GLOBAL": 0.8}
 
@@ -19,8 +19,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, asked = t.vectors(spark, sf_dir), questions(spark, sf_dir)
-    return vectors.union_channels(("INTENT_DIRECTED", 1, vectors.top_k(rows, asked, 20, same="label")), ("VECTOR_GLOBAL", 3, vectors.top_k(rows, asked, 30)))
+    """Both channels from one search, which keeps the best of every collection: the intent's own ones, and the best of all."""
+    asked = questions(spark, sf_dir)
+    hits = saved(vectors.top_k(t.vectors(spark, sf_dir), asked, 30, each="label").drop("pos"))
+    wanted = asked.select(F.col("vec_id").alias("query_id"), F.coalesce(F.col("label").cast("string"), F.lit("")).alias("group")).distinct()
+    own = vectors.ranked(hits.join(wanted, ["query_id", "group"], "left_semi").drop("group"), 20)
+    return vectors.union_channels(("INTENT_DIRECTED", 1, own), ("VECTOR_GLOBAL", 3, vectors.ranked(hits.drop("group"), 30)))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +55,8 @@ def vec_topk_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("channel_global", "SELECT query_id, chunk_id, label AS collection, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, chunk_id) AS pos FROM cosine QUALIFY pos <= 15")
 def channel_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.vectors(spark, sf_dir)
-    asked = questions(spark, sf_dir).drop("label")
-    labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]  # the configured collections
-    each = asked.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
-    hits = vectors.top_k(rows, each, 15, same="label")
-    with_label = hits.join(rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("collection")), "chunk_id")
+    hits = vectors.top_k(rows, questions(spark, sf_dir), 15, each="label").drop("pos")
+    with_label = hits.withColumn("collection", F.col("group").cast(rows.schema["label"].dataType))
     order = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "chunk_id")
     return with_label.withColumn("pos", F.row_number().over(order).cast("long")).select("query_id", "chunk_id", "collection", "score", "pos")
 

@@ -10,11 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def active(df: DataFrame) -> DataFrame:
-    """The default view of a table with soft deletion: rows that are not deleted."""
-    return df.where(F.col("deleted") == 0) if "deleted" in df.columns else df
-
-
 def _status(df: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "ERROR").otherwise("SUCCESS")
     return df.withColumns({"status": status, "duration_ms": F.floor(F.col("value") * 100).cast("long"), "start_time": F.col("ts")})
