@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import distinct
+
 
 def one_digit(x: Column) -> Column:
     """Rounded to one digit, halves towards positive infinity."""
@@ -22,8 +24,11 @@ def bounds(now: str, hours: int) -> tuple[Column, Column, Column]:
     return back(2), back(1), end
 
 
-def overview(frames: dict[str, DataFrame], now: str, hours: int, at: str = "create_time") -> DataFrame:
-    """kpi, value, previous, delta and pct (null if the previous is not positive) for sessions, messages and active users."""
+def overview(frames: dict[str, DataFrame], now: str, hours: int, at: str = "create_time", states: DataFrame | None = None) -> DataFrame:
+    """kpi, value, previous, delta and pct (null if the previous is not positive) for sessions, messages and active users.
+
+    With `states` (of distinct.hourly over the messages) active users are counted from them.
+    """
     before, start, end = bounds(now, hours)
     cur, prev = _window(at, start, end), _window(at, before, start)
 
@@ -32,7 +37,11 @@ def overview(frames: dict[str, DataFrame], now: str, hours: int, at: str = "crea
 
     users = frames["messages"]
     rows = [row(n, df, F.count_if(cur), F.count_if(prev)) for n, df in frames.items()]
-    rows.append(row("active_users", users, F.count_distinct(F.when(cur, F.col("user_id"))), F.count_distinct(F.when(prev, F.col("user_id")))))
+    if states is None:
+        rows.append(row("active_users", users, F.count_distinct(F.when(cur, F.col("user_id"))), F.count_distinct(F.when(prev, F.col("user_id")))))
+    else:
+        both = distinct.active(states, users, at, {"value": (start, end), "previous": (before, start)})
+        rows.append(both.select(F.lit("active_users").alias("kpi"), "value", "previous"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -92,6 +101,13 @@ def trend(rows: DataFrame, at: str, now: str, hours: int, unit: str, values: dic
     return buckets.join(counted, "bucket", "left").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), *[F.coalesce(k, F.lit(0)).alias(k) for k in values])
 
 
+def active_trend(states: DataFrame, now: str, hours: int, unit: str) -> DataFrame:
+    """bucket and n, the distinct users per hour or day, from states of distinct.hourly; buckets without users are 0."""
+    buckets = states.sparkSession.range(1).select(F.explode(spine(now, hours, unit)).alias("bucket"))
+    found = distinct.counted(states, F.date_trunc(unit, "hour").cast("timestamp")).withColumnRenamed("_k0", "bucket")
+    return buckets.join(found, "bucket", "left").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.coalesce("users", F.lit(0)).cast("long").alias("n"))
+
+
 def trace_stats(runs: DataFrame) -> DataFrame:
     timed = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
     return runs.agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.operators import chunking, enrich, incremental, reports
 from skein.operators import vectors as v
 from skein.plans.catalog import query
-from skein.sources import jsonl
+from skein.sources import index, jsonl
 from skein.sources import tables as t
 from skein.sources.snapshots import SnapshotTable, shared_folder
 from skein.streaming import streams
@@ -370,9 +370,17 @@ def parse_faq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.faqs(_answers(spark, sf_dir, body), "event_id").select("source_doc", "question", "said")
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that goes when the application ends."""
+    made = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(made)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return made
+
+
 def _as_lines(spark: SparkSession, rows: DataFrame) -> str:
     """Rows as JSON lines in the shared folder."""
-    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = _own_folder(spark, "lines")
     rows.write.json(path)
     return path
 
@@ -385,7 +393,7 @@ def faq_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = said.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = said.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(answers, ["conv_id", "turn"], "left")
     lines = pairs.select("question", "answer", F.lit("chat").alias("category"), F.concat_ws(":", "conv_id", "turn").alias("source_doc"))
-    table = SnapshotTable(spark, f"{shared_folder(spark)}/faq-{uuid.uuid4().hex}")
+    table = SnapshotTable(spark, _own_folder(spark, "faq"))
     table.replace(jsonl.faq(spark, _as_lines(spark, lines)))
     return table.read().select("source_doc", "content")
 
@@ -400,9 +408,49 @@ def hyperedge_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("image_desc_ingest", "SELECT sha256(url) AS chunk_id, 'page ' || page_id AS content, 'industrial_images' AS collection FROM pages")
 def image_desc_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = t.table(spark, sf_dir, "pages").select(F.col("url").alias("image_path"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("description"), F.lit("web").alias("category"))
-    return jsonl.image_descriptions(spark, _as_lines(spark, pages)).select("chunk_id", "content", "collection")
+    return jsonl.image_descriptions(spark, _as_lines(spark, pages), "industrial_images").select("chunk_id", "content", "collection")
 
 
 @query("random_sample")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "benchmark").orderBy(F.rand(7)).limit(3)
+
+
+@query("index_write", "SELECT doc_id, hash FROM snap_new WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id, hash FROM snap_old WHERE doc_id NOT IN (SELECT doc_id FROM snap_new) AND doc_id % 11 <> 0")
+def index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written, written again in part, and some deleted, each in one commit; the second commit comes twice."""
+    root = _own_folder(spark, "index")
+    old, new = (df.select("doc_id", "hash") for df in t.snapshots(spark, sf_dir))
+    index.write(old, root, "first")
+    index.write(new, root, "second")
+    index.write(new.limit(1).withColumn("hash", F.lit("again")), root, "second")
+    index.delete(_docs(spark, sf_dir).where("doc_id % 11 = 0"), root, old.schema)
+    return index.read(spark, root, old.schema)
+
+
+@query("image_rewrite", "SELECT sha256(url) AS chunk_id, 'page ' || page_id AS content, 'images' AS collection FROM pages WHERE page_id % 3 <> 0")
+def image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of images is cleared and written anew: nothing of the first writing stays."""
+    root = _own_folder(spark, "images")
+    pages = t.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("image_path"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("description"), F.lit("web").alias("category"))
+    chunks = lambda rows: jsonl.image_descriptions(spark, _as_lines(spark, rows.drop("page_id")), "images").select("chunk_id", "content", "collection")
+    first, second = chunks(pages), chunks(pages.where("page_id % 3 <> 0"))
+    index.write(first, root)
+    index.write(second, root, clear=True)
+    return index.read(spark, root, second.schema, "chunk_id")
+
+
+@query("evaluation_set", "SELECT 'item ' || item_id AS query, text AS golden_answer, CASE item_id % 4 WHEN 0 THEN 'fault' WHEN 1 THEN 'start' ELSE 'other' END AS scene FROM benchmark")
+def evaluation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scene = F.when(F.col("item_id") % 4 == 0, "fault").when(F.col("item_id") % 4 == 1, "start").otherwise("other")
+    rows = t.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("query"), F.col("text").alias("golden_answer"), scene.alias("scene"))
+    return jsonl.evaluation_set(spark, _as_lines(spark, rows))
+
+
+@query("evaluation_report", "SELECT source AS scene, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY source UNION ALL SELECT NULL, count(*), round(avg(n_chars), 4) FROM documents")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary and its rows written as a report, and the summary read from it."""
+    root = _own_folder(spark, "report")
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("scene"), "n_chars")
+    jsonl.write_report(rows.rollup("scene").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean")), rows, root)
+    return spark.read.schema("scene string, n long, mean double").json(f"{root}/summary")

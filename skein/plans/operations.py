@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import metrics, reports
-from skein.plans.catalog import query
+from skein.operators import distinct, metrics, reports
+from skein.plans.catalog import ORACLE_SQL, query
 from skein.sources import tables as t
+from skein.sources.snapshots import saved
 from skein.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -25,7 +26,9 @@ KPI_SQL = "k AS (" + " UNION ALL ".join([_kpi_sql("sessions", "count(*)", "sessi
 
 
 def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.overview({"sessions": t.sessions(spark, sf_dir), "messages": t.chat_messages(spark, sf_dir)}, NOW, HOURS)
+    said = t.chat_messages(spark, sf_dir)
+    states = saved(distinct.hourly(said, "create_time"))
+    return metrics.overview({"sessions": t.sessions(spark, sf_dir), "messages": said}, NOW, HOURS, states=states)
 
 
 @query("dash_overview", f"WITH {KPI_SQL} SELECT kpi, value, previous, value - previous AS delta, CASE WHEN previous > 0 THEN floor((value - previous) * 100.0::DOUBLE / previous * 10 + 0.5) / 10 END AS pct FROM k")
@@ -80,6 +83,8 @@ def _register_trends() -> None:
             sql = f"WITH b AS (SELECT unnest({spine}) AS bucket), c AS (SELECT date_trunc('{unit}', {at}) AS bucket, {said} FROM {source} GROUP BY 1) SELECT CAST(b.bucket AS TIMESTAMP) AS bucket, coalesce({value}, 0) AS {value} FROM b LEFT JOIN c USING (bucket)"
 
             def run(spark: SparkSession, sf_dir: str, view=view, at=at, make=make, unit=unit, hours=hours) -> DataFrame:  # noqa: ANN001
+                if make is users:
+                    return metrics.active_trend(saved(distinct.hourly(view(spark, sf_dir), at)), NOW, hours, unit)
                 return metrics.trend(view(spark, sf_dir), at, NOW, hours, unit, make())
 
             query(f"dash_trend_{kind}_{unit}", sql)(run)
@@ -88,6 +93,15 @@ def _register_trends() -> None:
 _register_trends()
 
 
+@query("active_users_stream")
+def active_users_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily active users from states that a stream keeps."""
+    return metrics.active_trend(streams.active_states(spark, f"{sf_dir}/events.parquet", t.chat_messages_of), NOW, HOURS, "day")
+
+
+ORACLE_SQL["active_users_stream"] = ORACLE_SQL["dash_trend_active_day"]
+
+
 @query("hourly_stream", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.hourly_counts(spark, f"{sf_dir}/events.parquet")

@@ -23,14 +23,15 @@ def hyperedges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDGE).option("mode", "DROPMALFORMED").json(path)
 
 
-def image_descriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Image descriptions as chunks of the image collection."""
+def image_descriptions(spark: SparkSession, path: str, collection: str) -> DataFrame:
+    """Image descriptions as chunks of a collection."""
     rows = spark.read.schema(IMAGE).option("mode", "DROPMALFORMED").json(path).where(F.trim("description") != "")
-    return rows.select(F.lit("industrial_images").alias("collection"), F.sha2("image_path", 256).alias("chunk_id"), F.col("description").alias("content"), F.create_map(F.lit("image_path"), "image_path", F.lit("category"), "category").alias("metadata"))
+    return rows.select(F.lit(collection).alias("collection"), F.sha2("image_path", 256).alias("chunk_id"), F.col("description").alias("content"), F.create_map(F.lit("image_path"), "image_path", F.lit("category"), "category").alias("metadata"))
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL).json(path)
+    """Questions with their golden answers and scenes; lines that are no JSON objects are dropped."""
+    return spark.read.schema(EVAL).option("mode", "DROPMALFORMED").json(path)
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

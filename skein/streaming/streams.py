@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skein.operators import memory
+from skein.operators import distinct, memory
 from skein.sources.snapshots import shared_folder
 
 
@@ -153,6 +153,15 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "1 hour", root: st
     return state.read(spark.createDataFrame([], "hour timestamp, n long, total double"))
 
 
+def active_states(spark: SparkSession, path: str, messages: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
+    """States of distinct users by hour from a message stream: each batch adds its own, and however late a row comes, its hour's state takes it in."""
+    root = _root(spark, root)
+    said = messages(file_stream(spark, path)).select("user_id", "create_time")
+    state = ChangeTable(spark, root, distinct.merged)
+    run_to_end(said, lambda rows, n: state.step(distinct.hourly(rows, "create_time"), n), root)
+    return state.read(distinct.hourly(messages(spark.read.parquet(path).limit(0)), "create_time"))
+
+
 def document_stream(spark: SparkSession, path: str, chunk: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """Chunk documents as they arrive; a document that comes again replaces its chunks."""
     docs = file_stream(spark, path).select("doc_id", "text")
