@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.operators import chunking, enrich, incremental, reports
 from skein.operators import vectors as v
 from skein.plans.catalog import query
-from skein.sources import index, jsonl
+from skein.sources import folder, index, jsonl
 from skein.sources import tables as t
 from skein.sources.snapshots import SnapshotTable, shared_folder
 from skein.streaming import streams
@@ -454,3 +454,20 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("scene"), "n_chars")
     jsonl.write_report(rows.rollup("scene").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean")), rows, root)
     return spark.read.schema("scene string, n long, mean double").json(f"{root}/summary")
+
+
+@query("folder_refresh", "SELECT CAST(g AS VARCHAR) AS key, CASE WHEN g % 7 = 0 THEN 'new' WHEN g % 5 = 0 THEN 'changed' WHEN g % 5 = 1 THEN 'hash' ELSE 'header' END AS status FROM (SELECT DISTINCT page_id // 5 AS g FROM pages)")
+def folder_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five pages each, looked at twice: between the looks some are added, some changed and some written again as they were."""
+    files, root = _own_folder(spark, "files"), _own_folder(spark, "looks")
+    pages = t.table(spark, sf_dir, "pages").withColumn("g", F.expr("page_id div 5"))
+
+    def put(rows: DataFrame) -> None:
+        lines = rows.repartition("g").sortWithinPartitions("g", "page_id").select("g", F.to_json(F.struct("page_id", "url", "html")).alias("value"))
+        lines.write.partitionBy("g").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(files)
+
+    key = F.regexp_extract("path", "/g=([0-9]+)/", 1)
+    put(pages.where("g % 7 <> 0"))
+    folder.refreshed(spark, files, root, "*.txt", key)
+    put(pages.where("g % 7 = 0 or g % 5 <= 1").withColumn("html", F.when((F.col("g") % 5 == 0) & (F.col("g") % 7 != 0), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html"))))
+    return folder.refreshed(spark, files, root, "*.txt", key).select("key", "status")
