@@ -11,14 +11,20 @@ from skein.plans.catalog import query
 from skein.sources import tables as t
 
 
+MOST_INTENTS = 10_000  # whose mean vectors go to all questions
+
+
 def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, sub, intent, score: cosine of each question to the mean vector of every label."""
+    """query_id, sub, intent, score: cosine of each question to the mean vector of every label. Labels are a configured list, and their means one small value beside the questions."""
     rows = t.vectors(spark, sf_dir)
-    parts = rows.select("vec_id", "label", F.posexplode("v").alias("i", "x"))
-    mean = parts.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    asked = parts.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "i", "x")
-    both = asked.join(mean, "i").groupBy("query_id", "label").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mn"))
-    return both.select("query_id", (F.col("query_id") % 4).alias("sub"), F.col("label").alias("intent"), F.round(F.col("dot") / (F.col("qn") * F.col("mn")), 6).alias("score"))
+    mean = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    lines = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("m"))
+    known = lines.select(F.struct("label", "m", vectors.norm(F.col("m")).alias("length")).alias("s"))
+    listed = F.collect_list("s")
+    every = known.agg(F.when(F.count(F.lit(1)) > MOST_INTENTS, F.raise_error(F.lit(f"more than {MOST_INTENTS} intents")).cast("array<struct<label:int,m:array<double>,length:double>>")).otherwise(listed).alias("s"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v", vectors.norm(F.col("v")).alias("length")).withColumn("s", F.explode(every.scalar()))
+    dot = F.aggregate(F.zip_with("v", F.col("s.m"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return asked.select("query_id", (F.col("query_id") % 4).alias("sub"), F.col("s.label").alias("intent"), F.round(dot / (F.col("length") * F.col("s.length")), 6).alias("score"))
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
