@@ -6,9 +6,12 @@ gives a probability for each learned language. Table and layer are trained toget
 numpy, on a bounded sample of labelled rows. Because the layer is linear, the average of embeddings followed by the layer
 equals the average of per-window scores; scoring uses that table (buckets x languages).
 
-Calibration, on sampled rows that the fit does not see: a temperature for the softmax, and the rejection level, the highest
-probability (at most MOST_LEVEL) that all but `ALPHA` of the rightly labelled rows reach. The model keeps what the level does: its
-coverage (share of those rows that pass) and its false acceptance (share of rows of shuffled letters, which are no language, that pass).
+One more class of the softmax, learned from rows whose letters are put in random order, stands for no language; it never is a prediction. What
+the other classes have of the probability is the chance that a text is in a language at all, and rejection goes by that chance.
+
+Calibration, on sampled rows that the fit does not see: a temperature for the softmax over the languages, and the rejection level, the chance
+(at most MOST_LEVEL) that all but `ALPHA` of the rightly labelled rows reach. The model keeps what the level does: its coverage (share of
+those rows that pass) and its false acceptance (share of shuffled rows that pass).
 
 Edge cases: a text that is null, empty or without a letter is `und` with score 0 and rejected; very long texts are scored whole, in
 blocks; rows without labels are scored but not learned; repeated rows and ties are scored alike (of equal probabilities the language first in
@@ -31,12 +34,14 @@ from skein.llm.common import beside, bucket_of, rows_with
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 TRAINING_ROWS = 2400  # bound on the labelled rows that reach the driver, shared evenly among the languages
-TRAINING_CHARS = 1500  # bound on the characters of a sampled text that are learned, from a place that its hash names; scoring takes whole texts
-WINDOW_CHARS = 60  # every sampled text is also learned as one short excerpt, so that short texts are known
+TRAINING_BYTES = 128 << 20  # bound on the hashed counts that reach the driver: fewer rows of a language are drawn where they are long, texts are never cut
+EXCERPTS = (60, 15)  # every sampled text is also learned as one excerpt of each of these lengths, so that short texts are known
+SHUFFLED = (60, 240)  # lengths of the excerpts whose letters are put in random order, taken in turn
 EPOCHS = 5
 ALPHA = 0.0005
 MOST_LANGUAGES = 200  # bound on the labels that the driver gets; more of them are an error
 MOST_LEVEL = 0.4  # the rejection level is never above this, so that short clean texts stay
+ENTRY_BYTES = 6  # of a bucket and its count
 _BLOCK = 1 << 20
 
 # Bytes that are no part of a word (ASCII other than letters) become blanks.
@@ -87,15 +92,16 @@ def _normalised(text: str | None) -> bytes:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    window_scores: np.ndarray  # (BUCKETS, languages): embedding rows times the layer
+    window_scores: np.ndarray  # (BUCKETS, languages and then no language): embedding rows times the layer
     bias: np.ndarray
     temperature: float
     least: float  # rejection level
     coverage: float = 1.0  # of rightly labelled rows that calibration has seen
     false_acceptance: float = 1.0  # of shuffled rows
 
-    def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        k = len(self.languages)
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """One column for each column of window_scores."""
+        k = len(self.bias)
         sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
         for owners, starts, buf in _blocks([_normalised(t) for t in texts]):
             for at, buckets in _grams(buf):
@@ -106,8 +112,17 @@ class LanguageModel:
                 for c in range(k):
                     running = np.concatenate(([0.0], np.cumsum(self.window_scores[buckets, c], dtype=np.float64)))
                     np.add.at(sums[:, c], rows, running[ends] - running[edges])
-        logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
-        return _softmax(logits)
+        return sums / np.maximum(counts, 1)[:, None] + self.bias
+
+    def of_languages(self, logits: np.ndarray) -> np.ndarray:
+        return _softmax(logits[:, : len(self.languages)] / self.temperature)
+
+    def of_any(self, logits: np.ndarray) -> np.ndarray:
+        """The chance that a text is in a language at all."""
+        return _softmax(logits)[:, : len(self.languages)].sum(axis=1)
+
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        return self.of_languages(self.logits(texts))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -116,65 +131,74 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _features(text: pd.Series, at: pd.Series) -> pd.Series:
-    """Buckets and counts (of at most TRAINING_CHARS characters) of each text, of one excerpt of it, and of its letters in random order."""
+    """Buckets and counts of each whole text, of its excerpts, and of one more excerpt with its letters in random order."""
 
     def counted(t: str) -> dict:
         raw = _normalised(t)
         found = np.concatenate([b for _, b in _grams(np.frombuffer(b" " + raw + b" ", np.uint8))] or [np.empty(0, np.int32)])
         bucket, n = np.unique(found, return_counts=True)
-        return {"bucket": bucket.astype(np.uint16).tobytes(), "n": n.astype(np.uint16).tobytes()}
+        return {"bucket": bucket.astype(np.uint16).tobytes(), "n": n.astype(np.uint32).tobytes()}
 
     def shuffled(t: str, seed: int) -> str:
         return "".join(np.random.default_rng(seed).permutation(list(t))) if t else ""
 
-    excerpts = [t[o % max(1, len(t) - WINDOW_CHARS) :][:WINDOW_CHARS] for t, o in zip(text, at)]
-    return pd.Series([[counted(t), counted(e), counted(shuffled(t[: 4 * WINDOW_CHARS], int(o)))] for t, e, o in zip(text, excerpts, at)])
+    def excerpt(t: str, o: int, size: int) -> str:
+        return t[o % max(1, len(t) - size) :][:size]
+
+    def variants(t: str, o: int) -> list[dict]:
+        known = [t, *(excerpt(t, o, size) for size in EXCERPTS)]
+        return [counted(x) for x in [*known, shuffled(excerpt(t, o, SHUFFLED[o % len(SHUFFLED)]), int(o))]]
+
+    return pd.Series([variants(t, o) for t, o in zip(text, at)])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS, seed: int = 7) -> LanguageModel:
-    """Learn from at most `rows` rows with a text and a language; a quarter of them serve calibration only."""
+    """Learn from about `rows` rows, drawn by hash, with a text and a language; a quarter of them serve calibration only."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES + 1).collect()}
+    entries = F.least(F.octet_length(text_col).cast("long") * 3, F.lit(BUCKETS))  # at most
+    sizes = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"), F.sum(entries * ENTRY_BYTES).alias("bytes"))
+    counts = {r[0]: (r["n"], r["bytes"]) for r in sizes.orderBy(F.desc("n"), lang_col).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}: some could not be learned")
     languages = sorted(counts)
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 1.0)
     share: Column = F.lit(0.0)
     each = max(1, rows // len(languages))
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, each / n)).otherwise(share)
+    for lang, (n, size) in counts.items():
+        share = F.when(F.col(lang_col) == lang, min(1.0, each / n, TRAINING_BYTES / len(languages) / size)).otherwise(share)
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.shiftright(hashed, 31), F.greatest(F.length(text_col) - TRAINING_CHARS + 1, F.lit(1))) + 1
     features = F.pandas_udf(_features, "array<struct<bucket:binary,n:binary>>")
     sample = usable.where(draw < share).select(
         F.col(lang_col).alias("lang"), (F.pmod(F.xxhash64(id_col, text_col, F.lit(seed + 1)), F.lit(4)) == 0).alias("aside"),
-        features(F.substring(F.col(text_col), start.cast("int"), F.lit(TRAINING_CHARS)), F.pmod(hashed, F.lit(1 << 20))).alias("f"),
+        features(text_col, F.pmod(F.shiftright(hashed, 31), F.lit(1 << 20))).alias("f"),
     ).limit(2 * rows).toArrow()
     data, nobody = _unpacked(sample, {lang: i for i, lang in enumerate(languages)})
-    table, layer, bias = _descend([x for x in data if not x[3]], len(languages), seed)
+    table, layer, bias = _descend([x for x in data + nobody if not x[3]], len(languages) + 1, seed)
     scores = (table @ layer).astype(np.float32)
     model = LanguageModel(languages, scores, bias, 1.0, 0.0)
     aside = [x for x in data if x[3]]
     if aside:
-        logits = lambda found: np.array([n @ scores[b] / n.sum() + bias for b, n, _, _ in found]).reshape(-1, len(languages))
-        _calibrate(model, logits(aside), np.array([x[2] for x in aside]), logits(nobody))
+        logits = lambda found: np.array([n @ scores[b] / n.sum() + bias for b, n, _, _ in found]).reshape(-1, len(bias))
+        _calibrate(model, logits(aside), np.array([x[2] for x in aside]), logits([x for x in nobody if x[3]]))
     return model
 
 
 def _unpacked(sample: pa.Table, known: dict[str, int]) -> tuple[list, list]:
-    """(bucket, count, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones that are aside."""
-    data, nobody = [], []
+    """(bucket, count, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones, whose label is one more than the last."""
+    data, nobody, last = [], [], 1 + len(EXCERPTS)
     for batch in sample.to_batches():
         found = batch.column("f").flatten()
         buckets, counts = found.field(0), found.field(1)
         for i, (lang, aside) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("aside").to_pylist())):
-            for j in range(3):
-                bucket, n = np.frombuffer(buckets[3 * i + j].as_buffer(), np.uint16), np.frombuffer(counts[3 * i + j].as_buffer(), np.uint16)
-                if len(bucket) and (j < 2 or aside):
-                    (data if j < 2 else nobody).append((bucket, n, known[lang], aside))
-    data.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))  # the order in which tasks end must not matter
+            for j in range(last + 1):
+                at = (last + 1) * i + j
+                bucket, n = np.frombuffer(buckets[at].as_buffer(), np.uint16), np.frombuffer(counts[at].as_buffer(), np.uint32)
+                if len(bucket):
+                    (data if j < last else nobody).append((bucket, n, known[lang] if j < last else len(known), aside))
+    for found in (data, nobody):  # the order in which tasks end must not matter
+        found.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))
     return data, nobody
 
 
@@ -204,14 +228,14 @@ def _calibrate(model: LanguageModel, logits: np.ndarray, labels: np.ndarray, nob
     """Set temperature and rejection level from rows with labels, and measure the level on them and on rows of no language."""
     rows = np.arange(len(labels))
     temperatures = np.geomspace(0.05, 8, 60)
-    model.temperature = float(min(temperatures, key=lambda t: -np.log(_softmax(logits / t)[rows, labels] + 1e-12).mean()))
-    top = _softmax(logits / model.temperature)
-    right = top.max(axis=1)[top.argmax(axis=1) == labels]
+    alone = logits[:, : len(model.languages)]
+    model.temperature = float(min(temperatures, key=lambda t: -np.log(_softmax(alone / t)[rows, labels] + 1e-12).mean()))
+    right = model.of_any(logits)[alone.argmax(axis=1) == labels]
     if len(right):
         model.least = float(min(np.quantile(right, ALPHA), MOST_LEVEL))
         model.coverage = float((right >= model.least).mean())
     if len(nobody):
-        model.false_acceptance = float((_softmax(nobody / model.temperature).max(axis=1) >= model.least).mean())
+        model.false_acceptance = float((model.of_any(nobody) >= model.least).mean())
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -219,16 +243,17 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     if not model.languages:
         return rows_with(beside(docs), docs.columns, lang_pred=F.lit("und"), score=F.lit(0.0), rejected=F.lit(True))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, any_language double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        p = model.probabilities(text.tolist())
-        return pd.DataFrame({"lang_pred": np.asarray(model.languages, object)[p.argmax(axis=1)], "score": p.max(axis=1)})
+        logits = model.logits(text.tolist())
+        p = model.of_languages(logits)
+        return pd.DataFrame({"lang_pred": np.asarray(model.languages, object)[p.argmax(axis=1)], "score": p.max(axis=1), "any_language": model.of_any(logits)})
 
     text = F.col(f"`{text_col}`")
     scored = beside(docs, _p=predict(text), _l=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     return rows_with(
         scored, docs.columns, lang_pred=F.when(F.col("_l"), F.col("_p.lang_pred")).otherwise("und"), score=F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0),
-        rejected=~F.col("_l") | (F.col("_p.score") < model.least),
+        rejected=~F.col("_l") | (F.col("_p.any_language") < model.least),
     )
 
 
