@@ -84,6 +84,13 @@ def _one_of(words: set[str]) -> str:
     return rf"(?i)(?<![a-z0-9])(?:{'|'.join(f'{letter}(?:{rest})' for letter, rest in by_letter)})(?![a-z0-9])"
 
 
+def _holds(ordered: str, value: Column) -> Column:
+    """Whether a sorted column of strings holds the value, by bisection: array_contains would look at each of them for each value."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(30))])
+    less = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ordered, at + step - 1) < value, at + step).otherwise(at))
+    return F.coalesce(F.get(ordered, less) == value, F.lit(False))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, bool]] = TEMPLATES, threshold: float = THRESHOLD, most_paragraphs: int = MOST_PARAGRAPHS) -> DataFrame:
     """(id, unit, kind, paragraphs, license, shared, dice) of each matching unit; units count from 0 within their kind, passages by their first paragraph."""
     known = [(name, template_bigrams(text), several) for name, text, several in templates]
@@ -105,8 +112,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = docs.where(F.col(text_col).rlike(anchored)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_paragraphs", F.split("_text", PARAGRAPH_END)).withColumn("_lines", numbered("line", F.split("_text", "\n")))
     rows = rows.withColumn("_longer", numbered("paragraph", F.col("_paragraphs"), lambda said: F.contains(F.trim(said), F.lit("\n"))))
-    rows = rows.withColumn("_whole", F.transform(F.filter(F.concat("_paragraphs", F.split("_text", "\n")), lambda p: p.rlike(anchored)), _words))
-    rows = rows.withColumn("_sentences", F.filter(numbered("sentence", F.split("_text", SENTENCE_END)), lambda u: ~F.array_contains("_whole", u["words"])))
+    joined = F.transform(F.filter(F.concat("_paragraphs", F.split("_text", "\n")), lambda p: p.rlike(anchored)), lambda p: F.array_join(_words(p), " "))
+    rows = rows.withColumn("_whole", F.array_sort(F.array_distinct(joined)))
+    rows = rows.withColumn("_sentences", F.filter(numbered("sentence", F.split("_text", SENTENCE_END)), lambda u: ~_holds("_whole", F.array_join(u["words"], " "))))
     # A passage is found by its first paragraph and their number; one without an anchor word in any of its paragraphs can't match.
     rows = rows.withColumn("_worded", F.transform("_paragraphs", lambda p: F.struct(_words(p).alias("words"), p.rlike(anchored).alias("anchored"))))
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(most_paragraphs)), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.size("_paragraphs")), lambda i: i + k <= F.size("_paragraphs")), lambda i: F.struct(i.alias("at"), k.alias("k")))))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import public_tokenizers
 import pytest
@@ -171,6 +172,15 @@ def test_licences_equal_their_sql(spark):
     assert sorted((tuple(r) for r in licenses.scan(odd).collect()), key=str) == want and len(want) > 10
 
 
+def test_licences_of_a_text_with_many_units(spark):
+    """The time of a text grows with its length, not with the square of its units."""
+    text = "\n".join(f"Entry {i} has a license. Released under the MIT License! It goes on" for i in range(8000))
+    started = time.monotonic()
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, "Released under the MIT License\n" * 8000)], "doc_id long, text string")).groupBy("doc_id", "kind", "license").count().collect()
+    assert time.monotonic() - started < 40
+    assert {(r["doc_id"], r["kind"], r["license"], r["count"]) for r in got} >= {(1, "sentence", "MIT", 8000), (2, "line", "MIT", 8000)}
+
+
 def test_licence_anchors_cannot_miss_a_match():
     r = random.Random(4)
     for _, text, _ in licenses.TEMPLATES:
