@@ -96,6 +96,27 @@ def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("m")["source"].alias("source"), F.col("m")["lang"].alias("lang"))
 
 
+@query(
+    "index_metadata_typed",
+    """
+SELECT doc_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN 'chunk' ELSE kb_id END AS source, n_chars AS chars, collection AS lang, CASE WHEN chunk_index % 3 = 0 THEN chunk_index ELSE -1 END AS line
+FROM chunk JOIN (SELECT DISTINCT doc_id, n_chars FROM documents) USING (doc_id) WHERE n_chars > 500
+""",
+)
+def index_metadata_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    size = F.struct(F.col("n_chars").alias("chars"), F.array("lang").alias("langs"))
+    described = docs.select("doc_id", "lang", "source", "text", F.parse_json(F.to_json(F.struct("source", size.alias("size"), F.lit(-1).alias("line"), F.lit("x").alias("other")))).alias("document"))
+    lines = described.select("doc_id", "document", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+    own = F.struct(F.when(F.col("chunk_index") % 2 == 0, "chunk").alias("source"), F.when(F.col("chunk_index") % 3 == 0, F.col("chunk_index")).alias("line"))
+    rows = lines.withColumn("m", incremental.typed_metadata(F.col("document"), F.parse_json(F.to_json(own)), ["source", "size", "line"]))
+    field = lambda path, kind: F.try_variant_get("m", path, kind)
+    return rows.where(field("$.size.chars", "long") > 500).select(
+        "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), field("$.source", "string").alias("source"), field("$.size.chars", "long").alias("chars"),
+        field("$.size.langs[0]", "string").alias("lang"), field("$.line", "long").alias("line"),
+    )
+
+
 @query("index_delete_by_doc", "SELECT doc_id, chunk_index FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def index_delete_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = t.table(spark, sf_dir, "labels").where("toxic = 1")
