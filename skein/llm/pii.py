@@ -1,6 +1,6 @@
 """Surrogates for personal data: each detected entity gets a keyed replacement of its own type, script and format.
 
-Detection is one pattern over whole texts: e-mail addresses, secrets (hexadecimal ones and access keys with a known beginning), IP addresses of both versions, account
+Detection is one pattern over whole texts: e-mail addresses, secrets (hexadecimal ones of any length, web tokens, and access keys with a known beginning), IP addresses of both versions, account
 (IBAN), telephone, card and social-security numbers, and names after a form of address. An entity has a canonical form (digits alone, lower case,
 the surname), and its surrogate is derived from a keyed digest of type and canonical form. So all mentions of one entity, in any format
 and any document, get the same surrogate (coreference), digits stay digits and letters stay letters of their script and case, card and
@@ -60,8 +60,9 @@ _EDGE = r"(?![\p{L}\p{N}])"
 _NO_DATE = r"(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}(?![0-9]))"
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z0-9-]*[A-Za-z0-9]",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
-    "key": r"(?<![A-Za-z0-9_])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,99}|xox[abprs]-[0-9A-Za-z-]{10,250})(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9_])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}+|xox[abprs]-[0-9A-Za-z-]{10,}+"
+    r"|github_pat_[0-9A-Za-z_]{22,}+|sk-(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+|eyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+)(?![A-Za-z0-9_])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![0-9A-Za-z])",
@@ -79,6 +80,7 @@ ANY = "|".join(PATTERNS.values())
 # What every entity contains: a digit, an @, or a form of address before a blank; first letters are looked at first.
 _BY_LETTER = [(letter, "|".join(t[1:] for t in group)) for letter, group in groupby(sorted(_WRITTEN_TITLES), key=lambda t: t[0])]
 _HINT = rf"[0-9@]|(?=[{''.join(letter for letter, _ in _BY_LETTER)}])(?:{'|'.join(f'{letter}(?:{rest})' for letter, rest in _BY_LETTER)})\.? "
+_KEY_BEGINNING = r"^(github_pat_|sk_live_|sk-|eyJ|.{4})"  # what of a key stays
 _STREAM = 128  # hexadecimal digits of a digest
 
 
@@ -204,7 +206,7 @@ def surrogates(key: str, described: Column) -> Column:
     """
 
     def begun(e: Column) -> Column:
-        kept = F.when(e["kind"] == "phone", F.length(_digits(e["match"])) - F.length(F.regexp_replace(e["canonical"], _CODE, ""))).when(e["kind"] == "card", 1).when(e["kind"] == "iban", 2).when(e["kind"] == "key", 4).otherwise(0)
+        kept = F.when(e["kind"] == "phone", F.length(_digits(e["match"])) - F.length(F.regexp_replace(e["canonical"], _CODE, ""))).when(e["kind"] == "card", 1).when(e["kind"] == "iban", 2).when(e["kind"] == "key", F.length(F.regexp_extract(e["match"], _KEY_BEGINNING, 1))).otherwise(0)
         given = F.when(e["given"].isNotNull(), _digest(key, e["given"]["kind"], e["given"]["canonical"], e["given_attempt"]))
         return _struct(e=e, digest=_digest(key, e["kind"], e["canonical"], e["attempt"]), given=given, tables=_syllables_of(e["match"]), kept=kept, body=F.when(e["kind"] == "email", F.substring_index(e["match"], "@", 1)).otherwise(e["match"]))
 

@@ -243,6 +243,21 @@ def test_too_many_entities_for_their_format_are_an_error(spark, monkeypatch):
         pii.clashes(spark.createDataFrame([("name", "a"), ("name", "b")], "kind string, canonical string"), "key")
 
 
+def test_long_secrets_and_tokens_go_whole(spark):
+    r = random.Random(11)
+    some = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEF0123456789": "".join(r.choice(letters) for _ in range(n - 1)) + "7"
+    secrets = [some(128, "0123456789abcdef"), some(1000, "0123456789abcdef"), "sk_live_" + some(300), "xoxb-" + some(400), "github_pat_" + some(60), "sk-" + some(40), f"eyJ{some(20)}.eyJ{some(300)}.{some(43)}"]
+    plain = ["f" * 40, "eyJnothing", "task-force-of-2020-with-many-words-more", "sk-only-letters-and-lines-in-it"]
+    rows = spark.createDataFrame([(i, f"a {s} b {s}.") for i, s in enumerate(secrets)] + [(100 + i, f"a {s} b 1") for i, s in enumerate(plain)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in pii.replace_entities(rows, "key").collect()}
+    for i, secret in enumerate(secrets):
+        one, two = re.fullmatch(r"a (\S+) b (\S+)\.", got[i]["text"]).groups()
+        begins = next((b for b in ("sk_live_", "xoxb", "github_pat_", "sk-", "eyJ") if secret.startswith(b)), "")
+        assert got[i]["n_entities"] == 2 and one == two and len(one) == len(secret) and one.startswith(begins)
+        assert all(one[k : k + 12] != secret[k : k + 12] for k in range(len(begins), len(secret) - 12))
+    assert all(got[100 + i]["text"] == f"a {s} b 1" for i, s in enumerate(plain))
+
+
 def test_people_with_one_surname_stay_apart(spark):
     """More given names than the surrogates of a first attempt would keep apart by chance; the same name is replaced alike."""
     given = [a + b + c + d for a in ("Ka", "Le", "Mi", "No") for b in "lmnrst" for c in "aeiou" for d in ("la", "ro", "nik", "dan", "sel")]
