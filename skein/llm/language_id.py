@@ -21,6 +21,7 @@ are an error. :func:`identify` keeps all columns of the input, but those named l
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,7 +138,7 @@ def _features(text: pd.Series, at: pd.Series) -> pd.Series:
         raw = _normalised(t)
         found = np.concatenate([b for _, b in _grams(np.frombuffer(b" " + raw + b" ", np.uint8))] or [np.empty(0, np.int32)])
         bucket, n = np.unique(found, return_counts=True)
-        return {"bucket": bucket.astype(np.uint16).tobytes(), "n": n.astype(np.uint32).tobytes()}
+        return {"size": len(bucket), "packed": zlib.compress(bucket.astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes(), 1)}
 
     def shuffled(t: str, seed: int) -> str:
         return "".join(np.random.default_rng(seed).permutation(list(t))) if t else ""
@@ -169,12 +170,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         share = F.when(F.col(lang_col) == lang, min(1.0, each / n, TRAINING_BYTES / len(languages) / size)).otherwise(share)
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    features = F.pandas_udf(_features, "array<struct<bucket:binary,n:binary>>")
+    features = F.pandas_udf(_features, "array<struct<size:int,packed:binary>>")
     sample = usable.where(draw < share).select(
         F.col(lang_col).alias("lang"), (F.pmod(F.xxhash64(id_col, text_col, F.lit(seed + 1)), F.lit(4)) == 0).alias("aside"),
         features(text_col, F.pmod(F.shiftright(hashed, 31), F.lit(1 << 20))).alias("f"),
     ).limit(2 * rows).toArrow()
     data, nobody = _unpacked(sample, {lang: i for i, lang in enumerate(languages)})
+    del sample
+    pa.default_memory_pool().release_unused()
     table, layer, bias = _descend([x for x in data + nobody if not x[3]], len(languages) + 1, seed)
     scores = (table @ layer).astype(np.float32)
     model = LanguageModel(languages, scores, bias, 1.0, 0.0)
@@ -186,16 +189,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def _unpacked(sample: pa.Table, known: dict[str, int]) -> tuple[list, list]:
-    """(bucket, count, label, aside) of the sampled texts and excerpts, as views of the Arrow buffers; and of the shuffled ones, whose label is one more than the last."""
+    """(bucket, count, label, aside) of the sampled texts and excerpts, as arrays of their own; and of the shuffled ones, whose label is one more than the last."""
     data, nobody, last = [], [], 1 + len(EXCERPTS)
     for batch in sample.to_batches():
         found = batch.column("f").flatten()
-        buckets, counts = found.field(0), found.field(1)
+        sizes, packed = found.field(0).to_pylist(), found.field(1)
         for i, (lang, aside) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("aside").to_pylist())):
             for j in range(last + 1):
                 at = (last + 1) * i + j
-                bucket, n = np.frombuffer(buckets[at].as_buffer(), np.uint16), np.frombuffer(counts[at].as_buffer(), np.uint32)
-                if len(bucket):
+                if sizes[at]:
+                    raw = zlib.decompress(packed[at].as_buffer())
+                    bucket, n = np.frombuffer(raw, np.uint16, sizes[at]), np.frombuffer(raw, np.uint32, offset=2 * sizes[at])
                     (data if j < last else nobody).append((bucket, n, known[lang] if j < last else len(known), aside))
     for found in (data, nobody):  # the order in which tasks end must not matter
         found.sort(key=lambda x: (x[2], len(x[0]), x[0].tobytes()))
