@@ -7,8 +7,8 @@ bounds the score from above. For each query, candidates are evaluated in the ord
 falls below the k-th best score; scores of a bounded sample give a first k-th score. Bounds have a margin for rounding and scores are
 integers, so the result is exact, ties included.
 
-Rows are gathered into slabs and queries into blocks; each slab meets each block of the stated query set in one task,
-which keeps k rows per query, and the slabs' rows are merged by rank.
+Rows are gathered into slabs where they lie and are not shuffled. The stated query set is sent to the tasks in waves of a bounded size; a task keeps k rows
+for each query of the wave, which raises the k-th score for its next slab, and the tasks' rows are merged by rank.
 
 Edge cases: vectors that are null, of another length than most, or hold null or non-finite components take no part; an id that
 is null takes no part; equal scores are ordered by the smaller id; repeated rows of one id are separate candidates, except the
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved, shuffle_width
+from skein.llm.common import saved
 
 SLAB_ROWS = 8192
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 1024  # queries that are scored against the sample together
+WAVE_BYTES = 32 << 20  # of query vectors that are sent together
 PIVOTS = 32
 SAMPLE_ROWS = 2048
 STEP = 256  # candidates evaluated together
@@ -99,35 +100,72 @@ def _kept(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def search_slab(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, pivots: np.ndarray, most: float, sample: np.ndarray, sample_ids: np.ndarray, k: int):
-    """For each query, its k best rows of the slab that can still be among its k best of all."""
-    q, table = np.hstack((queries.astype(np.float64), np.zeros((len(queries), 1)))), _distances(_lengthened(rows, most), pivots)
-    to_pivots = _distances(q, pivots)
-    square = (q * q).sum(axis=1)
-    first = queries @ sample.T
-    first[query_ids[:, None] == sample_ids[None]] = np.iinfo(np.int64).min
-    least = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(q), np.iinfo(np.int64).min)
-    for n in range(len(q)):
-        bound = np.zeros(len(rows))
-        for p in range(len(pivots)):
-            np.maximum(bound, np.abs(table[:, p] - to_pivots[n, p]), out=bound)
-        upper = (square[n] + most - bound * bound) / 2
-        upper += 1e-6 * (square[n] + most) + 1
-        order = np.flatnonzero((upper >= least[n]) & (row_ids != query_ids[n]))
-        order = order[np.argsort(-upper[order], kind="stable")]
-        best, best_ids, kth, at = np.empty(0, np.int64), np.empty(0, np.int64), least[n], 0
-        while at < len(order) and upper[order[at]] >= kth:
-            some = order[at : at + STEP]
-            at += STEP
-            scores = rows[some] @ queries[n]
-            good = scores >= kth
-            best, best_ids = _kept(np.concatenate((best, scores[good])), np.concatenate((best_ids, row_ids[some][good])), k)
-            if len(best) == k:
-                kth = max(kth, best[-1])
-        yield query_ids[n], best_ids, best
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Wave:
+    """Queries of a wave with their k best rows so far; `least` is the score that a row must reach."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, pivots: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int):
+        self.queries, self.ids, self.pivots, self.k = queries, ids, pivots, k
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)
+        self.square = np.empty(len(ids))
+        self.to_pivots = np.empty((len(ids), len(pivots)))
+        for at in range(0, len(ids), BLOCK_ROWS):
+            part = slice(at, at + BLOCK_ROWS)
+            q = np.hstack((queries[part].astype(np.float64), np.zeros((len(queries[part]), 1))))
+            self.square[part], self.to_pivots[part] = (q * q).sum(axis=1), _distances(q, pivots)
+            if len(sample) >= k:
+                first = queries[part] @ sample.T
+                first[ids[part][:, None] == sample_ids[None]] = np.iinfo(np.int64).min
+                self.least[part] = np.partition(first, -k, axis=1)[:, -k]
+
+    def search(self, rows: np.ndarray, row_ids: np.ndarray, most: float) -> None:
+        """Take the slab's rows that are among the k best of a query, in the order of their bounds."""
+        table = np.ascontiguousarray(_distances(_lengthened(rows, most), self.pivots).T)
+        for n in range(len(self.ids)):
+            bound = np.zeros(len(rows))
+            for p, distance in enumerate(table):
+                np.maximum(bound, np.abs(distance - self.to_pivots[n, p]), out=bound)
+            upper = (self.square[n] + most - bound * bound) / 2
+            upper += 1e-6 * (self.square[n] + most) + 1
+            order = np.flatnonzero((upper >= self.least[n]) & (row_ids != self.ids[n]))
+            order = order[np.argsort(-upper[order], kind="stable")]
+            (best, best_ids), at = self.found[n], 0
+            while at < len(order) and upper[order[at]] >= self.least[n]:
+                some = order[at : at + STEP]
+                at += STEP
+                scores = rows[some] @ self.queries[n]
+                good = scores >= self.least[n]
+                best, best_ids = _kept(np.concatenate((best, scores[good])), np.concatenate((best_ids, row_ids[some][good])), self.k)
+                if len(best) == self.k:
+                    self.least[n] = max(self.least[n], best[-1])
+            self.found[n] = best, best_ids
+
+    def result(self) -> pa.RecordBatch:
+        counts = [len(ids) for _, ids in self.found]
+        return pa.RecordBatch.from_pydict({"query": np.repeat(np.arange(len(counts)), counts), "query_id": np.repeat(self.ids, counts), "vec_id": np.concatenate([i for _, i in self.found]), "score": np.concatenate([s for s, _ in self.found])})
+
+
+def _search_wave(slabs: DataFrame, rows: pa.Table, dimension: int, fixed: tuple, most: float, k: int) -> DataFrame:
+    """Saved query_id, rank, vec_id, score for one wave of queries; repeated rows of one query id are separate queries."""
+    sent = slabs.sparkSession.sparkContext.broadcast((rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dimension), rows.column("id").to_numpy(), *fixed))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                wave = wave or Wave(*sent.value, k)
+                wave.search(np.frombuffer(row["vectors"], np.int64).reshape(row["n"], dimension), np.frombuffer(row["ids"], np.int64), most)
+        if wave:
+            yield wave.result()
+
+    found = slabs.mapInArrow(search, "query long, query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    best = saved(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    sent.destroy()
+    return best
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """query_id, rank, id, score: the k rows of `vectors` with the largest integer inner product, for every row of `queries`."""
     spark = vectors.sparkSession
     kind = "query_id long, rank int, vec_id long, score long"
@@ -149,34 +187,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     pivots = farthest_first(_lengthened(sample, most), PIVOTS)
     # repeated ids in the sample would count one candidate twice
     _, single = np.unique(sample_ids, return_index=True)
-    fixed = spark.sparkContext.broadcast((pivots, sample[single], sample_ids[single]))  # at most 2 * SAMPLE_ROWS vectors
-
-    blocks = saved(_packed(asked.coalesce(max(1, facts["n"] // (100 * BLOCK_ROWS))), BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()))
-    slabs = _packed(rows, SLAB_ROWS).select(F.col("n").alias("rows_n"), F.col("ids").alias("row_ids"), F.col("vectors").alias("rows"))
-    known = sorted(r[0] for r in blocks.select("block").collect())  # numbers of blocks, one per BLOCK_ROWS queries
-    if not known:
-        return spark.createDataFrame([], kind)
-    spread = shuffle_width(spark)
-    numbers = spark.createDataFrame(list(zip(known, range(len(known)))), "block long, number int")
-    blocks = blocks.join(F.broadcast(numbers), "block").drop("block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    dealt = slabs.withColumn("salt", F.pmod(F.crc32("row_ids"), F.lit(spread)).cast("int")).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(known) - 1))))
-    met = dealt.join(blocks, ["number", "salt"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, sample, sample_ids = fixed.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                unpack = lambda key, n: np.frombuffer(row[key], np.int64).reshape(n, -1)
-                found = list(search_slab(unpack("vectors", row["n"]), unpack("ids", row["n"])[:, 0], unpack("rows", row["rows_n"]), unpack("row_ids", row["rows_n"])[:, 0], pivots, most, sample, sample_ids, k))
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
-                    "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]),
-                })
-
-    best = saved(met.mapInArrow(search, "query_id long, vec_id long, score long"))
-    fixed.destroy()
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fixed = pivots, sample[single], sample_ids[single]  # at most 2 * SAMPLE_ROWS vectors
+
+    dimension = common["d"]
+    slabs = saved(_packed(rows, SLAB_ROWS))
+    asked = saved(asked.withColumn("number", F.monotonically_increasing_id()))
+    waves = -(-asked.count() * dimension * 8 // wave_bytes)
+    out = spark.createDataFrame([], kind)
+    for number in range(waves):
+        wave = asked.where(F.pmod(F.xxhash64("number"), F.lit(waves)) == number).select("id", "v").toArrow()  # of about wave_bytes
+        if wave.num_rows:
+            out = out.unionByName(_search_wave(slabs, wave, dimension, fixed, most, k))
+    return out
 
 
 def topk_query(embeddings: DataFrame) -> DataFrame:
