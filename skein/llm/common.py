@@ -59,15 +59,22 @@ def rows_with(df: DataFrame, names: list[str], **results: Column) -> DataFrame:
     return df.select(*[F.col(f"_row.`{c}`") for c in names if c not in results], *[c.alias(name) for name, c in results.items()])
 
 
-FILTER_BITS = 23  # of the positions in a bitmap of wanted keys, which is 2**FILTER_BITS bits at any input size
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 23, 30  # of the positions in a bitmap of wanted keys: one to 128 megabytes
+
+
+def filter_bits(keys: int) -> int:
+    """So many that a bitmap of `keys` keys has eight to sixteen positions a key, within the bounds."""
+    return min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, keys.bit_length() + 3))
 
 
 def perhaps(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     """Add `_perhaps`: false for rows whose key (a hash) is surely not in the one column of `wanted`.
 
-    The keys are folded into a bitmap of fixed size, so that what is broadcast does not grow with the input.
+    The keys are folded into a bitmap that is sized by their count, so that about one row in nine or fewer is let through in vain. It never has more than
+    2**MOST_FILTER_BITS positions, which bounds what is broadcast; above some 130 million keys more rows are let through in vain, and results stay exact.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
+    bits = filter_bits(wanted.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
     at = wanted.select(place(F.col(wanted.columns[0])).alias("at")).distinct()
     maps = saved(at.groupBy(F.expr("bitmap_bucket_number(at)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits")))
     byte = F.expr("cast(conv(hex(substring(_bits, bitmap_bit_position(_at) div 8 + 1, 1)), 16, 10) as int)")

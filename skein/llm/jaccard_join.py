@@ -35,6 +35,7 @@ from skein.llm.common import components, mixed, perhaps, row_hash, saved, word_h
 LEAST_BITS, MOST_BITS = 16, 22  # of the sketch's bucket numbers; it has about eight buckets a document, within these bounds
 _BLOCK_BITS = 15
 MOST_MATCHES = 8  # of shared prefix shingles that a document may ask for
+HOT_TEXTS, LEAST_PAIRS = 1000, 256  # texts that are asked for by more pairs than others, at most; pairs of a text that one key of the join holds, at least
 INDEX_COST, MEETING_COST, CANDIDATE_COST = 1.0, 1.0, 4.0  # of an index row, of a row that it meets in the join, of a candidate to verify
 
 
@@ -150,14 +151,31 @@ def _node(s: np.ndarray) -> int | None:
     return int(mixed(np.array([s.sum() ^ np.uint64(len(s)) ^ np.bitwise_xor.reduce(mixed(s))]))[0].astype(np.int64))
 
 
+def _hot_texts(named: DataFrame) -> DataFrame:
+    """Holders that more than an even share of the pairs ask for (centres of large groups), with the number of copies that are dealt out of their text; at most 2 * HOT_TEXTS rows."""
+    share = max(LEAST_PAIRS, named.count() // HOT_TEXTS)
+    asks = named.select(F.explode(F.array("holder_a", "holder_b")).alias("holder")).groupBy("holder").agg(F.count(F.lit(1)).alias("asks"))
+    return saved(asks.where(F.col("asks") > share).select("holder", F.ceil(F.col("asks") / share).cast("int").alias("copies")))
+
+
+def _dealt(named: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs with the copy (salt_a, salt_b) of either text that they are joined with: copy 0 but of hot texts."""
+    for n, other in ("a", "b"), ("b", "a"):
+        copies = F.broadcast(hot.select(F.col("holder").alias(f"holder_{n}"), "copies"))
+        named = named.join(copies, f"holder_{n}", "left").withColumn(f"salt_{n}", F.pmod(F.xxhash64(f"holder_{other}"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return named
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes by their whole sets: whether they link, and their distance (1 - similarity); texts, which are smaller than their sets, go to the pairs."""
     held = lambda n: holders.select(F.col("node").alias(n), F.col("holder").alias(f"holder_{n}"))
     named = saved(pairs.join(held("a"), "a").join(held("b"), "b"))
-    # Texts that nobody asks for are kept out of the shuffle.
+    hot = _hot_texts(named)
+    # Texts that nobody asks for are kept out of the shuffle; those that very many pairs ask for go to several keys.
     candidates = docs.select(row_hash(id_col, text_col).alias("holder"), F.col(text_col).alias("said")).where("said is not null")
     asked = perhaps(candidates, F.col("holder"), named.select(F.explode(F.array("holder_a", "holder_b")).alias("holder"))).where("_perhaps")
-    texts = asked.groupBy("holder").agg(F.first("said").alias("said"))
+    copied = asked.join(F.broadcast(hot), "holder", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    texts = copied.groupBy("holder", "salt").agg(F.first("said").alias("said"))
 
     @F.pandas_udf("known boolean, link boolean, distance double")
     def compared(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -170,18 +188,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, id_col: str
                 out.append((_node(s) == node_a and _node(t) == node_b, 100 * shared >= percent * union, 1 - shared / max(union, 1)))
         return pd.DataFrame(out, columns=["known", "link", "distance"])
 
-    side = lambda n: texts.select(F.col("holder").alias(f"holder_{n}"), F.col("said").alias(f"said_{n}"))
-    both = named.join(side("a"), "holder_a").join(side("b"), "holder_b")
+    side = lambda n: texts.select(F.col("holder").alias(f"holder_{n}"), F.col("salt").alias(f"salt_{n}"), F.col("said").alias(f"said_{n}"))
+    both = _dealt(named, hot).join(side("a"), ["holder_a", "salt_a"]).join(side("b"), ["holder_b", "salt_b"])
     seen = both.select("a", "b", compared("a", "b", "said_a", "said_b").alias("c"))
     return seen.where("c.known").select("a", "b", "c.link", "c.distance").distinct()
 
 
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of `docs`: id, holder (its row_hash), n (set size) and part, which the rows of a component have in common (null for empty sets)."""
-    docs = docs.select(id_col, text_col)
-    members = prefixes(docs, id_col, text_col, size, percent)
-    nodes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    holders = members.where("n > 0").groupBy("node").agg(F.min("holder").alias("holder"))
+def _common_items(nodes: DataFrame, percent: int) -> DataFrame:
+    """Saved rows of the index, one per node and prefix shingle that another node's prefix holds too: its place, how many such ones go before it, and the node that has the shingle earliest."""
     index = saved(nodes.select("node", "n", "matches", F.posexplode("prefix").alias("at", "item")))
     held = index.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min_by("node", "at").alias("first"), F.min_by("n", "at").alias("first_n"), F.min("at").alias("first_at")).where("holders > 1").drop("holders")
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
@@ -189,34 +203,36 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # The at - rank others before it are in no overlap with a node that has it in its prefix, as that prefix would hold them too. Of those
     # behind it nothing is known: a partner may have them beyond its own prefix.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
-    common = saved(index.join(held, "item").withColumn("rank", rank).where(F.col("at") - F.col("rank") <= spare))
+    return saved(index.join(held, "item").withColumn("rank", rank).where(F.col("at") - F.col("rank") <= spare))
 
-    # Round 1: each node with the one that holds most of its shingles earliest.
+
+def _first_partners(common: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Saved: (node, first, k), how many shingles a node shares with each node that has some of them earliest; and per node the one with most, as (node, pivot, a, b)."""
     overlap = _least_overlap(F.col("n"), F.col("first_n"), percent)
     hopeful = (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent) & (F.col("at") <= F.col("n") - overlap) & (F.col("first_at") <= F.col("first_n") - overlap)
     tally = saved(common.where("node <> first").where(hopeful).groupBy("node", "first").agg(F.count(F.lit(1)).alias("k")))
-    chosen = saved(tally.groupBy("node").agg(F.max_by("first", "k").alias("pivot")).select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-    measured = saved(_verified(chosen.select("a", "b").distinct(), docs, holders, id_col, text_col, size, percent))
-    linked = measured.where("link").select("a", "b")
-    merged = saved(components(linked))
+    return tally, saved(tally.groupBy("node").agg(F.max_by("first", "k").alias("pivot")).select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
 
-    # Once more, for nodes that did not link: with the centre (what most of its nodes have linked with) of the component they share most with.
-    compared = chosen.join(measured, ["a", "b"])
+
+def _second_partners(tally: DataFrame, compared: DataFrame, merged: DataFrame) -> DataFrame:
+    """Saved (node, pivot, a, b) for nodes that did not link: the centre (what most of its nodes have linked with) of the other component they share most with."""
     centres = compared.where("link").join(merged, "node").groupBy("component", "pivot").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max_by("pivot", "k").alias("centre"))
     part_of = lambda n: merged.select(F.col("node").alias(n), F.col("component").alias(f"{n}_component"))
     apart = tally.join(compared.where("not link").select("node", "pivot"), "node").join(part_of("node"), "node", "left").join(part_of("first"), "first", "left")
     shared = apart.withColumn("component", F.coalesce("first_component", "first")).where(F.col("component") != F.coalesce("node_component", "node")).groupBy("node", "pivot", "component").agg(F.sum("k").alias("k"))
     others = shared.join(centres, "component", "left").withColumn("centre", F.coalesce("centre", "component")).where("centre <> pivot").groupBy("node").agg(F.max_by("centre", "k").alias("pivot"))
-    again = saved(others.select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-    measured_again = saved(_verified(again.select("a", "b").distinct(), docs, holders, id_col, text_col, size, percent))
-    merged = saved(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(measured_again.where("link").select("a", "b"))))
-    # The distance is a metric: two nodes that were compared with the same one link only if their distances to it are alike.
+    return saved(others.select("node", "pivot", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+
+
+def _placed(chosen: DataFrame, compared: DataFrame) -> DataFrame:
+    """Saved (node, pivot, distance): how far a node is from the one it was compared with first. The distance is a metric: two nodes that were compared with the same one link only if their distances to it are alike."""
     pivots = chosen.select(F.col("pivot").alias("node")).distinct()
     own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))
-    placed = saved(own.unionByName(compared.select("node", "pivot", "distance").join(pivots, "node", "left_anti")))
-    placed_again = again.join(measured_again, ["a", "b"]).select("node", F.col("pivot").alias("other_pivot"), F.col("distance").alias("other_distance"))
+    return saved(own.unionByName(compared.select("node", "pivot", "distance").join(pivots, "node", "left_anti")))
 
-    # Round 2: shingles that several components share, between different components alone.
+
+def _pairs_between(common: DataFrame, merged: DataFrame, placed: DataFrame, placed_again: DataFrame, percent: int) -> DataFrame:
+    """Saved pairs (a, b) of nodes in different components that share as many shingles as they ask for, and that no bound tells apart."""
     rows = common.drop("first", "first_n", "first_at").join(merged, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").join(placed, "node", "left").join(placed_again, "node", "left")
     mixed_items = rows.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
     rows = saved(rows.join(mixed_items, "item"))
@@ -247,9 +263,32 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     met = meets.join(side("x_", "p"), ["item", "p"]).where(fits).join(side("y_", "q"), ["item", "q"]).where(near)
     # Which of two components is p may change from shingle to shingle, so a pair of nodes is counted in one order.
-    pairs = met.groupBy(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked")
-    more = _verified(saved(pairs.select("a", "b")), docs, holders, id_col, text_col, size, percent).where("link").select("a", "b")
-    groups = saved(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    return saved(met.groupBy(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).where("k >= asked").select("a", "b"))
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of `docs`: id, holder (its row_hash), n (set size) and part, which the rows of a component have in common (null for empty sets)."""
+    docs = docs.select(id_col, text_col)
+    members = prefixes(docs, id_col, text_col, size, percent)
+    nodes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    holders = members.where("n > 0").groupBy("node").agg(F.min("holder").alias("holder"))
+    common = _common_items(nodes, percent)
+    verified = lambda pairs: _verified(pairs, docs, holders, id_col, text_col, size, percent)
+    joined = lambda merged, links: saved(components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.where("link").select("a", "b"))))
+
+    # Round 1: each node with the one that holds most of its shingles earliest; nodes that did not link once more, with the centre of another component.
+    tally, chosen = _first_partners(common, percent)
+    measured = saved(verified(chosen.select("a", "b").distinct()))
+    merged = saved(components(measured.where("link").select("a", "b")))
+    compared = chosen.join(measured, ["a", "b"])
+    again = _second_partners(tally, compared, merged)
+    measured_again = saved(verified(again.select("a", "b").distinct()))
+    merged = joined(merged, measured_again)
+    placed_again = again.join(measured_again, ["a", "b"]).select("node", F.col("pivot").alias("other_pivot"), F.col("distance").alias("other_distance"))
+
+    # Round 2: shingles that several components share, between different components alone.
+    pairs = _pairs_between(common, merged, _placed(chosen, compared), placed_again, percent)
+    groups = joined(merged, verified(pairs))
 
     return members.select("id", "holder", "n", "node").join(groups, "node", "left").select("id", "holder", "n", F.coalesce("component", "node").alias("part"))
 

@@ -285,6 +285,31 @@ def test_top_k(spark):
     assert got == brute_top([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 10)
 
 
+def test_top_k_in_waves(spark):
+    """Queries in several waves of a few rows, repeated query ids and ties give the same rows as one wave, and vectors stay where they lie."""
+    r = random.Random(13)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.5]) for _ in range(4)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    asked = df.where("vec_id % 100 = 0")
+    got = topk.top_k(df, asked.unionByName(asked.where("vec_id = 300")), wave_bytes=128)
+    want = brute_top(rows, 10)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want + [w for w in want if w[0] == 300])
+
+
+def test_slabs_that_share_a_wave():
+    """A task's later slabs start from the k-th score of its earlier ones."""
+    r = np.random.default_rng(3)
+    vectors, ids = r.integers(-50, 50, (900, 5)), np.arange(900)
+    most = float((vectors.astype(float) ** 2).sum(axis=1).max())
+    pivots = topk.farthest_first(topk._lengthened(vectors[:200], most), 8)
+    wave = topk.Wave(vectors[:40], ids[:40], pivots, vectors[:3], ids[:3], 7)
+    for at in range(0, 900, 250):
+        wave.search(vectors[at : at + 250], ids[at : at + 250], most)
+    for n, (scores, found) in enumerate(wave.found):
+        every = sorted((-int(vectors[i] @ vectors[n]), i) for i in range(900) if i != n)[:7]
+        assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == every
+
+
 def test_top_k_edges(spark):
     kind = "vec_id long, embedding array<float>"
     assert topk.topk_query(spark.createDataFrame([], kind)).count() == 0
@@ -292,6 +317,58 @@ def test_top_k_edges(spark):
     assert [tuple(x) for x in topk.topk_query(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], kind)).collect()] == [(0, 1, 1, 1024 * 512)]
 
 
+def star(copies):
+    """One text and copies of it, each with a word of its own in another place."""
+    r = random.Random(31)
+    words = [f"w{r.randrange(500)}" for _ in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, copies + 1):
+        other = list(words)
+        other[r.randrange(len(words))] = f"own{i}"
+        rows.append((i, " ".join(other)))
+    return rows
+
+
+def test_near_groups_of_a_star(spark):
+    """A centre that 2,000 copies link with is sent to several keys, and all copies are in its group."""
+    rows = star(2000)
+    alone = [(i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(2001, 2021)]
+    docs = spark.createDataFrame(rows + alone, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_groups(docs).collect()}
+    assert got == {i: 0 for i, _ in rows} | {i: i for i, _ in alone}
+
+
+def test_hot_texts(spark, monkeypatch):
+    """Every pair meets one copy of each of its texts, whatever the number of copies; only texts above an even share have several."""
+    monkeypatch.setattr(jaccard_join, "LEAST_PAIRS", 8)
+    rows = star(100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = dict(enumerate(jaccard_join.shingle_sets([t for _, t in rows], 4)))
+    nodes = {i: jaccard_join._node(s) for i, s in sets.items()}
+    held = docs.select("doc_id", common.row_hash("doc_id", "text").alias("holder")).join(spark.createDataFrame(list(nodes.items()), "doc_id long, node long"), "doc_id")
+    chosen = [(0, i) for i in range(1, 101)] + [(i, 7) for i in range(8, 30)] + [(40, 41)]
+    pairs = spark.createDataFrame([(nodes[x], nodes[y]) for x, y in chosen], "a long, b long")
+    named = pairs.join(held.select(F.col("node").alias("a"), F.col("holder").alias("holder_a")), "a").join(held.select(F.col("node").alias("b"), F.col("holder").alias("holder_b")), "b")
+    copies = {r["holder"]: r["copies"] for r in jaccard_join._hot_texts(named).collect()}
+    of = {r["doc_id"]: r["holder"] for r in held.collect()}
+    assert copies == {of[0]: -(-100 // 8), of[7]: -(-23 // 8)}
+    got = {(r["a"], r["b"]): (r["link"], round(r["distance"], 9)) for r in jaccard_join._verified(pairs, docs, held, "doc_id", "text", 4, 85).collect()}
+    shared = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
+    union = lambda x, y: len(sets[x]) + len(sets[y]) - shared(x, y)
+    assert got == {(nodes[x], nodes[y]): (100 * shared(x, y) >= 85 * union(x, y), round(1 - shared(x, y) / union(x, y), 9)) for x, y in chosen}
+
+
+def test_bitmap_grows_with_its_keys(spark):
+    """No wanted key is missed, and few others pass, although there are half as many keys as the smallest bitmap has places."""
+    assert [common.filter_bits(n) for n in (0, 1 << 19, 1 << 21, 1 << 40)] == [common.LEAST_FILTER_BITS, 23, 25, common.MOST_FILTER_BITS]
+    many = 1 << 22
+    wanted = common.saved(spark.range(many).select(F.xxhash64("id").alias("key")))
+    rows = spark.range(many - 20_000, many + 100_000).select("id", F.xxhash64("id").alias("key"))
+    passed = common.perhaps(rows, F.col("key"), wanted).where("_perhaps").groupBy((F.col("id") < many).alias("wanted")).count()
+    counts = {r["wanted"]: r["count"] for r in passed.collect()}
+    assert counts[True] == 20_000 and counts[False] < 15_000
+
+
 def by_hand(rows, size=5, percent=80):
     """The near-duplicate stage by brute force: of each group the row with the smallest id, null ids last."""
     texts = [(i, r["text"]) for i, r in enumerate(rows)]
