@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import jaccard_join, language_id, packing, pii, quality
-from skein.llm.common import beside, bounded_batches, row_hash, saved
+from skein.llm.common import beside, bounded_batches, perhaps, row_hash, saved
 
 SURROGATE_KEY = "skein-surrogates"
 
@@ -44,14 +44,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     kinds = saved(rows.groupBy("part", "id", "holder").agg(F.count(F.lit(1)).alias("n")))
     rank = F.struct(F.col("id").isNull(), "id", "holder")
     first = kinds.groupBy("part").agg(F.min_by("holder", rank).alias("first"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    gone = kinds.join(first, "part").where("holder <> first").select("holder")
-    held = beside(docs, _holder=row_hash("doc_id", "text"))
-    kept = held.join(gone.withColumnRenamed("holder", "_holder"), "_holder", "left_anti")
-    repeated = saved(kinds.where("n > 1").select(F.col("holder").alias("_holder")))
-    if repeated.isEmpty():
-        return kept.select("_row.*")
-    once = kept.join(repeated, "_holder", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_holder").orderBy(F.xxhash64("_row")))).where("_k = 1")
-    return kept.join(repeated, "_holder", "left_anti").select("_row.*").unionByName(once.select("_row.*"))
+    gone = saved(kinds.join(first, "part").where("holder <> first").select("holder"))
+    repeated = kinds.where("n > 1").select("holder")
+    # Only rows that may be a copy are shuffled; rows without words have no part and all stay.
+    held = beside(docs, _holder=row_hash("doc_id", "text"), _words=F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    marked = perhaps(held, F.col("_holder"), saved(gone.unionByName(repeated)))
+    doubtful = F.col("_perhaps") & F.col("_words")
+    once = marked.where(doubtful).groupBy("_holder").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    kept = once.join(gone.withColumnRenamed("holder", "_holder").hint("shuffle_merge"), "_holder", "left_anti")
+    return marked.where(~doubtful).select("_row.*").unionByName(kept.select("_row.*"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
