@@ -39,6 +39,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Bound the Arrow batches of this session's jobs in rows and bytes, so that a Python worker's memory does not go by what a partition holds; a smaller number of rows stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class SnapshotTable:
     """A Parquet table under `root`: snapshots in folders of their own; the pointer with the highest number names the current one.
 

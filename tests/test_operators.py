@@ -364,3 +364,23 @@ def test_rollup_and_spans_of_a_stream_that_comes_in_parts(spark, tmp_path):
     spark.createDataFrame([(1, 1, "finish", 8, "SUCCESS", None), (1, 2, "start", 7, None, None)], kind).coalesce(1).write.mode("append").parquet(path)
     later = streams.span_stream(spark, path, lambda df: df, error_chars=3, root=root).orderBy("node_id").collect()
     assert [(r["status"], r["start_time"], r["end_time"]) for r in later] == [("SUCCESS", 5, 8), ("ERROR", 7, 9)]
+
+
+def test_questions_are_not_repeated_for_their_lists(spark, monkeypatch):
+    """Approximate search writes and shuffles rows and questions once, however many lists a question looks into, and waves and long lists change nothing."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in (r.normal(size=8) if i % 3 else np.ones(8))]) for i in range(900)], "vec_id long, v array<double>")
+    asked = rows.where("vec_id % 20 = 0")
+    exact = [tuple(x) for x in vectors.top_k(rows, asked, 10).orderBy("query_id", "pos").collect()]
+    written, keep = [], vectors.saved
+    monkeypatch.setattr(vectors, "saved", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(vectors, "SLAB_ROWS", 50)
+    for kw in ({}, {"wave_bytes": 1000}):
+        found = [tuple(x) for x in vectors.approximate_top_k(rows, asked, 10, lists=30, probes=30, **kw).orderBy("query_id", "pos").collect()]
+        assert found == exact
+    held = sum(w.count() if "n" not in w.columns else w.agg({"n": "sum"}).first()[0] for w in written)
+    assert held == 2 * (900 + 45)
+    lone = rows.where("vec_id = 0")
+    assert vectors.approximate_top_k(lone, lone, 3).count() == vectors.approximate_top_k(rows.limit(0), asked, 3).count() == vectors.approximate_top_k(rows, asked.limit(0), 3).count() == 0
