@@ -3,8 +3,8 @@
 A unit vector is its nearest coarse centre and a residual; the residual's sub-vectors are each replaced by the number of the nearest entry of that part's codebook. Centres and codebooks are learned
 by k-means on a sample of at most about SAMPLE_ROWS rows; every row is encoded. For a question, the products with the centres and all codebook entries are tables, and a row's score is a
 sum of look-ups. The best rows by that sum are scored exactly from their vectors. How long the short list must be for a wanted recall is measured on the
-sample and grows with the rows. Questions are sent to the tasks in waves of a bounded size; each task keeps its best rows of a question over all its slabs, and no vector is shuffled
-while the pairs of the short list are few enough to be sent.
+sample and grows with the rows. Questions are sent to the tasks in waves of a bounded size; a task makes the short lists of its own rows, scores them at once and keeps k rows of a question, so
+no vector and no short list is shuffled, and a task's memory does not grow with the list.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import vectors as v
-from skein.sources.snapshots import saved, spread
+from skein.sources.snapshots import bounded_batches, saved, spread
 
 SAMPLE_ROWS = 8_000
 SUBSPACES = 16
 ENTRIES = 256  # of a codebook, so that a number is a byte
-SLAB_ROWS = 8192
+SLAB_ROWS = 8192  # that are encoded together
+LOOK_ROWS = 1 << 16  # that are looked through together
 WAVE_BYTES = 8 << 20
 
 
@@ -97,46 +98,40 @@ def short_list(books: Codebooks, sample: np.ndarray, rows: int, k: int, recall:
     return min(rows, int(np.ceil(at * max(1.0, rows / len(sample)))) * (2 if len(sample) < 2 * ENTRIES else 1))
 
 
-def encoded(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """Slabs of (n, ids, centres, codes) of unit vectors (id, v), where they lie."""
-    sent = rows.sparkSession.sparkContext.broadcast(books)
+def _likeliest(rows: DataFrame, books: Codebooks, asked: tuple[np.ndarray, np.ndarray], size: int, k: int, digits: int) -> DataFrame:
+    """query_id, chunk_id, score: of each task the k best of unit vectors (id, v), where they lie, for every question; of each LOOK_ROWS rows the `size` likeliest are scored exactly.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLAB_ROWS):
-                part = batch.slice(at, SLAB_ROWS)
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                centre, codes = sent.value.encoded(x)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int32()), "ids": [ids.tobytes()], "centres": [centre.tobytes()], "codes": [codes.tobytes()]})
-
-    return rows.mapInArrow(encode, "n int, ids binary, centres binary, codes binary")
-
-
-def _estimated(slabs: DataFrame, books: Codebooks, asked: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """query_id, chunk_id, estimate: of each task the `size` likeliest rows of every question."""
-    sent = slabs.sparkSession.sparkContext.broadcast((books, asked))
+    So whatever is among a question's `size` likeliest rows of all is scored, and nothing is held for a question but its k best.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((books, asked))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, (ids, q) = sent.value
-        tables = [books.tables(x) for x in q]
-        best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+        books, (asked_ids, q) = sent.value
+        best = v.Best(asked_ids, k, digits)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def score() -> None:
+            ids, x = (np.concatenate(c) for c in zip(*held))
+            coded = [books.encoded(x[at : at + SLAB_ROWS]) for at in range(0, len(x), SLAB_ROWS)]
+            centre, codes = np.concatenate([c for c, _ in coded]), np.concatenate([c for _, c in coded], axis=1)
+            for i, one in enumerate(q):
+                found, own = ids, x
+                if len(ids) > size:
+                    likely = np.argpartition(-looked_up(books.tables(one), centre, codes), size - 1)[:size]
+                    found, own = ids[likely], x[likely]
+                best.add_one(i, own @ one, found)
+            held.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
-                rows, centre = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["centres"], np.uint16)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, row["n"])
-                for i, own in enumerate(tables):
-                    estimate = looked_up(own, centre, codes)
-                    known = best[i]
-                    keep = np.flatnonzero((rows != ids[i]) & (estimate >= (known[1].min() if len(known[1]) == size else -np.inf)))
-                    found, scores = np.concatenate((known[0], rows[keep])), np.concatenate((known[1], estimate[keep]))
-                    if len(scores) > size:
-                        first = np.argpartition(-scores, size - 1)[:size]
-                        found, scores = found[first], scores[first]
-                    best[i] = found, scores
-        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, [len(f) for f, _ in best]), "chunk_id": np.concatenate([f for f, _ in best]), "estimate": np.concatenate([s for _, s in best])})
-
-    return slabs.mapInArrow(look, "query_id long, chunk_id long, estimate double")
+            if batch.num_rows:
+                held.append((batch.column("id").to_numpy(zero_copy_only=False), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)))
+            if sum(len(ids) for ids, _ in held) >= LOOK_ROWS:
+                score()
+        if held:
+            score()
+        yield best.batch()
+
+    return rows.mapInArrow(look, "query_id long, chunk_id long, score double")
 
 
 def quantised_top_k(rows: DataFrame, questions: DataFrame, k: int, recall: float = 0.95, id_col: str = "vec_id", size: int | None = None, digits: int = 6, wave_bytes: int = WAVE_BYTES) -> DataFrame:
@@ -145,9 +140,10 @@ def quantised_top_k(rows: DataFrame, questions: DataFrame, k: int, recall: float
     `size`, the length of the short list, is measured if it is not given. Null vectors take no part; all others have one length. With fewer rows than k all are returned.
     """
     spark = rows.sparkSession
+    bounded_batches(spark)
     empty = spark.createDataFrame([], "query_id long, chunk_id long, score double, pos int")
     unit = lambda df: v.normalized(df.select(F.col(id_col).cast("long").alias("id"), "v").where("v is not null and id is not null"))
-    known, asked = unit(rows), saved(unit(questions).withColumn("number", F.monotonically_increasing_id()))
+    known, asked = unit(rows), saved(unit(questions).dropDuplicates(["id"]))
     n = known.count()
     facts = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not n or not facts["n"]:
@@ -155,22 +151,12 @@ def quantised_top_k(rows: DataFrame, questions: DataFrame, k: int, recall: float
     sample = v.centroids(known, 1, SAMPLE_ROWS, 0, "id")[1]
     books = learned(sample)
     size = max(k, size or short_list(books, sample, n, k, recall))
-    slabs = saved(encoded(spread(known), books))
-    waves = -(-facts["n"] * facts["d"] * 8 // wave_bytes)
-    parts = []
+    lying = spread(known)
+    waves = max(1, -(-facts["n"] * facts["d"] * 8 // wave_bytes))
+    hits = empty.drop("pos")
     for wave in range(waves):
-        own = asked.where(F.pmod(F.xxhash64("number"), F.lit(waves)) == wave).select("id", "v").toArrow()  # of about wave_bytes
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).select("id", "v").toArrow()  # of about wave_bytes
         if own.num_rows:
             q = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
-            parts.append(_estimated(slabs, books, (own.column("id").to_numpy(), q), size))
-    likely = parts[0]
-    for p in parts[1:]:
-        likely = likely.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "chunk_id")
-    short = saved(likely.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= size).select("query_id", "chunk_id").distinct())
-    few = lambda df, bytes_each, count: F.broadcast(df) if bytes_each * count <= v.BROADCAST_BYTES else df
-    pairs = known.join(few(short, 48, short.count()), F.col("id") == F.col("chunk_id")).select("query_id", "chunk_id", F.col("v").alias("x"))
-    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
-    met = pairs.join(few(asked, 8 * facts["d"] + 48, facts["n"]), "query_id")
-    score = F.round(F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), digits)
-    return v.ranked(met.select("query_id", "chunk_id", score.alias("score")), k)
+            hits = hits.unionByName(_likeliest(lying, books, (own.column("id").to_numpy(), q), size, k, digits))
+    return v.ranked(hits, k)

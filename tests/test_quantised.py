@@ -55,3 +55,21 @@ def test_odd_rows(spark):
     assert [(g[1], g[2]) for g in got] == [(4, 0.707107), (4, 0.707107), (2, 0.0)]
     assert quantised.quantised_top_k(rows.limit(0), rows, 3).count() == quantised.quantised_top_k(rows, rows.limit(0), 3).count() == 0
     assert quantised.quantised_top_k(rows.where(F.col("vec_id") == 1), rows.where("vec_id = 1"), 3).count() == 0
+
+
+def test_a_long_short_list_is_not_held(spark, monkeypatch):
+    """However long the short list, a task gives k rows of a question, and looks through its rows part by part."""
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(600)], "vec_id long, v array<double>").repartition(3)
+    asked = rows.where("vec_id % 20 = 0")
+    exact = [tuple(x) for x in vectors.top_k(rows, asked, 4).orderBy("query_id", "pos").collect()]
+    monkeypatch.setattr(quantised, "LOOK_ROWS", 70)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    handed, keep = [], vectors.ranked
+    monkeypatch.setattr(vectors, "ranked", lambda hits, *a: handed.append(hits.count()) or keep(hits, *a))
+    try:
+        found = [tuple(x) for x in quantised.quantised_top_k(rows, asked, 4, size=300).orderBy("query_id", "pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == exact
+    assert handed and handed[-1] <= 30 * 4 * max(4, rows.rdd.getNumPartitions())
