@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.snapshots import bounded_batches
+
 # Marks that end a sentence.
 CJK_ENDS = "。！？"
 LATIN_ENDS = ".!?"
@@ -202,7 +204,8 @@ CHUNKERS = {"fixed": lambda t, **o: fixed_size(repaired(t), **o), "structure": s
 
 
 def chunked(docs: DataFrame, strategy: str, text_col: str = "text", **options: int) -> DataFrame:
-    """One row per chunk (idx, start, end, content) by a named strategy; texts are handled in Arrow batches."""
+    """One row per chunk (idx, start, end, content) by a named strategy; texts are handled in Arrow batches of a bounded size."""
+    bounded_batches(docs.sparkSession)
     split = CHUNKERS[strategy]
 
     @F.pandas_udf(CHUNK_TYPE)
