@@ -384,3 +384,26 @@ def test_questions_are_not_repeated_for_their_lists(spark, monkeypatch):
     assert held == 2 * (900 + 45)
     lone = rows.where("vec_id = 0")
     assert vectors.approximate_top_k(lone, lone, 3).count() == vectors.approximate_top_k(rows.limit(0), asked, 3).count() == vectors.approximate_top_k(rows, asked.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("step", ["chunked", "held", "replaced", "extracted", "nearest"])
+def test_python_workers_get_bounded_batches(spark, step):
+    """A worker holds at most 2,000 rows and 8 MB of a partition at a time; a smaller bound stays."""
+    from skein.operators import hypergraph, terms
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, v array<double>")
+    steps = {
+        "chunked": lambda: chunking.chunked(docs, "paragraph"), "held": lambda: terms.held(F.col("text"), ["a"]), "replaced": lambda: terms.replaced(F.col("text"), [("a", "b")]),
+        "extracted": lambda: hypergraph.extract_entities(docs, "text", ["b"], ["a"]), "nearest": lambda: vectors.top_k(rows, rows, 1),
+    }
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for before, after in (("10000", "2000"), ("11", "11")):
+        for name, value in zip(names, (before, "64m")):
+            spark.conf.set(name, value)
+        try:
+            steps[step]()
+            assert [spark.conf.get(name) for name in names][0] == after and spark.conf.get(names[1]) == "8m"
+        finally:
+            for name in names:
+                spark.conf.unset(name)
