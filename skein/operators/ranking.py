@@ -1,6 +1,6 @@
 """Ranked text retrieval: an inverted index in blocks, and the best k documents of each question by BM25 or by the number of shared words.
 
-A block is the index of the documents of one batch, built where they lie: its words with their postings (document, occurrences), the documents' lengths, and for each word the
+A block is the index of documents of a bounded number of words, built where they lie: its words with their postings (document, occurrences), the documents' lengths, and for each word the
 most occurrences and the least length, which bound what the word can add to a score. Questions are sent to the tasks in waves of a bounded size. In a block a question is passed
 over if its words' bounds do not reach the k-th best score so far; else words are added from the largest bound down, and once the words left cannot lift a new document
 among the best k, they are looked up for the documents found already only. So lists of frequent words are hardly read, no posting is shuffled, and each task gives k rows per question.
@@ -19,10 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.sources.snapshots import saved, spread
+from skein.sources.snapshots import bounded_batches, saved, spread
 
 K1, B = 1.2, 0.75  # of BM25
 WAVE_WORDS = 1 << 20  # of the questions that are sent to the tasks together
+BLOCK_WORDS = 1 << 20  # of a block: fewer would make more blocks for each question to look into
 CLOSE = 1e-6  # what rounding may change
 
 
@@ -36,9 +37,7 @@ def inverted(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
     """The index of documents in blocks, one row each; `found` is a document's array of words. Of `docs` only the columns needed should be given."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _parts(batches):
             lists = batch.column("words")
             n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
             coded = lists.flatten().dictionary_encode()
@@ -56,10 +55,40 @@ def inverted(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
                 names=["n", "n_words", "ids", "lengths", "words", "starts", "docs", "tf", "most", "least"],
             )
 
+    bounded_batches(docs.sparkSession)
     rows = spread(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _listed(found).alias("words"))
     return rows.mapInArrow(build, "n int, n_words long, ids binary, lengths binary, words array<string>, starts binary, docs binary, tf binary, most binary, least binary")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches cut anew, so that each but the last is filled up to BLOCK_WORDS words, or is one longer document."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        upto = np.append(0, np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(upto, upto[start] + BLOCK_WORDS - n, "right")) - 1
+            if stop <= start and held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+                continue
+            stop = max(stop, start + 1)
+            held.append(batch.slice(start, stop - start))
+            n += int(upto[stop] - upto[start])
+            start = stop
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of an index one by one, their values left in Arrow's memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cells = {name: batch.column(name)[i] for name in batch.schema.names}
+            yield {name: x.values if name == "words" else x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for name, x in cells.items()}
+
+
 def _listed(found: Column) -> Column:
     """No words for a null, and no null among words."""
     return F.coalesce(F.array_compact(found), F.array().cast("array<string>"))
@@ -71,7 +100,7 @@ class _Block:
     def __init__(self, row: dict, asked: pa.Array):
         read = lambda c, kind=np.int32: np.frombuffer(row[c], kind)
         self.ids, self.lengths, self.starts, self.docs, self.tf, self.most, self.least = read("ids", np.int64), *(read(c) for c in ("lengths", "starts", "docs", "tf", "most", "least"))
-        at = pc.index_in(asked, pa.array(row["words"], pa.string()))
+        at = pc.index_in(asked, row["words"] if isinstance(row["words"], pa.Array) else pa.array(row["words"], pa.string()))
         self.at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
 
     def postings(self, word: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +176,15 @@ def search(index: DataFrame, questions: DataFrame, k: int, id_col: str, found: C
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             words, per_question, ids, weight = sent.value
             best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
-            for batch in batches:
-                for row in batch.to_pylist():
-                    block = _Block(row, words)
-                    for i, question in enumerate(per_question):
-                        doc, score = best[i]
-                        new, new_score, _ = best_of_block(block, question, weight, mean, k, score[-1] if len(score) == k else 0.0)
-                        if len(new):
-                            doc, score = np.concatenate((doc, new)), np.concatenate((score, new_score))
-                            first = np.lexsort((doc, -score))[:k]
-                            best[i] = doc[first], score[first]
+            for row in _blocks(batches):
+                block = _Block(row, words)
+                for i, question in enumerate(per_question):
+                    doc, score = best[i]
+                    new, new_score, _ = best_of_block(block, question, weight, mean, k, score[-1] if len(score) == k else 0.0)
+                    if len(new):
+                        doc, score = np.concatenate((doc, new)), np.concatenate((score, new_score))
+                        first = np.lexsort((doc, -score))[:k]
+                        best[i] = doc[first], score[first]
             yield pa.RecordBatch.from_pydict({"question": np.repeat(np.arange(len(ids)), [len(d) for d, _ in best]), id_col: np.repeat(ids, [len(d) for d, _ in best]), "doc_id": np.concatenate([d for d, _ in best] or [ids]), "score": np.concatenate([s for _, s in best] or [np.empty(0)])})
 
         held = index.mapInArrow(look, f"question long, {id_col} long, doc_id long, score double")
@@ -171,11 +199,10 @@ def _rarity(index: DataFrame, words: pa.Array, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row, sent.value)
-                here = np.flatnonzero(block.at >= 0)
-                total[here] += block.starts[block.at[here] + 1] - block.starts[block.at[here]]
+        for row in _blocks(batches):
+            block = _Block(row, sent.value)
+            here = np.flatnonzero(block.at >= 0)
+            total[here] += block.starts[block.at[here] + 1] - block.starts[block.at[here]]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"word": at, "df": total[at]})
 

@@ -84,3 +84,16 @@ def test_null_ids_and_nothing(spark):
     golden = spark.createDataFrame([(1, "Something Longish")], "item_id long, golden string")
     held = spark.createDataFrame([(9, "something else longish"), (8, "something")], "doc_id long, text string")
     assert [tuple(r) for r in evaluate.rank_by_shared_words(golden, held, 3).orderBy("rank").collect()] == [(1, 9, 2, 1), (1, 8, 1, 2)]
+
+
+def test_blocks_are_bounded_in_words(spark, monkeypatch):
+    """A partition of many or long texts becomes several blocks, with the same result."""
+    docs, items = texts(6, 2500) + [(9000, ["long"] * 500)], [(i, w[:9]) for i, w in texts(2, 20)] + [(77, ["long"])]
+    expected = brute(docs, items, 5)
+    assert run(spark, docs, items, 5, parts=1) == expected
+    batch = pa.RecordBatch.from_pydict({"words": [["a"] * 3, [], ["a"] * 300, ["b"] * 2, ["c"] * 2, []]})
+    monkeypatch.setattr(ranking, "BLOCK_WORDS", 5)
+    assert [len(b) for b in ranking._parts(iter([batch, batch.slice(0, 0)]))] == [2, 1, 3]
+    parts = list(ranking._parts(iter([batch])))
+    assert [len(b) for b in ranking._parts(iter([batch.slice(0, 1), batch.slice(3, 1), batch.slice(1, 1), batch.slice(4)]))] == [3, 2]
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
