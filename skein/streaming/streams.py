@@ -6,13 +6,12 @@ With a `root` of its own a job can be stopped and run again: progress and state
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skein.operators import distinct, memory
 from skein.sources.snapshots import shared_folder
@@ -84,6 +83,11 @@ class ChangeTable:
             fs, where = self._path(f"{kind}/{n}")
             fs.delete(where, True)
 
+    def newest(self, column: str, schema: T.StructType):  # noqa: ANN201
+        """The greatest value of a column in all changes."""
+        rows = self._rows(schema)
+        return None if rows is None else rows.agg(F.max(column)).first()[0]
+
     def read(self, empty: DataFrame) -> DataFrame:
         rows = self._rows(empty.schema)
         return empty if rows is None else self.fold(rows)
@@ -196,72 +200,52 @@ def _timed(column: Column, kind: T.DataType) -> Column:
     return F.timestamp_micros(column) if isinstance(kind, T.TimestampType) else column.cast(kind)
 
 
-class _OpenSpans(StatefulProcessor):
-    """One value per span: what its events have said so far. With a timeout, an event-time timer marks a span that has not ended as failed."""
-
-    def __init__(self, error_chars: int, timeout_ms: int | None):
-        self.error_chars, self.timeout_ms = error_chars, timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.span = handle.getValueState("span", "start long, end long, status string, error string, failed boolean, changes long, timer long")
-
-    def _row(self, key: tuple, v: list) -> Row:
-        start, end, status, error, failed, changes, _ = v
-        return Row(trace_id=key[0], node_id=key[1], start=start, end=end, error=error, status=status or ("FAILED" if failed else "RUNNING"), changes=changes)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803, ANN001
-        old = list(self.span.get()) if self.span.exists() else [None, None, None, None, False, 0, None]
-        start, end, status, error, failed, changes, timer = old
-        most = lambda a, b: a if b is None else b if a is None else max(a, b)
-        for r in rows:
-            if r.phase == "start" and r.at is not None:
-                start = r.at if start is None else min(start, r.at)
-            elif r.phase == "finish":
-                end, status, error = most(end, r.at), most(status, r.status), most(error, r.error)
-        error = error[: self.error_chars] if error is not None else None
-        if self.timeout_ms is not None:
-            wanted = None if status is not None or start is None or failed else start // 1000 + self.timeout_ms + 1
-            if wanted != timer:
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-                if wanted is not None:
-                    self.handle.registerTimer(wanted)
-                timer = wanted
-        if [start, end, status, error] != old[:4] or not changes:
-            new = [start, end, status, error, failed, changes + 1, timer]
-            self.span.update(tuple(new))
-            yield self._row(key, new)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803, ANN001
-        start, end, status, error, _, changes, _ = self.span.get()
-        new = [start, end, status, error, True, changes + 1, None]
-        self.span.update(tuple(new))
-        yield self._row(key, new)
-
-    def close(self) -> None:
-        pass
+SPAN = ("trace_id", "node_id")
+
+
+def _folded(parts: DataFrame) -> DataFrame:
+    """What parts of spans, or single events, say of each span; however they are put together, the result is one."""
+    return parts.groupBy(*SPAN).agg(F.min("start").alias("start"), *[F.max(c).alias(c) for c in ("end", "error", "status", "newest")])
+
+
+def _changed(parts: DataFrame) -> DataFrame:
+    """From a stream of events: each span that a batch changes, as all its events so far say, one row per span being kept in state.
+
+    A value is kept with the time of the batch that first brought it, so a span has changed if one of its times is that of the batch.
+    """
+    clock, now = F.unix_micros(F.current_timestamp()), F.col("_now")
+    at = lambda c, since: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), since.alias("since")))
+    least, most = ("start",), ("end", "error", "status")
+    held = parts.withColumn("_now", clock).groupBy(*SPAN).agg(F.min(now).alias("_first"), *[F.min(at(c, now)).alias(c) for c in least], *[F.max(at(c, -now)).alias(c) for c in most])
+    last = F.greatest("_first", *[F.col(f"{c}.since") for c in least], *[-F.col(f"{c}.since") for c in most])
+    return held.where(last == clock).select(*SPAN, *[F.col(f"{c}.value").alias(c) for c in least + most], F.lit(None).cast("long").alias("newest"))
 
 
 def span_stream(spark: SparkSession, path: str, events: Callable[[DataFrame], DataFrame], error_chars: int = 1000, root: str | None = None, timeout: timedelta | None = None, late: timedelta = timedelta(minutes=10)) -> DataFrame:
     """Spans folded from a stream of start and finish events, in whatever order they come; one without a finish yet is RUNNING.
 
-    Each span has a value of keyed state, and a batch writes only the spans that it changes: a repeated event writes nothing. With a `timeout` (ten minutes at least), events need a
+    Each span is a row of keyed state, and a batch writes only the spans that it changes: a repeated event writes nothing. With a `timeout` (ten minutes at least), events need a
     time stamp; a span that started more than `timeout` before the watermark, which is `late` behind the newest event, and has not ended is FAILED until a finish comes. Events behind the watermark
-    are dropped. The rows are those of spans(), and with a timeout of spans() and stuck() at the watermark.
+    are dropped, and state holds the events after it, to know repeated ones. The rows are those of spans(), and with a timeout of spans() and stuck() at the watermark.
     """
     log = events(file_stream(spark, path))
-    kinds = {f.name: f.dataType for f in log.schema}
-    rows = log.select("trace_id", "node_id", "phase", _whole(F.col("at"), kinds["at"]).alias("at"), "status", "error")
-    if timeout is not None:
-        rows = rows.withColumn("_at", F.timestamp_micros("at")).withWatermark("_at", f"{int(late.total_seconds() * 1000)} milliseconds")
-        timeout = max(timeout, timedelta(minutes=10))
-    key = ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("trace_id", "node_id"))
-    folder = _OpenSpans(error_chars, None if timeout is None else int(timeout.total_seconds() * 1000))
-    changed = rows.groupBy("trace_id", "node_id").transformWithState(folder, f"{key}, start long, end long, error string, status string, changes long", "update", "none" if timeout is None else "eventTime")
+    kind = log.schema["at"].dataType
+    at, finish = _whole(F.col("at"), kind), F.col("phase") == "finish"
+    parts = log.select(
+        *SPAN, F.when(F.col("phase") == "start", at).alias("start"), F.when(finish, at).alias("end"), F.when(finish, F.substring("error", 1, error_chars)).alias("error"),
+        F.when(finish, F.col("status")).alias("status"), (at if timeout is not None else F.lit(None).cast("long")).alias("newest"),
+    )
     root = _root(spark, root)
-    last = lambda df: df.groupBy("trace_id", "node_id").agg(F.max_by(F.struct("start", "end", "error", "status", "changes"), "changes").alias("s")).select("trace_id", "node_id", "s.*")
-    state = ChangeTable(spark, root, last)
-    run_to_end(changed, lambda rows, n: state.step(last(rows), n), root, mode="update")
-    found = state.read(spark.createDataFrame([], changed.schema))
-    return found.select("trace_id", "node_id", _timed(F.col("start"), kinds["at"]).alias("start_time"), _timed(F.col("end"), kinds["at"]).alias("end_time"), "error", "status")
+    state = ChangeTable(spark, root, _folded)
+    failed = F.lit(False)
+    if timeout is None:
+        run_to_end(_changed(parts), state.step, root, mode="update")
+    else:
+        fresh = parts.withColumn("_at", F.timestamp_micros("newest")).withWatermark("_at", f"{int(late.total_seconds() * 1000)} milliseconds").dropDuplicates()
+        run_to_end(fresh.drop("_at"), lambda rows, n: state.step(_folded(rows), n), root)
+        newest = state.newest("newest", parts.schema)
+        if newest is not None:
+            failed = F.col("start") < newest - (late + max(timeout, timedelta(minutes=10))) // timedelta(microseconds=1)
+    status = F.coalesce("status", F.when(failed, "FAILED").otherwise("RUNNING"))
+    found = state.read(spark.createDataFrame([], parts.schema))
+    return found.select(*SPAN, _timed(F.col("start"), kind).alias("start_time"), _timed(F.col("end"), kind).alias("end_time"), "error", status.alias("status"))

@@ -97,6 +97,25 @@ def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
     assert set(p.spans(**wait)) == {(1, 1), (3, 3)}
 
 
+def test_timeouts_hold_to_the_microsecond(spark, tmp_path):
+    p = Parts(spark, tmp_path, SPAN)
+    at = lambda n, us: minute(n) + timedelta(microseconds=us)
+    p.add([(1, n, "start", at(0, us), None, None) for n, us in ((1, 399), (2, 400), (3, 401))] + [(2, 1, "start", at(40, 400), None, None)])
+    got = p.spans(timeout=timedelta(minutes=30), late=timedelta(minutes=10))
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): "FAILED", (1, 2): "RUNNING", (1, 3): "RUNNING", (2, 1): "RUNNING"}
+
+
+@pytest.mark.parametrize("wait", [None, timedelta(minutes=30)])
+def test_spans_need_no_python_for_each_key(spark, tmp_path, monkeypatch, wait):
+    """Calls of Python for each span took 0.1 ms and more of every core's time."""
+    plans, run = [], streams.run_to_end
+    monkeypatch.setattr(streams, "run_to_end", lambda stream, *a, **b: plans.append(stream._jdf.queryExecution().analyzed().toString()) or run(stream, *a, **b))
+    p = Parts(spark, tmp_path, SPAN)
+    p.add([(1, 1, "start", minute(0), None, None), (1, 1, "start", minute(0), None, None), (1, 1, "finish", minute(1), "SUCCESS", None)])
+    assert p.spans(timeout=wait) == {(1, 1): ("SUCCESS", minute(0), minute(1), None)} == p.spans(timeout=wait)
+    assert plans and not any(x in plan for plan in plans for x in ("TransformWithState", "Python", "Pandas"))
+
+
 VOTE = "message_id long, user_id long, vote int, submit_time timestamp, event_id long"
 SAID = "message_id long, user_id long, role string, create_time timestamp"
 
