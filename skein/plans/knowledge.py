@@ -484,7 +484,8 @@ def folder_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = t.table(spark, sf_dir, "pages").withColumn("g", F.expr("page_id div 5"))
 
     def put(rows: DataFrame) -> None:
-        lines = rows.repartition("g").sortWithinPartitions("g", "page_id").select("g", F.to_json(F.struct("page_id", "url", "html")).alias("value"))
+        # Making files takes the time, not their bytes, so tasks go by cores.
+        lines = rows.repartition(4 * spark.sparkContext.defaultParallelism, "g").sortWithinPartitions("g", "page_id").select("g", F.to_json(F.struct("page_id", "url", "html")).alias("value"))
         lines.write.partitionBy("g").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(files)
 
     key = F.regexp_extract("path", "/g=([0-9]+)/", 1)

@@ -25,12 +25,13 @@ def _newest(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def _contents(spark: SparkSession, folder: str, pattern: str, wanted: DataFrame, every: bool) -> DataFrame:
-    """path and hash of the wanted files: of a first look by one scan of the folder, later by name."""
+def _contents(spark: SparkSession, wanted: DataFrame, every: DataFrame | None) -> DataFrame:
+    """path and hash of the wanted files: of a first look by one scan of every file listed, later by name."""
     hashed = lambda df: df.select("path", F.sha2("content", 256).alias("hash"))
-    if every:
-        return hashed(jsonl.binary_files(spark, folder, pattern))
-    scans = [hashed(spark.read.format("binaryFile").load([r.path for r in some])) for some in batched(wanted.select("path").toLocalIterator(), PATHS_TOGETHER)]
+    if every is not None:
+        return hashed(every)
+    with jsonl.listed_together(spark):
+        scans = [hashed(spark.read.format("binaryFile").load([r.path for r in some])) for some in batched(wanted.select("path").toLocalIterator(), PATHS_TOGETHER)]
     out = scans[0] if scans else spark.createDataFrame([], "path string, hash string")
     for scan in scans[1:]:
         out = out.unionByName(scan)
@@ -42,12 +43,13 @@ def refreshed(spark: SparkSession, folder: str, root: str, pattern: str = "*", k
     table = ChangeTable(spark, root, lambda df: _newest(df, [F.desc("look")]))
     known = table.read(spark.createDataFrame([], KNOWN))
     look = max([-1, *table.numbers("changes"), *table.numbers("folded")]) + 1
-    files = jsonl.binary_files(spark, folder, pattern).select((F.col("path") if key is None else key).alias("key"), "path", F.col("modificationTime").cast("string").alias("modified"), "length")
+    every = jsonl.binary_files(spark, folder, pattern)
+    files = every.select((F.col("path") if key is None else key).alias("key"), "path", F.col("modificationTime").cast("string").alias("modified"), "length")
     listed = saved(_newest(files.where("key is not null"), [F.desc("modified"), F.desc("path")]))
     there = known.where("not gone")
     open_ones = saved(listed.join(there.select("key", F.col("modified").alias("_was")), "key", "left").where("_was is null or _was <> modified").drop("_was"))
     # Every file is open before anything is known.
-    fetched = open_ones.join(_contents(spark, folder, pattern, open_ones, look == 0), "path").select("key", "path", F.lit(None).cast("string").alias("etag"), "modified", "hash")
+    fetched = open_ones.join(_contents(spark, open_ones, every if look == 0 else None), "path").select("key", "path", F.lit(None).cast("string").alias("etag"), "modified", "hash")
     fetched = saved(fetched.withColumn("gone", F.lit(False)))
     untouched = listed.join(open_ones.select("key"), "key", "left_anti").select("key", "path", F.lit("header").alias("status"))
     status = incremental.fetch_status(there.select("key", "etag", "modified", "hash"), fetched, "key").join(fetched.select("key", "path"), "key").select("key", "path", "status")

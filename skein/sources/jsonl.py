@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +37,24 @@ def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL).option("mode", "DROPMALFORMED").json(path)
 
 
+@contextmanager
+def listed_together(spark: SparkSession) -> Iterator[None]:
+    """While files are listed, a few tasks for each core do it; by default each of up to 10,000 folders or files is a task of its own, which takes longer to start than to list."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Bytes and guessed type of the files of a folder (any file system that Spark reads)."""
     kinds = {"pdf": "application/pdf", "md": "text/markdown", "txt": "text/plain", "html": "text/html", "json": "application/json", "png": "image/png", "jpg": "image/jpeg"}
     table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    with listed_together(spark):
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return rows.withColumn("mime", F.coalesce(F.element_at(table, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))), F.lit("application/octet-stream")))
 
 

@@ -50,3 +50,24 @@ def test_a_key_stands_for_its_newest_file(spark, tmp_path):
     assert look() == {("1", "1-b.md"): "new"}
     (at / "1-c.md").write_text("y")
     assert look() == {("1", "1-c.md"): "hash"}
+
+
+def test_listing_takes_few_tasks(spark, tmp_path, monkeypatch):
+    """A folder of many folders was listed by a task for each, and a first look listed it twice; the session's setting stays."""
+    from skein.sources import jsonl
+
+    at, name = tmp_path / "files", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(100):
+        (at / str(i)).mkdir(parents=True)
+        (at / str(i) / "a.md").write_text(str(i))
+    group, listed, scan, before = "listing", [], jsonl.binary_files, spark.conf.get(name)
+    monkeypatch.setattr(jsonl, "binary_files", lambda *a: listed.append(1) or scan(*a))
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        look = folder.refreshed(spark, str(at), str(tmp_path / "looks"), "*.md")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(stage).numTasks for job in tracker.getJobIdsForGroup(group) for stage in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(stage)]
+    assert look.where("status = 'new'").count() == 100 and len(listed) == 1
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(name) == before
